@@ -1,0 +1,120 @@
+"""Incremental loads: which files to reuse, parse or remove."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from logloom.schema import TABLES, Corpus, corpus_from_tables, empty_schema
+from logloom.session import stage_table
+from logloom.sources.corpus import load_corpus, only_provider
+from logloom.sources.discovery import default_log_roots, effective_provider, log_files
+
+PARSER_VERSION = "1"
+MANIFEST_DDL = "file_path string, size bigint, modified timestamp, parser_version string"
+BUCKETS = 256
+
+
+def in_scope(paths: list[str]):
+    """Files at or below one of the paths."""
+    hit = F.lit(False)
+    for p in paths:
+        root = p.rstrip("/")
+        hit = hit | (F.col("file_path") == root) | F.col("file_path").startswith(root + "/")
+    return hit
+
+
+def manifest_diff(old: DataFrame, new: DataFrame, scope=None, rebuild: bool = False,
+                  parser_version: str = PARSER_VERSION) -> DataFrame:
+    """(file_path, action): reuse, parse, remove, or keep for old files outside the scope.
+
+    ``scope`` is a condition on old files (everything by default).  Old entries of another parser version are no
+    entries.
+    """
+    scope = F.lit(True) if scope is None else scope
+    old = old.filter(F.col("parser_version") == parser_version).select(
+        "file_path", F.col("size").alias("old_size"), F.col("modified").alias("old_modified"), scope.alias("in_scope"))
+    new = new.select("file_path", "size", "modified")
+    same = (F.col("old_size") == F.col("size")) & (F.col("old_modified") == F.col("modified"))
+    known = F.col("old_size").isNotNull()
+    found = F.col("size").isNotNull()
+    action = (F.when(found & known & same & F.lit(not rebuild), "reuse").when(found, "parse")
+              .when(F.col("in_scope"), "remove").otherwise("keep"))
+    removed = F.when(known & F.col("in_scope") & (F.lit(rebuild) | ~found), 1).otherwise(0)
+    return old.join(new, "file_path", "full_outer").select("file_path", "size", "modified", action.alias("action"),
+                                                           removed.alias("removed"))
+
+
+def refresh_counts(diff: DataFrame, rebuild: bool = False) -> DataFrame:
+    """Reused, parsed, removed and total files, and the load status."""
+    sums = diff.agg(F.count_if(F.col("action") == "reuse").alias("reused_files"),
+                    F.count_if(F.col("action") == "parse").alias("parsed_files"),
+                    F.coalesce(F.sum("removed"), F.lit(0)).cast("bigint").alias("removed_files"))
+    status = F.lit("rebuilt") if rebuild else F.when(
+        (F.col("parsed_files") > 0) | (F.col("removed_files") > 0), "updated").otherwise("ready")
+    return sums.select("reused_files", "parsed_files", "removed_files",
+                       (F.col("reused_files") + F.col("parsed_files")).alias("total_files"), status.alias("status"))
+
+
+def _bucket():
+    return F.pmod(F.xxhash64("file_path"), F.lit(BUCKETS)).cast("int")
+
+
+def _read(spark: SparkSession, path: str, ddl) -> DataFrame:
+    try:
+        return spark.read.schema(ddl).parquet(path)
+    except Exception as error:
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        return spark.createDataFrame([], ddl)
+
+
+def read_cache(spark: SparkSession, cache_dir: str) -> Corpus:
+    """The cached tables; rows without a path only mark emptied buckets."""
+    return corpus_from_tables(spark, {
+        n: _read(spark, f"{cache_dir}/{n}", empty_schema(spark, n)).filter("file_path IS NOT NULL") for n in TABLES})
+
+
+def refresh_corpus(spark: SparkSession, cache_dir: str, paths: list[str] | None = None, provider: str | None = None,
+                   home: str = "~", rebuild: bool = False) -> tuple[Corpus, DataFrame]:
+    """Bring the cached tables up to date and return the visible corpus and the refresh counts.
+
+    Only new and changed files are parsed.  Tables are partitioned by a hash bucket of the file path and only
+    buckets with a changed or removed file are rewritten (dynamic partition overwrite).
+    """
+    active = effective_provider(paths, provider)
+    new = stage_table(log_files(spark, paths, active, home))
+    old = _read(spark, f"{cache_dir}/manifest", MANIFEST_DDL)
+    # With both paths and one provider the scope is just the discovered files, so nothing else is removed.
+    roots = paths if paths else default_log_roots(active, home)
+    scope = F.lit(False) if paths and provider and provider != "all" else in_scope(roots)
+    diff = stage_table(manifest_diff(old, new, scope, rebuild))
+    stale = diff.filter(F.col("action").isin("parse", "remove")).select("file_path")
+    counts = refresh_counts(diff, rebuild)
+    if not stale.isEmpty():
+        changed = new.join(diff.filter(F.col("action") == "parse").select("file_path"), "file_path", "left_semi")
+        parsed = load_corpus(spark, paths, "all", home, subset=stage_table(changed))
+        cached = read_cache(spark, cache_dir)
+        touched = stale.select(_bucket().alias("bucket")).distinct()
+        for name in TABLES:
+            kept = getattr(cached, name).join(stale, "file_path", "left_anti").withColumn("bucket", _bucket())
+            kept = kept.join(F.broadcast(touched), "bucket", "left_semi")  # at most BUCKETS rows
+            fresh = stage_table(kept.unionByName(getattr(parsed, name).withColumn("bucket", _bucket())))
+            _overwrite(fresh, f"{cache_dir}/{name}", touched)
+        manifest = diff.filter(F.col("action").isin("reuse", "parse")).select("file_path", "size", "modified",
+                                                                               F.lit(PARSER_VERSION).alias("parser_version"))
+        outside = old.join(diff.filter(F.col("action") == "keep").select("file_path"), "file_path", "left_semi")
+        stage_table(manifest.unionByName(outside)).write.mode("overwrite").parquet(f"{cache_dir}/manifest")
+    corpus = read_cache(spark, cache_dir)
+    listed = new.select("file_path")
+    visible = corpus.map(lambda _, df: df.join(listed, "file_path", "left_semi"))
+    return only_provider(visible, active), counts
+
+
+def _overwrite(df: DataFrame, path: str, touched: DataFrame) -> None:
+    """Replace the touched buckets; a bucket left without rows gets one row without a path, which readers skip."""
+    filler = touched.join(df.select("bucket").distinct(), "bucket", "left_anti")
+    rows = df.unionByName(filler.select("bucket"), allowMissingColumns=True)
+    # Rebalancing keeps a bucket in few files and still splits one that a huge file fills.
+    (rows.hint("rebalance", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("bucket").parquet(path))
