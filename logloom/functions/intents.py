@@ -212,20 +212,30 @@ def _lookup(values: list[str], number: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), number)
 
 
+def _bind(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once, also where the optimizer copies the expression into a filter."""
+    return F.transform(F.array(value), body)[0]
+
+
+def intent_struct(content: Column, app_names: list[str] = APP_NAMES) -> Column:
+    """Struct (literal, rule_no, polite): normalized prompt, first rule that applies, courtesy dropped."""
+    def classified(literal: Column, command: Column) -> Column:
+        match = F.when(command == literal, literal).otherwise(F.concat_ws(" ", literal, command))
+        number = _bind(match, lambda m: rule_number(literal, command, m, app_names))
+        return F.struct(literal.alias("literal"), number.alias("rule_no"), (command != literal).alias("polite"))
+
+    return _bind(normalize_text(content), lambda lit: _bind(command_text(lit), lambda cmd: classified(lit, cmd)))
+
+
 def with_intent(df: DataFrame, content: str = "content", app_names: list[str] = APP_NAMES) -> DataFrame:
     """Add literal, rule_no, rule_key, rule_label, confidence, signals, intent_key and intent_label."""
-    step = df.withColumn("literal", normalize_text(F.col(content)))
-    step = step.withColumn("_command", command_text(F.col("literal")))
-    same = F.col("_command") == F.col("literal")
-    step = step.withColumn("_match", F.when(same, F.col("literal"))
-                           .otherwise(F.concat_ws(" ", F.col("literal"), F.col("_command"))))
-    step = step.withColumn("rule_no", rule_number(F.col("literal"), F.col("_command"), F.col("_match"), app_names))
-    number = F.col("rule_no")
+    step = df.withColumn("_intent", intent_struct(F.col(content), app_names))
+    number = F.col("_intent.rule_no")
     signals = F.element_at(F.array(*[F.array(*[F.lit(s) for s in r[4]]) for r in RULES]), number)
-    extra = F.when((F.col("_command") != F.col("literal")) & (number <= len(RULES) - 2),
+    extra = F.when(F.col("_intent.polite") & (number <= len(RULES) - 2),
                    F.array(F.lit("normalized-command"))).otherwise(F.array().cast("array<string>"))
     return step.select(
-        *df.columns, "literal", "rule_no",
+        *df.columns, F.col("_intent.literal").alias("literal"), number.alias("rule_no"),
         _lookup([r[0] for r in RULES], number).alias("rule_key"),
         _lookup([r[2] for r in RULES], number).alias("rule_label"),
         _lookup([r[3] for r in RULES], number).alias("confidence"),
