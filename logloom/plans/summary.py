@@ -25,20 +25,20 @@ TOTALS = ["sessions", "turns", "user_messages", "automation_messages", "assistan
 def summary_totals(corpus: Corpus, scope: Scope = Scope()) -> DataFrame:
     """One row of counts."""
     c = scoped_corpus(corpus, scope)
-    prompts = with_group_key(c.messages.filter(is_submitted())).agg(
-        F.count(F.lit(1)).alias("user_messages"), F.count_distinct("group_key").alias("unique_user_messages"))
-    others = c.messages.agg(F.count_if(is_automation_message()).alias("automation_messages"),
-                            F.count_if(F.col("role") == "assistant").alias("assistant_messages"))
+    # One pass over the messages: only submitted prompts have a text to group by.
+    said = with_group_key(c.messages.withColumn("prompt", F.when(is_submitted(), F.col("content"))), "prompt")
+    counts = said.agg(
+        F.count("prompt").alias("user_messages"), F.count_if(is_automation_message()).alias("automation_messages"),
+        F.count_if(F.col("role") == "assistant").alias("assistant_messages"),
+        F.count_distinct("group_key").alias("unique_user_messages"))
 
     def n(df: DataFrame):
         return df.agg(F.count(F.lit(1)).alias("n")).scalar()
 
-    return prompts.select(
+    return counts.select(
         n(session_days(corpus, scope)).alias("sessions"), n(c.turns).alias("turns"), "user_messages",
-        others.select("automation_messages").scalar().alias("automation_messages"),
-        others.select("assistant_messages").scalar().alias("assistant_messages"), "unique_user_messages",
-        n(c.tool_events).alias("tool_events"), n(c.unknown_events).alias("unknown_events"),
-        n(c.warnings).alias("parse_warnings"))
+        "automation_messages", "assistant_messages", "unique_user_messages", n(c.tool_events).alias("tool_events"),
+        n(c.unknown_events).alias("unknown_events"), n(c.warnings).alias("parse_warnings"))
 
 
 def summarize(corpus: Corpus, scope: Scope = Scope()) -> dict[str, DataFrame]:
@@ -96,31 +96,28 @@ def redact_summary(parts: dict[str, DataFrame]) -> dict[str, DataFrame]:
 
 def metrics_long(parts: dict[str, DataFrame], project: str = ALL_PROJECTS) -> DataFrame:
     """(position, metric, value): totals, tokens, one row per intent and two per provider."""
-    totals, tokens = parts["totals"], parts["tokens"]
-    providers = parts["providers"]
-    repeated = parts["repeated"].agg(F.count(F.lit(1)).alias("n")).scalar()
-    names = providers.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(
-        (-F.col("messages")).alias("m"), "provider"))), lambda x: x["provider"]), "|").alias("p")).scalar()
+    def rows(df: DataFrame, start: int, named: dict[str, str]) -> DataFrame:
+        pairs = F.array(*[F.struct(F.lit(start + i).alias("position"), F.lit(metric).alias("metric"),
+                                   F.col(column).cast("string").alias("value"))
+                          for i, (metric, column) in enumerate(named.items())])
+        return df.select(F.explode(pairs).alias("r")).select("r.*")
 
     def text(c) -> F.Column:
         return c.cast("string")
 
-    t = parts["intent_totals"]
-    order = [
-        ("project", F.lit(project)), *[(n, text(totals.select(n).scalar())) for n in TOTALS[:6]],
-        ("repeated_user_messages", text(repeated)), ("providers", names),
-        ("prompt_intent_classified_messages", text(t.select("classified_messages").scalar())),
-        ("prompt_intent_unclassified_messages", text(t.select("unclassified_messages").scalar())),
-        *[(n, text(tokens.select(n).scalar())) for n in (
-            "input_tokens", "cached_input_tokens", "fresh_input_tokens", "output_tokens", "reasoning_output_tokens",
-            "total_tokens")],
-        ("unknown_events", text(totals.select("unknown_events").scalar())),
-        ("parse_warnings", text(totals.select("parse_warnings").scalar())),
+    providers = parts["providers"]
+    names = providers.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(
+        (-F.col("messages")).alias("m"), "provider"))), lambda x: x["provider"]), "|").alias("p"))
+    repeated = parts["repeated"].agg(F.count(F.lit(1)).alias("n"))
+    fixed = [
+        rows(parts["totals"].withColumn("project", F.lit(project)), 0, {n: n for n in ["project", *TOTALS[:6]]}),
+        rows(repeated, 10, {"repeated_user_messages": "n"}), rows(names, 11, {"providers": "p"}),
+        rows(parts["intent_totals"], 12, {f"prompt_intent_{n}": n for n in ("classified_messages",
+                                                                          "unclassified_messages")}),
+        rows(parts["tokens"], 20, {n: n for n in ("input_tokens", "cached_input_tokens", "fresh_input_tokens",
+                                                  "output_tokens", "reasoning_output_tokens", "total_tokens")}),
+        rows(parts["totals"], 30, {n: n for n in ("unknown_events", "parse_warnings")}),
     ]
-    one = totals.sparkSession.range(1)
-    rows = F.array(*[F.struct(F.lit(i).alias("position"), F.lit(n).alias("metric"), c.alias("value"))
-                     for i, (n, c) in enumerate(order)])
-    fixed = one.select(F.explode(rows).alias("r")).select("r.*")
     per_intent = parts["intents"].select(
         F.lit(100).alias("position"), F.concat(F.lit("prompt_intent_"), F.col("intent_key")).alias("metric"),
         text(F.col("count")).alias("value"))
@@ -128,7 +125,10 @@ def metrics_long(parts: dict[str, DataFrame], project: str = ALL_PROJECTS) -> Da
         F.struct(F.lit(200 + i).alias("position"), F.concat(F.lit("provider_"), F.col("provider"), F.lit(f"_{n}"))
                  .alias("metric"), text(F.col(n)).alias("value")) for i, n in enumerate(("messages", "sessions"))]))
         .alias("r")).select("r.*")
-    return fixed.unionByName(per_intent).unionByName(per_provider)
+    out = per_intent.unionByName(per_provider)
+    for part in fixed:
+        out = out.unionByName(part)
+    return out
 
 
 def write_summary_json(parts: dict[str, DataFrame], path: str, redacted: bool = True) -> None:
