@@ -83,9 +83,12 @@ def audit_responses(corpus: Corpus, o: AuditOptions = AuditOptions()) -> DataFra
         F.max(F.when(k == "response", F.col("timestamp"))).alias("last_response"))
 
 
-def audit_sections(corpus: Corpus, o: AuditOptions = AuditOptions()) -> DataFrame:
-    """One row per session with prompts: marker, header fields and counts."""
-    parts = audit_messages(corpus, o)
+def audit_sections(corpus: Corpus, o: AuditOptions = AuditOptions(), parts: DataFrame | None = None) -> DataFrame:
+    """One row per session with prompts: marker, header fields and counts.
+
+    ``parts`` is an :func:`audit_messages` result to use again.
+    """
+    parts = stage_table(audit_messages(corpus, o)) if parts is None else parts
     ts = F.nullif(F.col("timestamp"), F.lit(""))
     k = F.col("kind")
     facts = parts.groupBy(*SESSION).agg(F.min(ts).alias("f"), F.max(ts).alias("l"),
@@ -130,13 +133,13 @@ def section_header(o: AuditOptions):
 
 def audit_blocks(corpus: Corpus, o: AuditOptions = AuditOptions()) -> DataFrame:
     """Text blocks of the worklog with their order: sections by first seen, project and session."""
-    sections = audit_sections(corpus, o)
+    parts = stage_table(audit_messages(corpus, o))
+    sections = stage_table(audit_sections(corpus, o, parts))
     place = sections.select(*SESSION, "marker", F.coalesce("first_seen", F.lit("")).alias("section_seen"), "project")
     heads = sections.select(
         *SESSION, "marker", F.coalesce("first_seen", F.lit("")).alias("section_seen"), "project",
         F.lit(0).cast("bigint").alias("prompt_no"), F.lit(0).cast("bigint").alias("part_no"),
         F.lit("header").alias("kind"), section_header(o).alias("text"), F.lit(None).cast("string").alias("quote"))
-    parts = audit_messages(corpus, o)
     parts = running_sum(parts, [*SESSION, "prompt_no"], ["_line", "_ts", "source_event", "seq"],
                         {"response_no": (F.col("kind") == "response").cast("int")})
     per = parts.groupBy(*SESSION, "prompt_no").agg(F.count_if(F.col("kind") == "response").alias("n"))
@@ -161,7 +164,7 @@ BLOCK_ORDER = ["section_seen", "project", "session_id", "file_path", "prompt_no"
 
 def audit_header(corpus: Corpus, o: AuditOptions = AuditOptions()) -> DataFrame:
     """The worklog's opening: one row with its totals as text."""
-    s = audit_sections(corpus, o)
+    s = stage_table(audit_sections(corpus, o).select("provider_label", "prompts", "responses"))
     label = o.project or (o.repo_path.rstrip("/").rsplit("/", 1)[-1] if o.repo_path else "All Projects")
     labels = s.select("provider_label").distinct().agg(
         F.array_join(F.array_sort(F.collect_list("provider_label")), ", ").alias("p")).scalar()

@@ -59,9 +59,13 @@ def extract_claude(lines: DataFrame) -> DataFrame:
     )
 
 
-def claude_tables(records: DataFrame, line_counts: DataFrame) -> dict[str, DataFrame]:
-    carried = carry_forward(records.filter("obj"), ["file_path"], ["line"], {
+def carry_claude(records: DataFrame) -> DataFrame:
+    """Session id, directory and title in force at every record."""
+    return carry_forward(records.filter("obj"), ["file_path"], ["line"], {
         "sid": F.col("sid_set"), "cwd": F.col("cwd_set"), "title": F.col("title_set")}, F.col("chunk"))
+
+
+def claude_tables(records: DataFrame, carried: DataFrame, line_counts: DataFrame) -> dict[str, DataFrame]:
     default = session_id_from_path(F.col("file_path"))
     carried = with_meta(carried, META).withColumns({
         "session_id": F.coalesce("sid", default), "provider_conversation_id": F.col("sid")})
@@ -108,8 +112,7 @@ def claude_tables(records: DataFrame, line_counts: DataFrame) -> dict[str, DataF
 
 def normalize_claude(lines: DataFrame, line_counts: DataFrame | None = None, stage: bool = True) -> Corpus:
     """Corpus of lines ``(file_path, chunk, line, value)``; every file has at least one session row."""
-    records = extract_claude(lines)
-    if stage:
-        records = stage_table(records)
-    counts = count_lines(lines) if line_counts is None else line_counts
-    return corpus_from_tables(lines.sparkSession, claude_tables(records, counts))
+    keep = stage_table if stage else (lambda df: df)
+    records = keep(extract_claude(lines))
+    counts = keep(count_lines(lines)) if line_counts is None else line_counts
+    return corpus_from_tables(lines.sparkSession, claude_tables(records, keep(carry_claude(records)), counts))

@@ -175,10 +175,10 @@ def count_lines(lines: DataFrame) -> DataFrame:
 def normalize_codex(lines: DataFrame, line_counts: DataFrame | None = None, stage: bool = True) -> Corpus:
     """Corpus of rollout lines ``(file_path, chunk, line, value)``.
 
-    The extracted records are staged once, so the text is parsed once for all nine tables.
+    Extracted and carried records are staged once each: the text is parsed once, the ordered scan runs once, and the
+    nine tables are plain projections.
     """
-    records = extract_codex(lines)
-    if stage:
-        records = stage_table(records)
-    counts = count_lines(lines) if line_counts is None else line_counts
-    return corpus_from_tables(lines.sparkSession, codex_tables(carry_codex(records), counts))
+    keep = stage_table if stage else (lambda df: df)
+    records = keep(carry_codex(keep(extract_codex(lines))))
+    counts = keep(count_lines(lines)) if line_counts is None else line_counts
+    return corpus_from_tables(lines.sparkSession, codex_tables(records, counts))

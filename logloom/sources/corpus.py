@@ -44,9 +44,9 @@ def load_corpus(spark: SparkSession, paths: list[str] | None = None, provider: s
         lines = stage_table(read_lines(spark, opened, options).filter(~F.col("file_path").rlike(IGNORED)), "provider")
         counts = lines.groupBy("file_path", "provider").agg(F.max("line").alias("line_count"))
         claude_path = F.col("file_path").contains(CLAUDE_PATH)
-        listed = files.filter(F.col("kind") == "jsonl").select("file_path").join(counts, "file_path", "left").select(
+        listed = stage_table(files.filter(F.col("kind") == "jsonl").select("file_path").join(counts, "file_path", "left").select(
             "file_path", F.coalesce("line_count", F.lit(0)).alias("line_count"),
-            F.coalesce("provider", F.when(claude_path, "claude").otherwise("codex")).alias("provider"))
+            F.coalesce("provider", F.when(claude_path, "claude").otherwise("codex")).alias("provider")))
         for name, build in (("codex", normalize_codex), ("claude", normalize_claude)):
             if provider in ("all", name):
                 parts.append(build(lines.filter(F.col("provider") == name).drop("provider"),

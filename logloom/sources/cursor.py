@@ -15,6 +15,7 @@ from logloom.functions.times import iso_utc, parse_ts
 from logloom.functions.usage import usage_struct_cursor
 from logloom.operators.scans import ranked, running_sum
 from logloom.schema import Corpus, corpus_from_tables
+from logloom.session import stage_table
 from logloom.sources.codex import with_meta
 from logloom.sources.lines import plain_path, session_id_from_path
 
@@ -145,8 +146,8 @@ def normalize_cursor_kv(kv: DataFrame, workspaces: DataFrame | None = None) -> C
         usage_struct_cursor(at(v, "$.tokenCount")).alias("usage"),
         num_at(v, "$.turnDurationMs").alias("duration_ms"), F.filter(tools, lambda t: t["ok"]).alias("tools"),
         F.when(role.isNull(), F.col("value")).alias("raw"))
-    placed = ranked(fields, ["file_path", "session_id"],
-                    [F.coalesce("timestamp", F.lit("")), F.col("row_number")], "line")
+    placed = stage_table(ranked(fields, ["file_path", "session_id"],
+                                [F.coalesce("timestamp", F.lit("")), F.col("row_number")], "line"))
 
     headers = composer_headers(kv).withColumn("storage", storage_dir(F.col("file_path")))
     if workspaces is not None:

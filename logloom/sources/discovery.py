@@ -33,9 +33,15 @@ def effective_provider(paths: list[str] | None, provider: str | None) -> str:
 
 
 def existing_roots(paths: list[str] | None, provider: str, home: str = "~") -> list[str]:
-    """Input roots; local ones that do not exist are left out."""
+    """Input roots; local ones that do not exist are left out.
+
+    Spark skips folders whose name starts with a dot, so the tools' own dot folders right below a local root are
+    roots themselves.  Other dot folders have to be named.
+    """
     roots = [p.rstrip("/") for p in (paths or default_log_roots(provider, home))]
-    return [r for r in roots if "://" in r or os.path.exists(r)]
+    roots = [r for r in roots if "://" in r or os.path.exists(r)]
+    dotted = [f"{r}/{sub}" for r in roots if "://" not in r for sub in DEFAULT_ROOTS["codex"] + DEFAULT_ROOTS["claude"]]
+    return roots + [d for d in dotted if d not in roots and os.path.isdir(d)]
 
 
 def log_files(spark: SparkSession, paths: list[str] | None = None, provider: str | None = None,
