@@ -47,6 +47,8 @@ def test_rules_agree_with_python_on_random_prompts(spark):
     prompts = [" ".join(rnd.choice(words) for _ in range(rnd.randint(1, 7))) for _ in range(4000)]
     prompts += ["", "  ", "YES!!", "ok, go ahead.", "Are all files committed?", "let's please ship it", "context: something zz",
                 "is the work that we pushed zz", "zz qq", "/plan it"]
+    prompts += ["i want the application to x", "I want Codex to nap", "zebra " * 3000 + "doesn't work", "q " * 500 + "notarization",
+                "move the big menu zz", "some notarize zz", "bug fixe", "make it all better"]
     df = spark.createDataFrame([(i, p) for i, p in enumerate(prompts)], "i int, content string").repartition(8)
     got = {r.i: r.rule_no for r in I.with_intent(df).select("i", "rule_no").collect()}
     wrong = [(p, got[i], expected_rule(p)) for i, p in enumerate(prompts) if got[i] != expected_rule(p)]
