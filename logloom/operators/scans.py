@@ -21,19 +21,21 @@ def line_chunk(line: str = "line") -> Column:
     return F.floor(F.coalesce(F.col(line), F.lit(0)) / CHUNK_LINES)
 
 
-def _join_prefix(df: DataFrame, prefix: DataFrame, on: list[str]) -> DataFrame:
-    condition = None
-    right = prefix.select(*[F.col(c).alias(f"_r_{c}") for c in on],
-                          *[c for c in prefix.columns if c not in on])
-    for c in on:
-        test = F.col(c).eqNullSafe(F.col(f"_r_{c}"))
-        condition = test if condition is None else condition & test
-    return df.join(right, condition, "left").drop(*[f"_r_{c}" for c in on])
+def _join_offsets(df: DataFrame, offsets: DataFrame, on: list[str]) -> DataFrame:
+    """Left join in which null group keys meet."""
+    right = offsets.select(*[F.col(c).alias(f"_r_{c}") for c in on], *[c for c in offsets.columns if c not in on])
+    test = F.col(on[0]).eqNullSafe(F.col(f"_r_{on[0]}"))
+    for c in on[1:]:
+        test = test & F.col(c).eqNullSafe(F.col(f"_r_{c}"))
+    return df.join(right, test, "left").drop(*[f"_r_{c}" for c in on])
 
 
 def carry_forward(df: DataFrame, keys: list[str], order: list[str], values: dict[str, Column],
                   chunk: Column | None = None) -> DataFrame:
-    """For every name in ``values``: the latest non-null value at or before the row, in ``order`` within ``keys``."""
+    """For every name in ``values``: the latest non-null value at or before the row, in ``order`` within ``keys``.
+
+    Keys are never null.  The join and the window share one partitioning, so the rows are shuffled once.
+    """
     base = df.withColumn("_chunk", line_chunk(order[0]) if chunk is None else chunk)
     base = base.withColumns({f"_v_{n}": F.when(v.isNotNull(), F.struct(v.alias("x"))) for n, v in values.items()})
     on = keys + ["_chunk"]
@@ -43,7 +45,7 @@ def carry_forward(df: DataFrame, keys: list[str], order: list[str], values: dict
     before = W.partitionBy(*keys).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
     prefix = ends.select(*on, *[F.last(f"_e_{n}", ignorenulls=True).over(before).alias(f"_p_{n}") for n in values])
     within = W.partitionBy(*on).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    out = _join_prefix(base, prefix, on)
+    out = base.join(prefix, on, "left")
     return out.withColumns({
         n: F.coalesce(F.last(f"_v_{n}", ignorenulls=True).over(within), F.col(f"_p_{n}"))["x"] for n in values
     }).drop("_chunk", *[f"_v_{n}" for n in values], *[f"_p_{n}" for n in values])
@@ -59,7 +61,7 @@ def running_sum(df: DataFrame, keys: list[str], order: list[str], values: dict[s
     before = W.partitionBy(*keys).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
     prefix = sums.select(*on, *[F.coalesce(F.sum(f"_e_{n}").over(before), F.lit(0)).alias(f"_p_{n}") for n in values])
     within = W.partitionBy(*on).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    out = _join_prefix(base, prefix, on)
+    out = base.join(prefix, on, "left")
     return out.withColumns({
         n: F.coalesce(F.sum(f"_v_{n}").over(within), F.lit(0)) + F.col(f"_p_{n}") for n in values
     }).drop("_chunk", *[f"_v_{n}" for n in values], *[f"_p_{n}" for n in values])
@@ -79,7 +81,7 @@ def ranked(df: DataFrame, groups: list[str], order: list[Column], out: str = "ra
     spans = laid.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"), F.min("_pos").alias("_start"))
     before = W.partitionBy(*groups).orderBy("_pid").rowsBetween(W.unboundedPreceding, -1)
     offsets = spans.select(*on, "_start", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    placed = _join_prefix(laid, offsets, on)
+    placed = _join_offsets(laid, offsets, on)
     return placed.withColumn(out, F.col("_off") + F.col("_pos") - F.col("_start") + 1).drop(
         "_pid", "_pos", "_start", "_off")
 

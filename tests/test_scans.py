@@ -45,3 +45,16 @@ def test_first_rows_limits_before_the_shuffle(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and plan.count("Partial") >= 1
     assert sorted(rows(out, "k", "line")) == [("b", 1), ("b", 2), ("c", 1), ("hot", 1), ("hot", 2)]
+
+
+def test_rows_are_shuffled_once(spark):
+    df = spark.createDataFrame(sample(), "k string, line bigint, v int, b int")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = scans.running_sum(df, ["k"], ["line"], {"total": F.col("b")})
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # rows by (key, chunk); summaries by (key, chunk), by key for the scan, and back for the join
+    assert plan.count("Exchange hashpartitioning(k#") <= 4
+    assert sum("_v_total" in line and "Exchange" in line for line in plan.splitlines()) <= 1
