@@ -17,6 +17,7 @@ from logloom.operators.search import with_category
 from logloom.operators.sessions import activity_range, session_days
 from logloom.operators.tokens import message_buckets, model_usage, provider_usage, token_buckets, token_totals
 from logloom.schema import Corpus
+from logloom.session import stage_table
 
 TOTALS = ["sessions", "turns", "user_messages", "automation_messages", "assistant_messages", "unique_user_messages",
           "tool_events", "unknown_events", "parse_warnings"]
@@ -95,7 +96,12 @@ def redact_summary(parts: dict[str, DataFrame]) -> dict[str, DataFrame]:
 
 
 def metrics_long(parts: dict[str, DataFrame], project: str = ALL_PROJECTS) -> DataFrame:
-    """(position, metric, value): totals, tokens, one row per intent and two per provider."""
+    """(position, metric, value): totals, tokens, one row per intent and two per provider.
+
+    The small inputs (one row, or one per intent or provider) are staged, so each is computed once.
+    """
+    parts = {**parts, **{n: stage_table(parts[n]) for n in ("totals", "providers", "intents")}}
+    parts["intent_totals"] = intent_totals(parts["intents"])
     def rows(df: DataFrame, start: int, named: dict[str, str]) -> DataFrame:
         pairs = F.array(*[F.struct(F.lit(start + i).alias("position"), F.lit(metric).alias("metric"),
                                    F.col(column).cast("string").alias("value"))
