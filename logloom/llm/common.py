@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Characters or bytes of text that a task turns into numpy arrays at once.
 SLICE = 1 << 20
@@ -64,3 +65,48 @@ def slices(batch: pa.RecordBatch, column: str, size: int = SLICE) -> Iterator[pa
         stop = max(start + 1, int(np.searchsorted(total, before + size, "right")))
         yield batch.slice(start, stop - start)
         start = stop
+
+
+def paired_blocks(rows: DataFrame, n: str, by: str, block: int) -> DataFrame:
+    """Copies of ``rows`` by which every two rows of a group meet, in blocks of about ``block`` rows.
+
+    ``n`` holds the size of the row's group, ``by`` what its rows differ in.  A group of up to ``block`` rows stays whole.  A larger one is
+    dealt into parts; each pair of parts, and each part with itself, becomes a block of its own.  New columns: ``_part``, and ``_lo`` and ``_hi``, the
+    two parts of the block (equal for a part with itself).
+    """
+    parts = F.ceil(F.col(n) / block).cast("int")
+    dealt = rows.withColumn("_part", F.pmod(F.xxhash64(by), parts).cast("int"))
+    met = dealt.withColumn("_with", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return met.withColumns({"_lo": F.least("_part", "_with"), "_hi": F.greatest("_part", "_with")}).drop("_with")
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Sorted rows as tables of whole groups, with the starts of the groups and the end; only the last group is held back meanwhile."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([*held, batch]).combine_chunks()
+        starts = _starts(table, keys)
+        if len(starts) > 1:
+            yield table.slice(0, starts[-1]), starts
+            table = table.slice(starts[-1])
+        held = table.to_batches()
+    if held:
+        table = pa.Table.from_batches(held).combine_chunks()
+        yield table, np.append(_starts(table, keys), table.num_rows)
+
+
+def _starts(table: pa.Table, keys: list[str]) -> np.ndarray:
+    new = np.zeros(table.num_rows, bool)
+    new[0] = True
+    for key in keys:
+        column = table.column(key).to_numpy()
+        new[1:] |= column[1:] != column[:-1]
+    return np.flatnonzero(new)
+
+
+def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """Lists of one length as a matrix."""
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1)
