@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import bpe, caps, chat, language_id, packing, simhash, topk, url_filter
+from logloom.llm import bpe, caps, chat, language_id, packing, simhash, substring, topk, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -73,6 +73,14 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
+@_query
+def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without its repeated windows of 35 words."""
+    kept = substring.remove_repeats(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    words = F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), r"[ \t\n\x0B\f\r]+", " "), "^ | $", "")
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(words.cast("binary"), 256).alias("kept_sha256"))
+
+
 @_query
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation formatted and read back, with one whose texts imitate the template."""
