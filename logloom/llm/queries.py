@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import bpe, caps, chat, language_id, packing, simhash, substring, topk, url_filter
+from logloom.llm import bpe, caps, chat, language_id, license_scan, packing, simhash, substring, topk, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -109,6 +109,67 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM s GROUP BY conv_id
 """
 
+#: Documents as files: a folder per hundred below source and language; one that opens with a licence line is a licence file, at one of three depths.
+_FOLDERS = ("concat_ws('/', source, lang, CAST(doc_id DIV 100 AS STRING))", "concat_ws('/', source, lang)", "source")
+
+
+@_query
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Own or inherited licence of every document, seen as a file."""
+    leaf, middle, top = map(F.expr, _FOLDERS)
+    opens = F.col("text").rlike(r"(?i)^[^\n]*(licen[cs]e|rights reserved)")
+    deep = F.when(F.col("doc_id") % 3 == 0, leaf).when(F.col("doc_id") % 3 == 1, middle).otherwise(top)
+    path = F.when(opens, F.concat(deep, F.lit("/LICENSE-"), F.col("doc_id"))).otherwise(F.concat(leaf, F.lit("/"), F.col("doc_id"), F.lit(".txt")))
+    files = _read(spark, sf_dir, "documents").select("doc_id", path.alias("path"), "text")
+    return license_scan.scan_licences(files).select("doc_id", "path", "own_license", "own_score", "license", "inherited_from")
+
+
+def _license_sql() -> str:
+    """The same in SQL: templates and vocabulary as tables, every line unnested."""
+    quoted = lambda xs: ", ".join("'" + x.replace("'", "''") + "'" for x in xs)
+    scan = license_scan.Scan()
+    terms = ", ".join(f"({i}, '{name}', '{t}', {n})" for i, ((name, _), row) in enumerate(zip(scan.templates, scan.terms())) for t, n in sorted(row.items()))
+    return f"""
+WITH tt(i, name, t, n) AS (VALUES {terms}), vocabulary AS (SELECT DISTINCT t FROM tt),
+f AS (
+  SELECT doc_id, text, CASE WHEN regexp_matches(text, '(?i)^[^\n]*(licen[cs]e|rights reserved)')
+    THEN CASE doc_id % 3 WHEN 0 THEN concat_ws('/', source, lang, CAST(doc_id // 100 AS VARCHAR)) WHEN 1 THEN concat_ws('/', source, lang) ELSE source END || '/LICENSE-' || doc_id
+    ELSE concat_ws('/', source, lang, CAST(doc_id // 100 AS VARCHAR)) || '/' || doc_id || '.txt' END AS path
+  FROM documents
+), lines AS (
+  SELECT doc_id, k, list_filter(regexp_split_to_array(lower(line), '[^a-z0-9]+'), lambda x: x <> '' AND x NOT IN ({quoted(license_scan.STOP)})) AS tokens
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM f)
+), lt AS (SELECT doc_id, k, t, count(*) AS n FROM (SELECT doc_id, k, unnest(tokens) AS t FROM lines) GROUP BY ALL),
+df AS (SELECT t, count(DISTINCT doc_id) AS df FROM lt JOIN vocabulary USING (t) GROUP BY t),
+total AS (SELECT ln(1.0 + count(*)) + 1 AS unseen FROM f),
+idf AS (SELECT t, (SELECT unseen FROM total) - ln(1.0 + coalesce(df, 0)) AS idf FROM vocabulary LEFT JOIN df USING (t)),
+lw AS (SELECT doc_id, k, t, n * idf AS w FROM lt JOIN idf USING (t)),
+ln AS (
+  SELECT doc_id, k, sqrt(sum(CASE WHEN idf IS NULL THEN n * (SELECT unseen FROM total) * (SELECT unseen FROM total) ELSE n * idf * n * idf END)) AS norm
+  FROM lt LEFT JOIN idf USING (t) GROUP BY ALL
+),
+tw AS (SELECT i, name, t, n * idf AS w FROM tt JOIN idf USING (t)),
+tn AS (SELECT i, sqrt(sum(w * w)) AS norm FROM tw GROUP BY i),
+scores AS (
+  SELECT doc_id, name, round(max(score), 6) AS score FROM (
+    SELECT lw.doc_id, lw.k, tw.i, tw.name, sum(lw.w * tw.w) / any_value(ln.norm) / any_value(tn.norm) AS score
+    FROM lw JOIN tw USING (t) JOIN ln ON ln.doc_id = lw.doc_id AND ln.k = lw.k JOIN tn ON tn.i = tw.i GROUP BY ALL) GROUP BY ALL
+), own AS (SELECT doc_id, arg_min(name, (-score, name)) AS name, max(score) AS score FROM scores WHERE score >= 0.6 GROUP BY doc_id),
+rows AS (SELECT f.doc_id, path, regexp_replace(path, '/?[^/]*$', '') AS folder, own.name AS own_license, own.score AS own_score FROM f LEFT JOIN own USING (doc_id)),
+held AS (
+  SELECT folder AS above, arg_min(own_license, (-own_score, own_license, path)) AS license FROM rows
+  WHERE own_license IS NOT NULL AND regexp_matches(regexp_extract(path, '[^/]*$'), '(?i)^(licen[cs]e|copying|notice)([-_.].*)?$') GROUP BY folder
+), nearest AS (
+  SELECT r.folder, arg_max((h.license, h.above), length(h.above)) AS near FROM (SELECT DISTINCT folder FROM rows) r
+  JOIN held h ON h.above = '' OR h.above = r.folder OR starts_with(r.folder, h.above || '/') GROUP BY r.folder
+)
+SELECT doc_id, path, own_license, own_score, coalesce(own_license, near[1]) AS license, CASE WHEN own_license IS NULL THEN near[2] END AS inherited_from
+FROM rows LEFT JOIN nearest USING (folder)
+"""
+
+
+ORACLE["op6_license_scan"] = _license_sql()
+
 RULES = [url_filter.Rule("net", "/", url_filter.BLOCK), url_filter.Rule("example.net", "/en/", url_filter.ALLOW),
          url_filter.Rule("example.com", "/de/", url_filter.BLOCK), url_filter.Rule("org", "/fr/", url_filter.ALLOW)]
 
