@@ -56,6 +56,11 @@ def own_columns(df: DataFrame, **names: str) -> DataFrame:
     return df.select(*[df[f"`{column}`"].alias(name) for name, column in names.items()])
 
 
+def aside(df: DataFrame, *read: str) -> DataFrame:
+    """``df`` with all columns but those that are read renamed to c0, c1, ...: no name of theirs meets one that an operator adds."""
+    return df.toDF(*[name if name in read else f"c{i}" for i, name in enumerate(df.columns)])
+
+
 def slices(batch: pa.RecordBatch, column: str, size: int = SLICE) -> Iterator[pa.RecordBatch]:
     """Consecutive rows of a batch with about ``size`` bytes of ``column`` (one row at least)."""
     total = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))

@@ -60,7 +60,7 @@ class FMIndex:
         at = end.copy()
         for _ in range(most):
             lo, hi = self.back(text[at], lo, hi)
-            good = hi - lo >= least_count
+            good = (hi - lo >= least_count) & (text[at] > 0)
             live, lo, hi = live[good], lo[good], hi[good]
             if not len(live):
                 break

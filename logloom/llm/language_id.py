@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from logloom.llm.common import own_columns, ship, slices
+from logloom.llm.common import aside, own_columns, ship, slices
 
 UNKNOWN = "und"
 
@@ -43,7 +43,7 @@ def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _grams(codes: np.ndarray, order: int, buckets: int) -> np.ndarray:
-    """Hash bucket of the n-gram that ends at each position; digits count as one character, those over a text's edge are -1."""
+    """Hash bucket of the n-gram that ends at each position; -1 where it would hold more than the mark before its text."""
     n = len(codes)
     value, crosses = np.zeros(n, np.uint64), np.zeros(n, bool)
     for back in range(order):
@@ -151,7 +151,9 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
 def accepted(docs: DataFrame, model: LanguageModel, min_score: float = 0.5) -> DataFrame:
     """Rows of ``docs`` with a language and a posterior of at least ``min_score``; their columns are unchanged."""
-    return identify(docs, model).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)).select(*docs.columns)
+    placed = aside(docs, "text")
+    kept = identify(placed, model).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score))
+    return kept.select(*placed.columns).toDF(*docs.columns)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -20,6 +20,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logloom.llm.common import aside
+
 # Customary notices, by SPDX identifier.
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
@@ -126,7 +128,9 @@ def scan_licences(files: DataFrame, scan: Scan = Scan()) -> DataFrame:
     """
     idf, unseen = weights(files, scan)
     licences = F.array(*[F.lit(x) for x in sorted({name for name, _ in scan.templates})])
-    rows = files.withColumn("_best", best_match(F.col("text"), scan, idf, unseen))
+    own = ["own_license", "own_score", "license", "inherited_from"]
+    others = files.drop(*own)
+    rows = aside(others, "path", "text").withColumn("_best", best_match(F.col("text"), scan, idf, unseen))
     match = F.col("_best")["score"] >= scan.least
     rows = rows.withColumns({"own_license": F.when(match, F.element_at(licences, 1 - F.col("_best")["pick"])),
                              "own_score": F.when(match, F.col("_best")["score"]), "_folder": directory(F.col("path"))}).drop("_best")
@@ -137,6 +141,6 @@ def scan_licences(files: DataFrame, scan: Scan = Scan()) -> DataFrame:
     nearest = (folders.withColumn("_above", F.explode(ancestors(F.col("_folder")))).join(held, "_above").groupBy("_folder")
                .agg(F.max_by(F.struct("_license", "_above"), F.length("_above")).alias("_near")))
     out = rows.join(nearest, "_folder", "left")
-    own = F.col("own_license").isNotNull()
-    return out.withColumns({"license": F.coalesce("own_license", F.col("_near")["_license"]),
-                            "inherited_from": F.when(~own, F.col("_near")["_above"])}).drop("_folder", "_near")
+    out = out.withColumns({"license": F.coalesce("own_license", F.col("_near")["_license"]),
+                           "inherited_from": F.when(F.col("own_license").isNull(), F.col("_near")["_above"])}).drop("_folder", "_near")
+    return out.select(*[c for c in out.columns if c not in own], *own).toDF(*others.columns, *own)

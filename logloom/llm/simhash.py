@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from logloom.llm.bktree import BKForest
-from logloom.llm.common import Staged, own_columns, paired_blocks, ship, whole_groups
+from logloom.llm.common import Staged, aside, own_columns, paired_blocks, ship, whole_groups
 from logloom.llm.components import connected_components
 
 
@@ -185,5 +185,6 @@ def deduplicated(docs: DataFrame, plan: Plan | None = None) -> DataFrame:
     """
     first = near_duplicates(docs, plan or similar_plan()).where("first").select("_r1", "_r2")
     once = F.row_number().over(W.partitionBy("_r1", "_r2").orderBy("_r1"))
-    kept = docs.withColumns(_row_keys("doc_id", "text")).join(first, ["_r1", "_r2"])
-    return kept.withColumn("_once", once).where("_once = 1").select(*docs.columns)
+    placed = aside(docs, "doc_id", "text")
+    kept = placed.withColumns(_row_keys("doc_id", "text")).join(first, ["_r1", "_r2"])
+    return kept.withColumn("_once", once).where("_once = 1").select(*placed.columns).toDF(*docs.columns)

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from logloom.llm.common import Staged, own_columns, ship
+from logloom.llm.common import Staged, ship
 
 _LIMIT = 2**63 - 1
 
@@ -96,7 +96,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, li
     spark = vectors.sparkSession
     ship(spark)
     finite = F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    rows = own_columns(vectors.withColumn("_query", F.coalesce(is_query, F.lit(False))), vec_id="vec_id", embedding="embedding", query="_query")
+    rows = vectors.select("vec_id", "embedding", F.coalesce(is_query, F.lit(False)).alias("query"))
     rows = rows.where(F.coalesce(finite, F.lit(False))).withColumn("rid", F.monotonically_increasing_id())
     rows, _ = Staged(spark).table(rows.select("rid", F.col("vec_id").cast("long"), "embedding", "query"))
     n, n_queries = rows.agg(F.count(F.lit(1)), F.count_if("query")).first()
