@@ -1,12 +1,13 @@
 """Embedding near-dedup with spherical-cap filters from structured random product codes.
 
-Filter directions are all products of one short code per block of (randomly rotated) components: ``codes ** parts`` directions from
-``codes * parts`` random vectors.  A vector is list-decoded to every direction whose inner product with it exceeds a threshold: partial sums of half
-of the blocks are kept only where the best of the other half can still lift them over it.  Vectors that share a filter (and their group)
-meet there; each pair is verified by its exact cosine in double precision, so nothing below the threshold is linked.
+Filter directions are all products of one short code per block of randomly rotated components: ``codes ** parts`` directions from
+``codes * parts`` random vectors, in ``tables`` rotations.  A vector is list-decoded to every direction whose inner product with it exceeds a
+threshold: partial sums of half of the blocks are kept only where the best of the other half can still lift them over it.  Vectors
+that share a filter (and their group) meet there; each pair is verified by its exact cosine in double precision, so nothing below
+the threshold is linked.
 
-The threshold is set so that a random vector exceeds it for ``mean_list`` directions.  Two vectors with cosine 0.98 share each filter of one with
-a probability of about 0.7, so a pair is missed with 0.3 to the power of the list's length; the tests measure the recall.
+The threshold is the one that random vectors exceed for ``mean_list`` directions a rotation on average.  A pair is missed where none of the
+directions is shared; for pairs just above cosine 0.98 that is under one in a hundred (tests/llm measures it in 16 and 64 dimensions).
 
 Equal vectors of a group are one vector with a count.  A filter with more vectors than ``block`` is dealt into pairs of blocks.  A pair that
 meets in several filters counts in the first that both have.  Each block reports sums of links and a spanning forest, never pairs.
@@ -18,7 +19,6 @@ vectors of unequal length do not link; repeated rows are rows of their own; an e
 from __future__ import annotations
 
 from collections.abc import Iterator
-from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -30,29 +30,37 @@ from logloom.llm.components import connected_components
 
 
 class CapFilters:
-    """The directions for vectors of one length."""
+    """The directions for vectors of one length: ``tables`` rotations, each with ``codes`` ** ``parts`` products."""
 
-    def __init__(self, width: int, parts: int = 4, codes: int = 32, mean_list: float = 32, seed: int = 7):
+    def __init__(self, width: int, tables: int = 4, parts: int = 2, codes: int = 256, mean_list: float = 16, seed: int = 7):
         rng = np.random.default_rng([seed, width])
+        inner = -(-width // parts) * parts
+        codes = min(codes, 4 ** (inner // parts))  # few components need few directions
         self.parts, self.codes = parts, codes
-        self.width = -(-width // parts) * parts
-        self.turn = np.linalg.qr(rng.normal(size=(self.width, self.width)))[0][:width]
-        own = rng.normal(size=(parts, self.width // parts, codes))
+        self.turns = [np.linalg.qr(rng.normal(size=(inner, inner)))[0][:width] for _ in range(tables)]
+        own = rng.normal(size=(parts, inner // parts, codes))
         self.own = own / np.linalg.norm(own, axis=1, keepdims=True) / np.sqrt(parts)
-        self.threshold = NormalDist().inv_cdf(1 - min(0.5, mean_list / codes**parts)) / np.sqrt(self.width)
+        trial = rng.normal(size=(64, width))
+        trial = self._scores(trial / np.linalg.norm(trial, axis=1, keepdims=True), self.turns[0])
+        sums = self._sums(trial).ravel()
+        highest = min(len(sums), max(1, int(mean_list * len(trial))))
+        self.threshold = min(np.partition(sums, -highest)[-highest], 0.9)  # a cap is wider than the angle of a link
+
+    def _scores(self, unit: np.ndarray, turn: np.ndarray) -> np.ndarray:
+        return np.einsum("npd,pdc->npc", (unit @ turn).reshape(len(unit), self.parts, -1), self.own)
 
     def decode(self, unit: np.ndarray) -> list[np.ndarray]:
         """For each row of ``unit`` the ascending numbers of all directions above the threshold."""
-        turned = (unit @ self.turn).reshape(len(unit), self.parts, -1)
-        scores = np.einsum("npd,pdc->npc", turned, self.own)
-        half = self.parts // 2
-        left, right = self._sums(scores[:, :half]), self._sums(scores[:, half:])
-        rest, out = right.max(1), []
-        for a, b, most in zip(left, right, rest):
-            first = np.flatnonzero(a >= self.threshold - most)
-            i, j = np.nonzero(a[first, None] + b[None, :] >= self.threshold)
-            out.append(np.sort(first[i] * b.size + j))
-        return out
+        out: list[list] = [[] for _ in unit]
+        for table, turn in enumerate(self.turns):
+            scores = self._scores(unit, turn)
+            half = self.parts // 2
+            left, right = self._sums(scores[:, :half]), self._sums(scores[:, half:])
+            for row, a, b, most in zip(out, left, right, right.max(1)):
+                first = np.flatnonzero(a >= self.threshold - most)
+                i, j = np.nonzero(a[first, None] + b[None, :] >= self.threshold)
+                row.append(np.sort((table * a.size + first[i]) * b.size + j))
+        return [np.concatenate(x) for x in out]
 
     def _sums(self, scores: np.ndarray) -> np.ndarray:
         total = scores[:, 0]
@@ -149,7 +157,7 @@ def _verify(least: float):
 def near_duplicates(vectors: DataFrame, least: float = 0.98, block: int = 2048, **filters) -> DataFrame:
     """(vec_id, n_links, component_id, kept), one row per row of ``vectors``; links only within equal, non-null labels.
 
-    Reads ``vec_id``, ``embedding`` and ``label``.  ``filters``: parts, codes, mean_list and seed of ``CapFilters``.
+    Reads ``vec_id``, ``embedding`` and ``label``.  ``filters``: tables, parts, codes, mean_list and seed of ``CapFilters``.
     """
     spark = vectors.sparkSession
     ship(spark)
