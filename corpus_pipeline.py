@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logloom.llm import language_id, packing, simhash, substring
-from logloom.llm.common import Staged
+from logloom.llm.common import Staged, aside
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -31,11 +31,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the words that windows of 35 repeated words cover.  A document that loses all its words stays, with an empty text."""
-    kept = substring.remove_repeats(docs)
+    placed = aside(docs, "text", "n_chars")
+    kept = substring.remove_repeats(placed)
     if "n_chars" in docs.columns:
         changed = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
         kept = kept.withColumn("n_chars", changed.cast(docs.schema["n_chars"].dataType))
-    return kept.select(*docs.columns)
+    return kept.select(*placed.columns).toDF(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
