@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from logloom.functions.intents import CATEGORIES, category_label, with_intent
@@ -70,9 +71,10 @@ def eval_filter(messages: DataFrame, o: EvalOptions) -> DataFrame:
 
 
 def eval_page(messages: DataFrame, o: EvalOptions) -> DataFrame:
-    return eval_filter(messages, o).orderBy(
-        F.desc(F.coalesce("timestamp", F.lit(""))), *SESSION, F.coalesce("line", F.lit(0)), "eval_id").offset(
-        clamp_offset(o.offset)).limit(clamp_limit(o.limit, 200))
+    """One page, newest first; ``rank`` counts from 1 over all matches, and the rows come in its order."""
+    order = [F.desc(F.coalesce("timestamp", F.lit(""))), *map(F.col, SESSION), F.coalesce("line", F.lit(0)), F.col("eval_id")]
+    page = eval_filter(messages, o).orderBy(*order).offset(clamp_offset(o.offset)).limit(clamp_limit(o.limit, 200))
+    return page.withColumn("rank", clamp_offset(o.offset) + F.row_number().over(W.orderBy(*order))).orderBy("rank")
 
 
 def eval_summary(messages: DataFrame) -> DataFrame:

@@ -110,9 +110,9 @@ def hidden_category(category: Column, *hidden: Sequence[str]) -> Column:
 
 
 def last_days_of_data(df: DataFrame, days: int, column: str = "timestamp") -> DataFrame:
-    """Rows of the last days before the latest timestamp in the data; undated rows drop."""
-    newest = df.agg((parse_ts(F.max(column)) - F.expr(f"INTERVAL {int(days)} DAYS")).alias("cutoff")).scalar()
-    return df.filter(newest.isNull() | (parse_ts(F.col(column)) >= newest))
+    """Rows of the last days before the latest instant in the data; rows without an instant drop."""
+    newest = df.agg((F.max(parse_ts(F.col(column))) - F.expr(f"INTERVAL {int(days)} DAYS")).alias("cutoff")).scalar()
+    return df.filter(parse_ts(F.col(column)) >= newest)
 
 
 def visible_session(corpus: Corpus, session_id: str, file_path: str | None = None, date_key: str | None = None,

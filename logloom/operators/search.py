@@ -37,7 +37,7 @@ class SearchOptions(Scope):
 
 
 def clamp_limit(limit: int | None, default: int = 100) -> int:
-    return max(1, min(10_000, int(limit))) if limit else default
+    return max(1, int(limit)) if limit else default
 
 
 def clamp_offset(offset: int | None) -> int:
@@ -97,7 +97,7 @@ def _match_index(matches: DataFrame, page: DataFrame) -> DataFrame:
     counts = placed.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
     # Running totals over the chunk list, itself range-partitioned: rank every chunk, then add up partitions.
     before = _running_before(counts, on)
-    inside = placed.join(F.broadcast(page.select(*on).distinct()), on, "left_semi")
+    inside = placed.join(page.select(*on).distinct(), on, "left_semi")
     inside = inside.groupBy(*on).agg(F.array_sort(F.collect_list(F.struct(*POSITION))).alias("_all"))
     index = F.array_position("_all", F.struct(*POSITION)) - 1
     return (page.join(before, on).join(inside, on)
@@ -115,11 +115,15 @@ def _running_before(counts: DataFrame, order: list[str]) -> DataFrame:
 
 
 def search_page(corpus: Corpus, o: SearchOptions) -> DataFrame:
-    """One page of results, newest first, ties in corpus order; details are added after the limit."""
+    """One page of results, newest first, ties in corpus order; details are added after the limit.
+
+    ``rank`` counts from 1 over all matches; the rows come in its order.
+    """
     matches = search_matches(corpus, o)
-    page = matches.orderBy(F.desc(F.coalesce("timestamp", F.lit(""))), *POSITION).offset(
-        clamp_offset(o.offset)).limit(clamp_limit(o.limit))
-    page = _match_index(matches, stage_table(page))  # at most 10 000 rows
+    order = [F.desc(F.coalesce("timestamp", F.lit(""))), *map(F.col, POSITION)]
+    page = stage_table(matches.orderBy(*order).offset(clamp_offset(o.offset)).limit(clamp_limit(o.limit)))
+    page = page.withColumn("rank", clamp_offset(o.offset) + F.row_number().over(W.orderBy(*order)))
+    page = _match_index(matches, page)
     page = attach_project(attach_model(page, corpus.turns), corpus, o.aliases, keep_cwd=True)
     page = with_category(page)
     return page.select(
@@ -128,7 +132,7 @@ def search_page(corpus: Corpus, o: SearchOptions) -> DataFrame:
         record_provider().alias("provider"), "source_label", "title", "provider_conversation_id", *SESSION,
         day_key(F.col("timestamp")).alias("date_key"), "project", F.col("session_cwd").alias("cwd"), "line", "turn_id",
         F.when(F.col("turn_id") != "", F.col("model")).alias("model"), "timestamp", "role", "source_event", "category",
-        "intent_key", "intent_label", snippet(F.col("content"), o.query).alias("snippet"), "content")
+        "intent_key", "intent_label", snippet(F.col("content"), o.query).alias("snippet"), "content", "rank").orderBy("rank")
 
 
 def message_index(corpus: Corpus) -> DataFrame:

@@ -74,7 +74,7 @@ def _sql(dialect: str) -> dict[str, str]:
     return {
         "lg_conv": f"""SELECT conv_id, turn, role, text, {session} AS session_id, {sec} AS sec, {turn_no} AS turn_no,
             role = 'user' AND conv_id % 3 = 0 AND conv_id % 7 = 0 AND turn = 4 AS auto FROM conversations""",
-        "lg_messages": f"""SELECT {meta('conv_id')}, session_id, turn + 1 AS line, CAST(0 AS INT) AS seq,
+        "lg_messages": f"""SELECT {meta('conv_id')}, session_id, turn + 1 + CASE WHEN alone THEN 1000 ELSE 0 END AS line, CAST(0 AS INT) AS seq,
             CASE WHEN NOT (turn = 5 AND conv_id % 4 = 1) THEN 't' || turn_no END AS turn_id,
             CASE WHEN conv_id % 11 = 0 AND turn = 3 THEN NULL WHEN conv_id % 13 = 0 AND turn = 2 THEN 'n/a'
                  ELSE {iso('sec')} END AS timestamp,
@@ -85,11 +85,11 @@ def _sql(dialect: str) -> dict[str, str]:
                  WHEN conv_id % 3 = 0 THEN 'response_item.message'
                  ELSE {provider('conv_id')} || '.' || role || '_message' END AS source_event,
             CASE WHEN role <> 'user' THEN CASE WHEN conv_id % 12 = 0 AND turn = 1 THEN ' ' ELSE text END
-                 WHEN conv_id % 7 = 3 THEN text
-                 WHEN turn % 2 = 0 AND conv_id % 2 = 0 THEN {phrase('conv_id + turn')}
+                 WHEN alone THEN {phrase('conv_id + turn')} WHEN conv_id % 7 = 3 THEN text
                  ELSE {phrase('conv_id * 3 + turn')} || ' ' || text END AS content,
             CAST(NULL AS {text}) AS phase, CAST(0 AS INT) AS images_count, CAST(0 AS INT) AS local_images_count
-            FROM lg_conv""",
+            FROM (SELECT *, false AS alone FROM lg_conv UNION ALL
+                  SELECT *, true FROM lg_conv WHERE role = 'user' AND turn % 2 = 0 AND conv_id % 2 = 0 AND conv_id % 7 <> 3) m""",
         "lg_files": f"""SELECT {meta('conv_id')}, session_id, line_count FROM (
             SELECT conv_id, max_by(session_id, turn) AS session_id, max(turn) + 1 AS line_count FROM lg_conv GROUP BY conv_id
             UNION ALL SELECT DISTINCT user_id AS conv_id, 's' || user_id AS session_id, CAST(0 AS BIGINT) AS line_count
@@ -123,9 +123,9 @@ def _sql(dialect: str) -> dict[str, str]:
         "lg_prompts": f"""SELECT 'codex' AS provider, '/docs/' || source AS file_path, 'd' || source AS session_id,
             doc_id AS line, CAST(0 AS INT) AS seq, CAST(NULL AS {text}) AS turn_id,
             {iso('1704067200 + doc_id * 60')} AS timestamp, 'user' AS role, 'event_msg.user_message' AS source_event,
-            CASE doc_id % 4 WHEN 0 THEN {phrase('doc_id')} WHEN 1 THEN {phrase('doc_id')} || ' ' || text ELSE text END
+            CASE doc_id % 4 WHEN 0 THEN {phrase('doc_id')} || {newline} || text WHEN 1 THEN {phrase('doc_id')} || ' ' || text ELSE text END
             AS content FROM documents""",
-        "lg_gold": f"""SELECT 'g' || d.doc_id AS id, {phrase('d.doc_id * 7')} AS message,
+        "lg_gold": f"""SELECT 'g' || d.doc_id AS id, {phrase('d.doc_id * 7')} || ' ' || d.text AS message,
             CASE WHEN quality = 1 AND toxic = 0 THEN 'feature-design' WHEN toxic = 1 THEN 'bug-fixes'
                  ELSE 'git-commands' END AS expected_key,
             CASE WHEN d.doc_id % 3 = 0 THEN 'implementation' END AS previous_key

@@ -13,7 +13,7 @@ from logloom.functions.content import content_to_text, is_submitted, submitted_p
 from logloom.functions.intents import with_intent
 from logloom.functions.jsonv import parse_line
 from logloom.functions.project import ProjectAlias
-from logloom.functions.text import eval_id, redact_text, sanitize_snippet
+from logloom.functions.text import eval_id, redact_text, sanitize_snippet, snippet
 from logloom.functions.times import date_preset, in_range
 from logloom.functions.usage import usage_struct, usage_struct_cursor
 from logloom.operators import audit, evals, interactions, privacy, prompts, refresh, search, sessions, tokens
@@ -146,8 +146,7 @@ def _preset(c: Corpus) -> DataFrame:
 
 @_on_corpus("last_n_days")
 def _last_days(c: Corpus) -> DataFrame:
-    dated = c.messages.filter("timestamp <> 'n/a'")
-    return last_days_of_data(dated, 7).groupBy("role").agg(F.count(F.lit(1)).alias("n"))
+    return last_days_of_data(c.messages, 7).groupBy("role").agg(F.count(F.lit(1)).alias("n"))
 
 
 @_on_corpus("warnings_in_scope")
@@ -238,7 +237,7 @@ _on_corpus("search_model")(lambda c: search.search_matches(c, search.SearchOptio
     *SESSION, "line"))
 _on_corpus("message_index")(lambda c: search.message_index(c).drop("ts", "content", "source_label", "title"))
 _on_corpus("demo_search")(lambda c: search.demo_search(
-    search.message_index(c).withColumn("snippet", F.substring("content", 1, 40)), "PROJ-A", "user").select(
+    search.message_index(c).withColumn("snippet", snippet(F.col("content"), "PROJ-A")), "PROJ-A", "user").select(
     *SESSION, "line"))
 
 
@@ -321,7 +320,7 @@ def _eval_rows(c: Corpus, o: evals.EvalOptions = evals.EvalOptions()) -> DataFra
 _on_corpus("eval_messages")(lambda c: _joined(_eval_rows(c), "signals").drop("content", "note", "rule_label"))
 _on_corpus("eval_page")(lambda c: evals.eval_page(
     _eval_rows(c, evals.EvalOptions(query="the", **RANGE)), evals.EvalOptions(review_state="incorrect", limit=7, offset=2)
-).select("eval_id", "line", "intent_key", "expected_key"))
+).select("eval_id", "line", "intent_key", "expected_key", "rank"))
 _on_corpus("eval_summary")(lambda c: evals.eval_summary(_eval_rows(c)))
 _on_corpus("eval_totals")(lambda c: evals.eval_totals(_eval_rows(c)))
 _on_corpus("eval_confusions")(lambda c: evals.eval_confusions(_eval_rows(c)))
@@ -364,6 +363,11 @@ def _secret_scan(spark: SparkSession, sf: str) -> DataFrame:
     return privacy.secret_scan(_documents(spark, sf), ["doc_id"], "text")
 
 
+@_on_tables("repository_scan")
+def _repository_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return privacy.secret_scan(_documents(spark, sf), ["doc_id"], "text", privacy.REPOSITORY_RULES)
+
+
 @_on_tables("secret_report")
 def _secret_report(spark: SparkSession, sf: str) -> DataFrame:
     return privacy.secret_report(privacy.secret_scan(_documents(spark, sf), ["doc_id", "source"], "text"), "source")
@@ -374,7 +378,7 @@ def _path_scan(spark: SparkSession, sf: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     ending = F.element_at(F.array(*[F.lit(x) for x in ("/a.PNG", "/dist/x.js", "/.env", "/k.pem", "/src/a.ts")]),
                           (F.col("page_id") % 5 + 1).cast("int"))
-    return privacy.path_scan(pages.select(F.concat(F.regexp_replace("url", r"\?.*", ""), ending).alias("file_path")))
+    return privacy.path_scan(pages.select(F.concat("url", ending).alias("file_path")))
 
 
 @_on_corpus("path_rewrite")
@@ -535,7 +539,7 @@ def _usage_cursor(spark: SparkSession, sf: str) -> DataFrame:
 @_on_tables("prompt_text")
 def _prompt_text(spark: SparkSession, sf: str) -> DataFrame:
     d = _documents(spark, sf)
-    comment = F.concat(F.lit("# Diff comments:\n\n## Comment 1\nFile: a\nComment:\n"), F.substring("text", 1, 1 << 20),
+    comment = F.concat(F.lit("# Diff comments:\n\n## Comment 1\nFile: a\nComment:\n"), F.col("text"),
                        F.lit("\n\n## Comment 2\nComment:\nsecond\n\n## My request for Codex:\n<image name=x></image>\n"))
     raw = (F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("# Files\nx\n## My request for Codex:\n"), "text", F.lit("\n<image>\n")))
            .when(F.col("doc_id") % 3 == 1, comment).otherwise(F.col("text")))
@@ -559,7 +563,7 @@ def _content(spark: SparkSession, sf: str) -> DataFrame:
 def _bounded(spark: SparkSession, sf: str) -> DataFrame:
     d = _documents(spark, sf).withColumn("b", bounded_raw(F.to_json(F.struct("text", F.struct(
         F.col("doc_id").alias("n"), F.sequence(F.lit(1), F.lit(22)).alias("list")).alias("x")))))
-    return d.filter("length(text) > 4096").select("doc_id", "b.raw", "b.raw_truncated")
+    return d.select("doc_id", "b.raw", "b.raw_truncated")
 
 
 # ---- refresh

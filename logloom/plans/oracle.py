@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from logloom.functions import intents as I
 from logloom.functions.text import EMAIL, PROVIDER_TOKEN, WS
-from logloom.operators.privacy import PATH_RULES, SECRET_RULES
+from logloom.operators.privacy import PATH_RULES, REPOSITORY_RULES, SECRET_RULES
 from logloom.plans.adapters import duckdb_views
 from logloom.schema import USAGE_FIELDS
 
@@ -419,7 +419,7 @@ _bounds = {"day": ("2024-01-17", "2024-01-17"), "week": ("2024-01-14", "2024-01-
            "year": ("2024-01-01", "2024-01-24"), "custom": ("2024-01-09", "2024-01-09")}
 add("date_preset", "x AS (SELECT 1)", "SELECT 'all' AS mode, count(*) AS n FROM lg_messages UNION ALL " + " UNION ALL ".join(
     f"SELECT {q(m)}, count(*) FROM lg_messages WHERE {ranged('timestamp', a, b)}" for m, (a, b) in _bounds.items()))
-add("last_n_days", "dm AS (SELECT * FROM lg_messages WHERE timestamp <> 'n/a')", f"""SELECT role, count(*) AS n FROM dm
+add("last_n_days", "dm AS (SELECT * FROM lg_messages)", f"""SELECT role, count(*) AS n FROM dm
     WHERE {ts('timestamp')} >= (SELECT max({ts('timestamp')}) - INTERVAL 7 DAY FROM dm) GROUP BY 1""")
 add("warnings_in_scope", WARN_FILES, "SELECT file_path, line, code FROM lg_warnings SEMI JOIN wf USING (file_path)")
 add("project_scope", f"{ctx()}, vf AS (SELECT f.* FROM lg_files f JOIN ctx USING (file_path, session_id) WHERE project = 'proj-a')",
@@ -460,15 +460,20 @@ add("intent_projects", INTENTS, """SELECT DISTINCT intent_key, coalesce(project,
     LEFT JOIN ctx USING (file_path, session_id)""")
 add("top_intents", INTENTS, "SELECT intent_key, count FROM ib ORDER BY count DESC, last_seen DESC NULLS LAST, label LIMIT 7")
 
+
+def _rank(offset: int, order: str = "coalesce(timestamp, '') DESC, file_path, line, seq, session_id") -> str:
+    return f"CAST({offset} + row_number() OVER (ORDER BY {order}) AS INTEGER) AS rank"
+
+
 _paged = "ORDER BY coalesce(timestamp, '') DESC, file_path, line, seq, session_id LIMIT {n} OFFSET {o}"
 add("search_page", search_where("contains(literal, 'the')") + f""", pg AS (SELECT * FROM hits {_paged.format(n=20, o=5)}),
     pt AS (SELECT *, {jtrim('content')} AS tr FROM pg), ps AS (SELECT *, greatest(0, strpos(lower(tr), 'the') - 33) AS start FROM pt)""",
-    f"SELECT {SEARCH_COLUMNS}, {SNIP} FROM ps")
+    f"SELECT {SEARCH_COLUMNS}, {SNIP}, {_rank(5)} FROM ps")
 add("search_count", search_where("contains(literal, 'the')"), "SELECT count(*) AS total_matches FROM hits")
 add("search_filters", search_where(f"""provider = 'codex' AND role = 'user' AND {SUB} AND project = 'proj-a' AND {ranged()}
       AND NOT coalesce(CASE WHEN cs THEN category END IN ('Git commands', 'Plan approvals'), false)""")
     + f""", pg AS (SELECT * FROM hits {_paged.format(n=50, o=0)}),
-    ps AS (SELECT *, {jtrim('content')} AS tr, 0 AS start FROM pg)""", f"SELECT {SEARCH_COLUMNS}, {SNIP} FROM ps")
+    ps AS (SELECT *, {jtrim('content')} AS tr, 0 AS start FROM pg)""", f"SELECT {SEARCH_COLUMNS}, {SNIP}, {_rank(0)} FROM ps")
 add("search_model", search_where("contains(literal, 'an') AND coalesce(CASE WHEN turn_id IS NOT NULL THEN model END, 'unknown') = 'unknown'"),
     "SELECT file_path, session_id, line FROM hits")
 add("message_index", search_where("true"), f"""SELECT concat_ws('#', file_path, provider, session_id, CAST(line AS VARCHAR),
@@ -478,7 +483,7 @@ add("message_index", search_where("true"), f"""SELECT concat_ws('#', file_path,
     CASE WHEN cs THEN category END AS category, CASE WHEN cs THEN intent_key END AS intent_key,
     CASE WHEN cs THEN intent_label END AS intent_label, literal AS normalized_content FROM hits""")
 add("demo_search", ctx(), """SELECT m.file_path, m.session_id, line FROM lg_messages m LEFT JOIN ctx USING (file_path, session_id)
-    WHERE role = 'user' AND contains(lower(content || ' ' || substr(content, 1, 40) || ' ' || project), 'proj-a')""")
+    WHERE role = 'user' AND contains(lower(content || ' ' || project), 'proj-a')""")
 
 add("carry_forward", "x AS (SELECT 1)", f"""SELECT file_path, line, max(CASE WHEN {SUB} THEN line END) OVER
     (PARTITION BY file_path ORDER BY line, seq) AS last_prompt FROM lg_messages""")
@@ -559,7 +564,8 @@ add("sanitize_snippet", "x AS (SELECT 1)", f"""SELECT file_path, session_id, lin
 
 add("eval_messages", eval_rows(), f"""SELECT eval_id, file_path, session_id, date_key, project, cwd, line, turn_id, timestamp, intent_key,
     intent_label, rule_key, confidence, signals, variant_sample AS snippet, reviewed, expected_key, is_correct, reviewed_at FROM er""")
-add("eval_page", eval_rows(f"{ranged()} AND contains({norm('content')}, 'the')"), """SELECT eval_id, line, intent_key, expected_key FROM er
+add("eval_page", eval_rows(f"{ranged()} AND contains({norm('content')}, 'the')"), f"""SELECT eval_id, line, intent_key, expected_key,
+    {_rank(0, "coalesce(timestamp, '') DESC, file_path, session_id, line, eval_id")} FROM er
     WHERE NOT is_correct ORDER BY coalesce(timestamp, '') DESC, file_path, session_id, line, eval_id LIMIT 7 OFFSET 2""")
 add("eval_summary", f"{eval_rows()}, {EVAL_SUMMARY}", f"""SELECT key, {label('key')} AS label, total, reviewed, correct, incorrect, unreviewed,
     {ratio('correct', 'reviewed')} AS precision, {ratio('e_correct', 'e_reviewed')} AS recall FROM es""")
@@ -604,9 +610,12 @@ add("classifier_mismatches", GOLD, f"""SELECT id, expected_key, intent_key AS ac
     FROM gi WHERE intent_key <> expected_key""")
 
 add("secret_scan", secret_hits("doc_id"), "SELECT doc_id, rule, CAST(hits AS INT) AS hits FROM sh")
+add("repository_scan", "x AS (SELECT 1)", " UNION ALL ".join(
+    f"SELECT doc_id, {q(n)} AS rule, CAST(len(regexp_extract_all(text, {q(p)})) AS INT) AS hits FROM documents WHERE regexp_matches(text, {q(p)})"
+    for n, p, _ in REPOSITORY_RULES))
 add("secret_report", secret_hits("doc_id, source"),
     "SELECT source, rule, CAST(sum(hits) AS BIGINT) AS hits, count(*) AS texts FROM sh GROUP BY 1, 2")
-add("path_scan", """pp AS (SELECT regexp_replace(url, '\\?.*', '') ||
+add("path_scan", """pp AS (SELECT url ||
     (['/a.PNG', '/dist/x.js', '/.env', '/k.pem', '/src/a.ts'])[page_id % 5 + 1] AS file_path FROM pages)""",
     " UNION ALL ".join(f"SELECT file_path, {q(n)} AS rule FROM pp WHERE regexp_matches(file_path, {q(('(?i)' if i else '') + p)})"
                        for n, p, i in PATH_RULES))
@@ -680,8 +689,9 @@ add("prompt_text", f"""{DOCS}, pt AS (SELECT doc_id, CASE doc_id % 3 WHEN 1 THEN
 add("content_to_text", "x AS (SELECT 1)", """SELECT conv_id, turn, CASE WHEN text <> '' THEN text || chr(10) ELSE '' END || role || chr(10) || 'nested' ||
     chr(10) || 'nested' AS text FROM conversations""")
 _list = ",".join(str(i) for i in range(1, 21))
-add("bounded_raw", DOCS, f"""SELECT doc_id, '{{"text":{{"truncated":true,"type":"string","length":' || length(text) || '}},"x":{{"n":' || doc_id ||
-    ',"list":[{_list},{{"truncated":true,"type":"array","remainingItems":2}}]}}}}' AS raw, true AS raw_truncated FROM d WHERE length(text) > 4096""")
+add("bounded_raw", DOCS, f"""SELECT doc_id, '{{"text":' || CASE WHEN length(text) > 4096 THEN
+      '{{"truncated":true,"type":"string","length":' || length(text) || '}}' ELSE CAST(to_json(text) AS VARCHAR) END || ',"x":{{"n":' || doc_id ||
+    ',"list":[{_list},{{"truncated":true,"type":"array","remainingItems":2}}]}}}}' AS raw, true AS raw_truncated FROM d""")
 
 _old = "o AS (SELECT '/in/' || source || '/' || doc_id AS file_path, n_chars AS size FROM documents WHERE doc_id % 10 <> 0 AND doc_id % 17 <> 0)"
 _new = "n AS (SELECT '/in/' || source || '/' || doc_id AS file_path, n_chars + CAST(doc_id % 7 = 0 AS INT) AS size FROM documents WHERE doc_id % 10 <> 1)"
