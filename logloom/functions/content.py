@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from logloom.functions.jsonv import arr_at, str_at
+from logloom.functions.jsonv import arr_at, at, str_at
 from logloom.functions.text import WS, collapse_ws, js_trim
 
 # Markers and generated lines of rollout prompts.
@@ -24,14 +24,14 @@ DIFF_COMMENT = (r"\nComment:\n([\s\S]*?)(?=\n\n(?:## Comment \d+|# In app browse
 AUTOMATION = [r"^automation\s*:", r"^continue working toward the active thread goal\.?$"]
 ROLES = ["user", "assistant", "system", "developer", "automation"]
 
-# Nested content arrays are followed this deep.
-CONTENT_DEPTH = 3
+# Nested content arrays are followed this deep as columns; what lies deeper stays in the text as JSON, so nothing is lost.
+CONTENT_DEPTH = 12
 
 
 def _first_text(item: Column, depth: int) -> Column:
     options = [str_at(item, "$.text"), str_at(item, "$.output_text"), str_at(item, "$.content")]
-    if depth > 1:
-        options.append(_joined(arr_at(item, "$.content"), depth - 1))
+    deeper = arr_at(item, "$.content")
+    options.append(_joined(deeper, depth - 1) if depth > 1 else F.when(deeper.isNotNull(), F.to_json(at(item, "$.content"))))
     return F.coalesce(str_at(item, "$"), *options, F.lit(""))
 
 

@@ -10,7 +10,7 @@ from logloom.session import stage_table
 from logloom.sources.claude import normalize_claude
 from logloom.sources.codex import normalize_codex
 from logloom.sources.cursor import normalize_cursor_kv, normalize_cursor_markdown, read_vscdb, storage_dir
-from logloom.sources.discovery import IGNORED, effective_provider, existing_roots, log_files
+from logloom.sources.discovery import IGNORED, effective_provider, existing_roots, found_paths, log_files
 from logloom.sources.lines import CLAUDE_PATH, plain_path, read_lines
 
 
@@ -35,7 +35,7 @@ def load_corpus(spark: SparkSession, paths: list[str] | None = None, provider: s
     ``subset`` (rows of :func:`log_files`) restricts the load to those files, which are then opened by name.
     """
     provider = effective_provider(paths, provider)
-    roots = existing_roots(paths, provider, home)
+    roots = existing_roots(spark, paths, provider, home)
     files = log_files(spark, paths, provider, home) if subset is None else subset
     kinds = {r[0] for r in files.select("kind").distinct().collect()}  # at most three values
     parts = []
@@ -68,10 +68,8 @@ def _workspaces(spark: SparkSession, files: DataFrame) -> DataFrame:
     """(path, value) of the ``workspace.json`` files beside the state files."""
     roots = [r[0] for r in files.filter(F.col("kind") == "vscdb").select(
         storage_dir(F.col("file_path")).alias("d")).filter("d IS NOT NULL").distinct().toLocalIterator()]
-    try:
-        found = spark.read.text([f"{r}/workspaceStorage/*/workspace.json" for r in roots], wholetext=True)
-    except Exception as error:
-        if roots and "PATH_NOT_FOUND" not in str(error):
-            raise
+    named = found_paths(spark, [f"{r}/workspaceStorage/*/workspace.json" for r in roots])
+    if not named:
         return spark.createDataFrame([], "path string, value string")
+    found = spark.read.text(named, wholetext=True)
     return found.select(F.col("_metadata.file_path").alias("path"), "value")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,16 +33,30 @@ def effective_provider(paths: list[str] | None, provider: str | None) -> str:
     return provider or ("all" if paths else "codex")
 
 
-def existing_roots(paths: list[str] | None, provider: str, home: str = "~") -> list[str]:
+def found_paths(spark: SparkSession, patterns: list[str]) -> list[str]:
+    """What exists of some path patterns, in any file system; patterns may name folders that start with a dot."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    out = []
+    for pattern in patterns:
+        path = jvm.org.apache.hadoop.fs.Path(pattern)
+        hits = path.getFileSystem(conf).globStatus(path)
+        out += [x.getPath().toString() for x in hits] if hits is not None else []
+    return out
+
+
+def existing_roots(spark: SparkSession, paths: list[str] | None, provider: str, home: str = "~") -> list[str]:
     """Input roots; local ones that do not exist are left out.
 
-    Spark skips folders whose name starts with a dot, so the tools' own dot folders right below a local root are
-    roots themselves.  Other dot folders have to be named.
+    Spark skips folders whose name starts with a dot, so the tools' own dot folders in a root, in its folders (a home
+    per user) or one level below are roots themselves.  Other dot folders have to be named.
     """
     roots = [p.rstrip("/") for p in (paths or default_log_roots(provider, home))]
     roots = [r for r in roots if "://" in r or os.path.exists(r)]
-    dotted = [f"{r}/{sub}" for r in roots if "://" not in r for sub in DEFAULT_ROOTS["codex"] + DEFAULT_ROOTS["claude"]]
-    return roots + [d for d in dotted if d not in roots and os.path.isdir(d)]
+    folders = [r for r in roots if "://" in r or os.path.isdir(r)]
+    own = DEFAULT_ROOTS["codex"] + DEFAULT_ROOTS["claude"]
+    dotted = found_paths(spark, [f"{r}{below}/{sub}" for r in folders for below in ("", "/*", "/*/*") for sub in own])
+    dotted = [re.sub(r"\Afile:/+", "/", d) for d in dotted]
+    return roots + [d for d in dict.fromkeys(dotted) if d not in roots]
 
 
 def log_files(spark: SparkSession, paths: list[str] | None = None, provider: str | None = None,
@@ -52,7 +67,7 @@ def log_files(spark: SparkSession, paths: list[str] | None = None, provider: str
     itself.  Only the listing is read, never the contents.
     """
     provider = effective_provider(paths, provider)
-    roots = existing_roots(paths, provider, home)
+    roots = existing_roots(spark, paths, provider, home)
     local = [r for r in roots if "://" not in r]
     schema = "file_path string, size bigint, modified timestamp, kind string"
     if not roots:

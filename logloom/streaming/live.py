@@ -31,7 +31,7 @@ def refresh_stream(spark: SparkSession, root: str, cache_dir: str, checkpoint: s
 
 
 def live_token_buckets(tokens: DataFrame, grain: str = "1 day", delay: str = "1 hour") -> DataFrame:
-    """Token sums per day or hour over a stream of token rows with an event time ``ts``.
+    """Token sums per local day or hour (of the session's zone) over a stream of token rows with an event time ``ts``.
 
     Repeated events (same file, time, turn and counters) within the delay count once; later rows drop.
     """
@@ -40,5 +40,5 @@ def live_token_buckets(tokens: DataFrame, grain: str = "1 day", delay: str = "1
     unique = tokens.withColumns(keys).withWatermark("ts", delay).dropDuplicatesWithinWatermark(
         ["file_path", "timestamp", "turn_id", *keys])
     pattern = "yyyy-MM-dd" if grain.endswith("day") else "yyyy-MM-dd HH:00"
-    sums = unique.groupBy(F.window("ts", grain).alias("w")).agg(*sum_usage())
-    return sums.select(F.date_format("w.start", pattern).alias("bucket"), *USAGE_FIELDS)
+    bucket = F.coalesce(F.date_format("ts", pattern), F.lit("unknown")).alias("bucket")
+    return unique.groupBy(bucket).agg(*sum_usage()).select("bucket", *USAGE_FIELDS)

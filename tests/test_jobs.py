@@ -157,6 +157,28 @@ def test_live_buckets_drop_repeats(spark, tmp_path):
         ("2026-01-01", 12), ("2026-01-02", 6), ("2026-01-04", 6)]
 
 
+def test_live_buckets_in_another_zone(spark, tmp_path):
+    usage = ", ".join(f"cast(1 as bigint) as {n}" for n in USAGE_FIELDS)
+    data = spark.sql(f"""SELECT 'f' AS file_path, 'x' AS timestamp, 't' AS turn_id, timestamp'2026-01-01T22:00:00Z' AS ts, struct({usage}) AS usage""")
+    data.write.parquet(str(tmp_path / "in"))
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    try:
+        stream = spark.readStream.schema(data.schema).parquet(str(tmp_path / "in"))
+        (live_token_buckets(stream).writeStream.outputMode("complete").format("memory").queryName("live_zone")
+         .option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()).awaitTermination(120)
+        assert rows(spark.table("live_zone"), "bucket") == [("2026-01-02",)]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_last_days_ignore_unreadable_instants(spark):
+    from logloom.operators.scope import last_days_of_data
+
+    df = spark.createDataFrame([("2026-01-01T00:00:00Z",), ("2026-01-20T00:00:00Z",), ("n/a",), (None,)], "timestamp string")
+    assert rows(last_days_of_data(df, 7)) == [("2026-01-20T00:00:00Z",)]
+
+
 def test_classifier_gate(spark):
     gold = spark.createDataFrame([
         ("a", "deploy it", "deploy-release-run-build", None), ("b", "commit", "git-commands", "research"),

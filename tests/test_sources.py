@@ -177,3 +177,35 @@ def test_discovery(spark, write):
     assert sorted(rows(log_files(spark, [root, d]), "file_path", "kind")) == [(a, "jsonl"), (d, "md")]
     assert rows(log_files(spark, [root], "cursor")) == []
     assert rows(log_files(spark, [root + "/missing"])) == []
+
+
+def test_log_folders_below_homes(spark, write, tmp_path):
+    a = write("homes/ana/.codex/sessions/2026/a.jsonl", [event(0, "session_meta", id="A")])
+    b = write("homes/team/bo/.claude/projects/p/b.jsonl", [{"type": "summary", "summary": "x"}])
+    for root in (str(tmp_path / "homes"), f"file://{tmp_path}/homes"):
+        assert sorted(rows(log_files(spark, [root]), "file_path")) == [(a,), (b,)]
+
+
+def test_workspaces_of_two_stores(spark, write, tmp_path):
+    from logloom.sources.corpus import _workspaces
+
+    write("one/User/workspaceStorage/w1/workspace.json", [{"folder": "file:///w/app"}])
+    stores = [(f"{tmp_path}/{n}/User/globalStorage/state.vscdb", "vscdb") for n in ("one", "two")]
+    found = _workspaces(spark, spark.createDataFrame(stores, "file_path string, kind string")).collect()
+    assert len(found) == 1 and "/w/app" in found[0].value
+
+
+def test_deep_content_is_kept(spark):
+    from logloom.functions.content import content_to_text
+    from logloom.functions.jsonv import parse_line
+
+    def nest(depth):
+        value = [{"text": "deep"}]
+        for i in range(depth):
+            value = [{"content": value}, {"text": f"t{i}"}]
+        return json.dumps({"content": value})
+
+    df = spark.createDataFrame([(d, nest(d)) for d in (0, 4, 9, 20)], "d int, v string")
+    got = dict(rows(df.select("d", content_to_text(parse_line(df.v), "$.content").alias("t")), "d", "t"))
+    assert got[4] == "deep\nt0\nt1\nt2\nt3" and got[9].split("\n") == ["deep", *[f"t{i}" for i in range(9)]]
+    assert "deep" in got[20] and all(f"t{i}" in got[20] for i in range(20))
