@@ -6,9 +6,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: The parser's own limit of 20 million characters a string would make a record with a large inline image unreadable.
+_LIMITS = {"maxStringLen": str(2**31 - 1)}
+
+
 def parse_line(line: Column) -> Column:
-    """VARIANT of a one-value JSON text, null when malformed (trailing text included)."""
-    wrapped = F.try_parse_json(F.concat(F.lit("["), line, F.lit("]")))
+    """VARIANT of a one-value JSON text, null when malformed (trailing text included) or nested over 1000 levels deep."""
+    wrapped = F.from_json(F.concat(F.lit("["), line, F.lit("]")), "variant", _LIMITS)
     return F.when(F.try_variant_get(wrapped, "$[1]", "variant").isNull(),
                   F.try_variant_get(wrapped, "$[0]", "variant"))
 

@@ -209,3 +209,10 @@ def test_deep_content_is_kept(spark):
     got = dict(rows(df.select("d", content_to_text(parse_line(df.v), "$.content").alias("t")), "d", "t"))
     assert got[4] == "deep\nt0\nt1\nt2\nt3" and got[9].split("\n") == ["deep", *[f"t{i}" for i in range(9)]]
     assert "deep" in got[20] and all(f"t{i}" in got[20] for i in range(20))
+
+
+def test_long_strings_are_parsed(spark):
+    from logloom.functions.jsonv import parse_line, str_at
+
+    df = spark.range(1).selectExpr("""concat('{"t":"', repeat('x', 30000000), '"}') AS v""")
+    assert df.selectExpr("v").select(str_at(parse_line(df.v), "$.t").alias("t")).selectExpr("length(t)").first()[0] == 30_000_000
