@@ -403,6 +403,7 @@ add("metrics_long", f"{PROMPTS}, {SESSION_DAYS.replace(ctx() + ',', ctx() + ',',
     + " UNION ALL ".join(f"SELECT {q(n)}, CAST({n} AS VARCHAR) FROM tt" for n in [*_single, "unknown_events", "parse_warnings"])
     + " UNION ALL " + " UNION ALL ".join(f"SELECT {q(n)}, CAST({n} AS VARCHAR) FROM tk" for n in _tokens)
     + """ UNION ALL SELECT 'repeated_user_messages', CAST(least(10, count(*)) AS VARCHAR) FROM rg
+    UNION ALL SELECT 'repeated_user_message_groups', CAST(count(*) AS VARCHAR) FROM rg
     UNION ALL SELECT 'providers', string_agg(provider, '|' ORDER BY messages DESC, provider) FROM pv
     UNION ALL SELECT 'prompt_intent_classified_messages', CAST(count_if(intent_key <> 'other') AS VARCHAR) FROM cj
     UNION ALL SELECT 'prompt_intent_unclassified_messages', CAST(count_if(intent_key = 'other') AS VARCHAR) FROM cj

@@ -10,7 +10,7 @@ from logloom.functions.intents import with_group_key
 from logloom.functions.project import ALL_PROJECTS
 from logloom.functions.text import REDACTED
 from logloom.operators.context import SESSION
-from logloom.operators.prompts import (intent_projects, intent_summary, intent_totals, repeated_projects,
+from logloom.operators.prompts import (intent_projects, intent_summary, intent_totals, repeated_groups, repeated_projects,
                                        repeated_prompts, repeated_variants)
 from logloom.operators.scope import Scope, scoped_corpus, visible_session
 from logloom.operators.search import with_category
@@ -42,13 +42,16 @@ def summary_totals(corpus: Corpus, scope: Scope = Scope()) -> DataFrame:
         n(c.unknown_events).alias("unknown_events"), n(c.warnings).alias("parse_warnings"))
 
 
-def summarize(corpus: Corpus, scope: Scope = Scope()) -> dict[str, DataFrame]:
-    """Every part of the summary.  Lists that grow with the data are tables of their own."""
+def summarize(corpus: Corpus, scope: Scope = Scope(), repeated_limit: int = 10) -> dict[str, DataFrame]:
+    """Every part of the summary.  Lists that grow with the data are tables of their own.
+
+    ``repeated_limit`` bounds the list of repeated prompts; ``repeated_total`` counts all of their groups.
+    """
     c = scoped_corpus(corpus, scope)
     # Contexts come from the whole corpus: a date range does not change where a session ran.
     wide = Corpus(**{**corpus.tables(), "messages": c.messages})
     sessions = session_days(corpus, scope)
-    repeated = repeated_prompts(c.messages)
+    repeated = repeated_prompts(c.messages, repeated_limit)
     intents = intent_summary(wide, scope.aliases)
     return {
         "totals": summary_totals(corpus, scope),
@@ -64,6 +67,7 @@ def summarize(corpus: Corpus, scope: Scope = Scope()) -> dict[str, DataFrame]:
         "intent_totals": intent_totals(intents),
         "intent_projects": intent_projects(wide, scope.aliases),
         "repeated": repeated,
+        "repeated_total": repeated_groups(c.messages).agg(F.count(F.lit(1)).alias("groups")),
         "repeated_variants": repeated_variants(c.messages, repeated),
         "repeated_projects": repeated_projects(wide, scope.aliases),
     }
@@ -117,6 +121,7 @@ def metrics_long(parts: dict[str, DataFrame], project: str = ALL_PROJECTS) -> Da
     repeated = parts["repeated"].agg(F.count(F.lit(1)).alias("n"))
     fixed = [
         rows(parts["totals"].withColumn("project", F.lit(project)), 0, {n: n for n in ["project", *TOTALS[:6]]}),
+        rows(parts["repeated_total"], 9, {"repeated_user_message_groups": "groups"}),
         rows(repeated, 10, {"repeated_user_messages": "n"}), rows(names, 11, {"providers": "p"}),
         rows(parts["intent_totals"], 12, {f"prompt_intent_{n}": n for n in ("classified_messages",
                                                                           "unclassified_messages")}),

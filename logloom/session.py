@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,18 +26,9 @@ def configure(spark: SparkSession, time_zone: str = "UTC") -> SparkSession:
 
 
 def staging_dir(spark: SparkSession) -> str:
-    """Shared folder for staged tables: ``spark.checkpoint.dir`` of the session.
-
-    Only a local-mode session without the setting gets a temporary folder of its own.
-    """
+    """Shared folder for staged tables: ``spark.checkpoint.dir`` of the session, or one in its warehouse where that is unset."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-    folder = tempfile.mkdtemp(prefix="logloom-stage-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return (configured or f"{spark.conf.get('spark.sql.warehouse.dir')}/staged").rstrip("/")
 
 
 def stage_table(df: DataFrame, partition_by: str | None = None) -> DataFrame:

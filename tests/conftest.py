@@ -1,6 +1,7 @@
 import json
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -15,7 +16,8 @@ def spark():
     from logloom import configure
 
     session = (SparkSession.builder.master("local[8]").config("spark.ui.enabled", "false")
-               .config("spark.sql.shuffle.partitions", "4").config("spark.driver.memory", "8g").getOrCreate())
+               .config("spark.sql.shuffle.partitions", "4").config("spark.driver.memory", "8g")
+               .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="logloom-tests-")).getOrCreate())
     session.sparkContext.setLogLevel("OFF")
     return configure(session)
 
