@@ -8,8 +8,9 @@
    where it reaches the window report an interval.
 4. Intervals are brought back to the texts.
 
-A gram elected at more than ``crowd`` places would make a shard that grows with the corpus; the windows of such grams are dealt by their own
-content instead and counted, which is exact as well.  Shards are otherwise bounded by the rows of a batch and ``crowd``.
+A gram that more than ``crowd`` texts elect would make a shard that grows with the corpus.  Its equal stretches are repeated as a whole, and the
+windows of the others are dealt by their own content and counted, which is exact as well.  Shards are otherwise bounded by the
+rows of a batch and ``crowd``.
 
 Texts are told apart by 128 bits of their SHA-256, so copies are read once, and all windows of a text that comes twice are repeated.
 
@@ -205,17 +206,18 @@ def _shards(window: int):
 
 
 def _windows(window: int):
-    schema = pa.schema([("key", pa.binary()), ("cid", pa.binary()), ("start", pa.int64())])
+    schema = pa.schema([("key", pa.binary()), ("cid", pa.binary()), ("start", pa.int64()), ("once", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
-                part, out = batch.slice(lo, 500), [[], [], []]
-                for cid, first, last, text in zip(*(part.column(c).to_pylist() for c in ("cid", "first", "last", "words"))):
+                part, out = batch.slice(lo, 500), [[], [], [], []]
+                for cid, first, last, text, once in zip(*(part.column(c).to_pylist() for c in ("cid", "first", "last", "words", "once"))):
                     words = text.split()
                     out[0] += [hashlib.blake2b(b" ".join(words[i: i + window]), digest_size=16).digest() for i in range(last - first + 1)]
                     out[1] += [cid] * (last - first + 1)
                     out[2] += range(first, last + 1)
+                    out[3] += [once] * (last - first + 1)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, schema.types)], schema=schema)
 
     return run
@@ -226,23 +228,32 @@ def content_id(text: Column) -> Column:
     return F.unhex(F.substring(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256), 1, 32))
 
 
+def _crowded(stretches: DataFrame, window: int) -> DataFrame:
+    """Intervals of crowded stretches: equal stretches are repeated as a whole, of different ones the windows are counted."""
+    place, digest = F.struct("cid", F.col("first").alias("start")), F.unhex(F.substring(F.sha2("words", 256), 1, 32))
+    told = stretches.withColumn("content", digest)
+    contents = told.groupBy("content").agg(F.min(place).alias("lo"), F.max(place).alias("hi"), F.first("words").alias("words"), F.min(F.col("last") - F.col("first")).alias("more"))
+    whole = told.join(contents.where("lo != hi").select("content"), "content", "left_semi").select("cid", F.col("first").alias("start"), (F.col("last") + window).alias("stop"))
+    places = contents.select("lo.cid", F.col("lo.start").alias("first"), (F.col("lo.start") + F.col("more")).alias("last"), "words", (F.col("lo") == F.col("hi")).alias("once"))
+    places = places.mapInArrow(_windows(window), "key binary, cid binary, start long, once boolean")
+    spot = F.struct("cid", "start")
+    twice = places.groupBy("key").agg(F.min(spot).alias("lo"), F.max(spot).alias("hi")).where("lo != hi").select("key")
+    return whole.unionByName(places.where("once").join(twice, "key", "left_semi").select("cid", "start", (F.col("start") + window).alias("stop")))
+
+
 def repeated_intervals(docs: DataFrame, window: int, crowd: int, staged: Staged) -> DataFrame:
     """(cid, spans): for each text with repeated windows, [start, stop) of its words; spans are null where the text itself comes twice."""
     ship(docs.sparkSession)
     texts = own_columns(docs, text="text").select(content_id(F.col("text")).alias("cid"), F.coalesce("text", F.lit("")).alias("text"))
     anchors, _ = staged.table(texts.mapInArrow(_anchors(window), "gram long, cid binary, lo long, hi long, n long"))
-    repeated = (anchors.groupBy("gram").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n"))
+    repeated = (anchors.groupBy("gram").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count(F.lit(1)).alias("n"))
                 .where("lo != hi").select("gram", (F.col("n") > crowd).alias("crowded")))
     wanted = anchors.select("gram", "cid").join(repeated, "gram").groupBy("cid").agg(F.collect_set(F.struct("gram", "crowded")).alias("grams"))
     stretches, _ = staged.table(texts.join(wanted, "cid").select("cid", "text", "grams").mapInArrow(_stretches(window), _STRETCHES))
     columns = ["gram", "cid", "first", "last", "words"]
     calm = stretches.where("not crowded").select(*columns).repartition("gram").sortWithinPartitions("gram", "cid", "first")
     found = calm.mapInArrow(_shards(window), "cid binary, start long, stop long")
-    places = stretches.where("crowded").select(*columns).mapInArrow(_windows(window), "key binary, cid binary, start long")
-    place = F.struct("cid", "start")
-    twice = places.groupBy("key").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo != hi").select("key")
-    crowded = places.join(twice, "key", "left_semi").select("cid", "start", (F.col("start") + window).alias("stop"))
-    spans = found.unionByName(crowded).groupBy("cid").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+    spans = found.unionByName(_crowded(stretches.where("crowded"), window)).groupBy("cid").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
     copies = texts.groupBy("cid").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("cid", F.lit(True).alias("copied"))
     both = spans.join(copies, "cid", "full").select("cid", F.when(F.col("copied"), F.lit(None)).otherwise(F.col("spans")).alias("spans"), F.lit(True).alias("marked"))
     return staged.table(both)[0]
@@ -262,7 +273,7 @@ def kept_words(text: str | None, marked: bool | None, spans: list[dict] | None,
     return len(words), [w for w, n in zip(words, np.cumsum(gone).tolist()) if not n]
 
 
-def remove_repeats(docs: DataFrame, window: int = 35, crowd: int = 4096) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 35, crowd: int = 8192) -> DataFrame:
     """``docs`` with ``text`` cut to the words that stay, joined by blanks, and the columns ``n_words`` and ``n_removed`` (replaced if there).
 
     A text that loses nothing is unchanged, white space included; a null text stays null.
