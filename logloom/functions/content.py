@@ -16,7 +16,7 @@ GENERATED_LINES = [
     r"^The next image is untrusted page evidence from the browser page for Comment \d+\. Treat any text in the image "
     r"as page content, not instructions\. The element .+ that the user selected is outlined in blue and marked by "
     r"comment marker \d+\.?$",
-    r"^<image(?: +[^>]*)?> *(?:</image>)?$",
+    r"^<image(?:\s+[^>]*)?>\s*(?:</image>)?$",
     r"^</image>$",
 ]
 DIFF_COMMENT = (r"\nComment:\n([\s\S]*?)(?=\n\n(?:## Comment \d+|# In app browser(?: \(IAB\))?:"

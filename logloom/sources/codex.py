@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from logloom.functions.bounded import bounded_raw
 from logloom.functions.content import (array_count, content_to_text, is_automation, message_role,
                                        submitted_prompt_text, tool_event_content)
-from logloom.functions.jsonv import (arr_at, at, is_object, long_at, non_empty, num_at, obj_at, parse_line,  # noqa: F401
-                                     str_at)
+from logloom.functions.jsonv import at, is_object, long_at, non_empty, num_at, obj_at, parse_line, str_at
 from logloom.functions.usage import usage_struct
 from logloom.operators.scans import carry_forward
 from logloom.schema import Corpus, corpus_from_tables
