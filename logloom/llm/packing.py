@@ -2,10 +2,9 @@
 
 A document's tokens are cut into pieces of at most ``size`` tokens; pieces are placed into sequences of that size.  Full pieces are
 sequences of their own.  The others are packed group by group: each piece goes where the sum, over all residual gaps, of the squared
-count of open sequences with that gap becomes smallest, a new sequence being one of the choices.  Pieces come largest first, ties by
-document and piece, so a task that runs again places them alike.  A group holds about ``group`` pieces, whatever the size of the input, and
-keeps only its open sequences by gap (at most ``size`` counts).  What stays open in a group is one sequence in hundreds, not worth a
-second round.
+count of open sequences with that gap becomes smallest, a new sequence being one of the choices.  What lies in sequences that
+stay open is placed anew as long as that saves any.  Pieces come largest first, ties by document and piece, so a task that runs again
+places them alike.  A group holds about ``group`` pieces, whatever the size of the input.
 
 Defined results: a null text is empty, so its document is the end token alone; repeated rows are packed as often as they come; a null
 document id is a document; an empty table gives no pieces.
@@ -23,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logloom.llm import bpe
-from logloom.llm.common import Staged, own_columns, ship, slices
+from logloom.llm.common import Staged, own_columns, ship, slices, whole_groups
 
 
 _ENCODERS: dict = {}
@@ -101,22 +100,41 @@ class SumOfSquares:
         return sequence, size - gap
 
 
+def place_all(lengths: list[int], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sequence and offset of each piece, in the order given; what lies in sequences that stay open is placed anew while that saves any."""
+    sequence, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
+    left, opened, done = np.arange(len(lengths)), len(lengths) + 1, 0
+    while len(left):
+        packer = SumOfSquares(size)
+        placed = np.array([packer.place(lengths[i]) for i in left], np.int64)
+        if packer.made >= opened:
+            break
+        sequence[left], offset[left] = done + placed[:, 0], placed[:, 1]
+        still = np.isin(placed[:, 0], [s for own in packer.open for s in own])
+        opened = len(np.unique(placed[still, 0]))
+        full, at = np.unique(placed[~still, 0], return_inverse=True)
+        sequence[left[~still]] = done + at
+        done += len(full)
+        _, at = np.unique(placed[still, 0], return_inverse=True)
+        left = left[still]
+        sequence[left] = done + at
+    return sequence, offset
+
+
 def _pack(size: int, columns: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, packer = None, None
-        for batch in batches:
-            sequence, offset = np.empty(batch.num_rows, np.int64), np.empty(batch.num_rows, np.int64)
-            for i, (own, length) in enumerate(zip(batch.column("_group").to_pylist(), batch.column("length").to_pylist())):
-                if own != group:
-                    group, packer = own, SumOfSquares(size)
-                sequence[i], offset[i] = packer.place(length)
-            sequence += batch.column("_group").to_numpy().astype(np.int64) << 32
-            yield pa.RecordBatch.from_arrays([*map(batch.column, columns), pa.array(sequence), pa.array(offset)], names=[*columns, "sequence_id", "offset"])
+        for table, starts in whole_groups(batches, ["_group"]):
+            for a, b in zip(starts, starts[1:]):
+                own = table.slice(a, b - a).combine_chunks()
+                sequence, offset = place_all(own.column("length").to_pylist(), size)
+                sequence += own.column("_group")[0].as_py() << 32
+                whole = own.select(columns).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
+                yield from whole.to_batches(max_chunksize=10_000)
 
     return run
 
 
-def pack(pieces: DataFrame, size: int = 1024, group: int = 100_000) -> DataFrame:
+def pack(pieces: DataFrame, size: int = 1024, group: int = 50_000) -> DataFrame:
     """``pieces`` (doc_id, piece, start, length, ids_crc32 and maybe ids) with ``sequence_id`` and ``offset``.
 
     ``pieces`` is read twice, so it should be a written table.  Lengths are from 1 to ``size``.
