@@ -31,12 +31,22 @@ def staging_dir(spark: SparkSession) -> str:
     return (configured or f"{spark.conf.get('spark.sql.warehouse.dir')}/staged").rstrip("/")
 
 
+def delete_at_exit(spark: SparkSession, path: str) -> None:
+    """Have the driver's file system remove a staged table when its JVM ends."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+
+
 def stage_table(df: DataFrame, partition_by: str | None = None) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back (cuts lineage, survives executor loss)."""
+    """Write ``df`` once to the shared folder and read it back (cuts lineage, survives executor loss).
+
+    The table goes when the driver ends.
+    """
     spark = df.sparkSession
     path = f"{staging_dir(spark)}/stage-{uuid.uuid4().hex}"
     writer = df.write.mode("errorifexists")
     if partition_by:
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)
+    delete_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
