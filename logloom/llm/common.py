@@ -12,6 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logloom.session import delete_at_exit
+
 #: Characters or bytes of text that a task turns into numpy arrays at once.
 SLICE = 1 << 20
 
@@ -31,7 +33,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Staged:
-    """Tables written to the shared folder, each readable until ``drop`` is called for it."""
+    """Tables written to the shared folder, each readable until ``drop`` is called for it or the driver ends."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root = spark, f"{shared_dir(spark)}/llm-{uuid.uuid4().hex}"
@@ -42,6 +44,7 @@ class Staged:
         self.made += 1
         path = f"{self.root}/{self.made}"
         df.write.parquet(path)
+        delete_at_exit(self.spark, self.root)
         return self.spark.read.schema(df.schema).parquet(path), path
 
     def drop(self, path: str) -> None:
