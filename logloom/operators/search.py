@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from logloom.functions.content import is_codex_submitted, is_submitted
 from logloom.functions.intents import OPERATIONAL, with_intent
 from logloom.functions.text import normalize_query, normalize_text, search_result_id, snippet
-from logloom.functions.times import day_key, in_range, parse_ts
+from logloom.functions.times import UNKNOWN, day_key, in_range, parse_ts
 from logloom.operators.context import SESSION, attach_model, attach_project
 from logloom.operators.scans import line_chunk
 from logloom.operators.scope import Scope, hidden_category, provider_in_scope
@@ -163,6 +164,48 @@ def write_message_index(corpus: Corpus, path: str) -> None:
      .write.mode("overwrite").partitionBy("provider", "date_key").parquet(path))
 
 
+INDEX_COLUMNS = ["provider", *SESSION, "date_key", "project", "cwd", "line", "turn_id", "model", "timestamp", "role", "source_event", "category",
+                 "intent_key", "intent_label"]
+
+
+def search_index(index: DataFrame, o: SearchOptions) -> DataFrame:
+    """The rows of :func:`search_page` without their ids, from the table of :func:`write_message_index`; ``model`` is the stored one.
+
+    One pass, nothing derived anew: provider and day prune the folders that are read, the rest are filters on stored columns.  Projects are those of
+    the index, so ``aliases`` have no effect.
+    """
+    m = index.withColumn("date_key", F.col("date_key").cast("string"))
+    if o.provider and o.provider != "all":
+        m = m.filter(F.col("provider") == o.provider)
+    for value, column in ((o.session_id, "session_id"), (o.file_path, "file_path"), (o.date_key, "date_key")):
+        if (value or "").strip():
+            m = m.filter(F.col(column) == value.strip())
+    if o.role and o.role != "all":
+        m = m.filter(F.col("role") == o.role)
+    if o.submitted_only:
+        m = m.filter(is_submitted())
+    if o.has_dates:
+        undated, day = F.col("date_key") == UNKNOWN, F.col("date_key")
+        since, until = (b[:10] if b and re.match(r"\d{4}-\d{2}-\d{2}($|T)", b) else None for b in (o.since, o.until))
+        for kept in ([undated | (day >= F.date_format(F.date_sub(F.lit(since).cast("date"), 1), "yyyy-MM-dd"))] if since else []) + (
+                [undated | (day <= F.date_format(F.date_add(F.lit(until).cast("date"), 1), "yyyy-MM-dd"))] if until else []):
+            m = m.filter(kept)  # a day of slack for bounds in another zone; the exact test follows
+        m = m.filter(in_range(F.col("timestamp"), o.since, o.until))
+    if normalize_query(o.query):
+        m = m.filter(F.col("normalized_content").contains(F.lit(normalize_query(o.query))))
+    if o.one_project:
+        m = m.filter(F.col("project") == o.one_project)
+    if (o.model or "").strip() not in ("", "all"):
+        m = m.filter(F.coalesce("model", F.lit("unknown")) == o.model.strip())
+    hidden = [h.strip() for h in o.hidden_categories if h.strip()]
+    if hidden:
+        m = m.filter(hidden_category(F.col("category"), hidden))
+    order = [F.desc(F.coalesce("timestamp", F.lit(""))), *map(F.col, POSITION)]
+    page = m.orderBy(*order).offset(clamp_offset(o.offset)).limit(clamp_limit(o.limit))
+    page = page.withColumn("rank", clamp_offset(o.offset) + F.row_number().over(W.orderBy(*order)))
+    return page.select(*INDEX_COLUMNS, snippet(F.col("content"), o.query).alias("snippet"), "content", "rank").orderBy("rank")
+
+
 def demo_search(rows: DataFrame, query: str = "", role: str = "all", project: str | None = None) -> DataFrame:
     """Plain containment over content, snippet and project."""
     out = rows

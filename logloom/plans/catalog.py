@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import date
 
@@ -24,6 +25,7 @@ from logloom.operators.scope import (Scope, automation_messages, hidden_category
 from logloom.plans import summary
 from logloom.plans.adapters import corpus_from_sf, prompt_corpus, table_views
 from logloom.schema import Corpus
+from logloom.session import delete_at_exit, staging_dir
 from logloom.sources.claude import normalize_claude
 from logloom.sources.codex import normalize_codex
 from logloom.sources.cursor import normalize_cursor_kv, normalize_cursor_markdown
@@ -236,6 +238,20 @@ _on_corpus("search_filters")(lambda c: _page(search.search_page(c, FILTERS)))
 _on_corpus("search_model")(lambda c: search.search_matches(c, search.SearchOptions(model="unknown", query="an")).select(
     *SESSION, "line"))
 _on_corpus("message_index")(lambda c: search.message_index(c).drop("ts", "content", "source_label", "title"))
+
+
+def _indexed(options: search.SearchOptions) -> Query:
+    """The index written to the staging folder, then searched there."""
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        path = f"{staging_dir(spark)}/index-{uuid.uuid4().hex}"
+        search.write_message_index(corpus_from_sf(spark, sf), path)
+        delete_at_exit(spark, path)
+        return search.search_index(spark.read.parquet(path), options).drop("content")
+    return run
+
+
+QUERIES["search_page_index"] = _indexed(PAGE)
+QUERIES["search_filters_index"] = _indexed(FILTERS)
 _on_corpus("demo_search")(lambda c: search.demo_search(
     search.message_index(c).withColumn("snippet", snippet(F.col("content"), "PROJ-A")), "PROJ-A", "user").select(
     *SESSION, "line"))

@@ -475,6 +475,9 @@ add("search_filters", search_where(f"""provider = 'codex' AND role = 'user' AND
       AND NOT coalesce(CASE WHEN cs THEN category END IN ('Git commands', 'Plan approvals'), false)""")
     + f""", pg AS (SELECT * FROM hits {_paged.format(n=50, o=0)}),
     ps AS (SELECT *, {jtrim('content')} AS tr, 0 AS start FROM pg)""", f"SELECT {SEARCH_COLUMNS}, {SNIP}, {_rank(0)} FROM ps")
+for _name in ("search_page", "search_filters"):
+    add(f"{_name}_index", SQL[_name][0], f"""SELECT * EXCLUDE (id)
+        REPLACE (CASE WHEN turn_id IS NOT NULL THEN coalesce(model, 'unknown') END AS model) FROM ({SQL[_name][1]})""")
 add("search_model", search_where("contains(literal, 'an') AND coalesce(CASE WHEN turn_id IS NOT NULL THEN model END, 'unknown') = 'unknown'"),
     "SELECT file_path, session_id, line FROM hits")
 add("message_index", search_where("true"), f"""SELECT concat_ws('#', file_path, provider, session_id, CAST(line AS VARCHAR),
