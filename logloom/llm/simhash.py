@@ -7,12 +7,16 @@ which could not hold the trees of a whole corpus; a shard of more than ``block``
 and every part of the shard is searched in each of them.  A task reports a spanning forest of its links, never pairs.
 
 * ``exact_plan(radius)``: 64 bits in radius + 1 pieces.  Fingerprints that differ in ``radius`` bits or fewer agree on one piece, so no link is lost.
-* ``similar_plan()``: for shingle sets with a Jaccard similarity of 0.8 or more, whose fingerprints differ in about 15 % of their bits:
-  32 keys of 16 bits from 8 lanes find such a pair with a probability of 0.91 (0.98 at 0.85, above 0.99 at 0.9), and 256 bits judge it.
+* ``similar_plan()``: links texts whose sets of shingles have a Jaccard similarity of 0.8 or more.  Fingerprints only name the candidates: those
+  of a pair at 0.8 differ in about 15 % of their bits, so one of 64 keys of 16 bits from 16 lanes is equal with a probability of 0.99, and up
+  to 68 of 256 bits may differ.  Each candidate is then judged by the exact similarity of the two sets, as 64-bit hashes.
+
+Candidates of a set plan come in two rounds: first one for each node and block, which joins most groups with as many links as they have nodes;
+then, among the nodes that have a candidate at all, every candidate between groups that are still apart.
 
 Defined results: a text is split at ASCII white space after lower-casing A-Z; a text with fewer words than a shingle is one shingle; a null or
-empty text has the fingerprint zero and links like any other.  Equal fingerprints are one node, so copies cost nothing.  Repeated rows
-are rows of their own.
+empty text has the fingerprint zero, no shingles, and links like any other.  Equal fingerprints (in a set plan: equal sets) are one node, so copies
+cost nothing.  Repeated rows are rows of their own.
 """
 
 from __future__ import annotations
@@ -26,22 +30,26 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from xxhash import xxh64_intdigest
+from xxhash import xxh3_128_digest, xxh64_intdigest
 
 from logloom.llm.bktree import BKForest
-from logloom.llm.common import Staged, aside, own_columns, paired_blocks, ship, whole_groups
+from logloom.llm.common import Staged, aside, own_columns, paired_blocks, ship, slices, whole_groups
 from logloom.llm.components import connected_components
 
 
 @dataclass(frozen=True)
 class Plan:
-    """Shingle length, lanes, key fields (lane, shift, bits), and how many of the lanes judge a pair within how many bits."""
+    """Shingle length, lanes, key fields (lane, shift, bits), and how many of the lanes judge a pair within how many bits.
+
+    With ``jaccard`` (numerator, denominator) fingerprints are those of shingle sets, and links need that similarity of the sets.
+    """
 
     words: int
     lanes: int
     keys: tuple[tuple[int, int, int], ...]
     judged: int
     radius: int
+    jaccard: tuple[int, int] | None = None
 
 
 def exact_plan(words: int = 3, radius: int = 2) -> Plan:
@@ -49,8 +57,8 @@ def exact_plan(words: int = 3, radius: int = 2) -> Plan:
     return Plan(words, 1, tuple((0, a, b - a) for a, b in zip(edges, edges[1:])), 1, radius)
 
 
-def similar_plan(words: int = 5, lanes: int = 8, bits: int = 16, judged: int = 4, radius: int = 46) -> Plan:
-    return Plan(words, lanes, tuple((lane, shift, bits) for lane in range(lanes) for shift in range(0, 65 - bits, bits)), judged, radius)
+def similar_plan(words: int = 5, lanes: int = 16, bits: int = 16, judged: int = 4, radius: int = 68) -> Plan:
+    return Plan(words, lanes, tuple((lane, shift, bits) for lane in range(lanes) for shift in range(0, 65 - bits, bits)), judged, radius, (4, 5))
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -87,11 +95,29 @@ def fingerprint(hashes: np.ndarray, lanes: int = 1) -> np.ndarray:
 def _fingerprints(plan: Plan):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text")
-            prints = np.stack([fingerprint(shingle_hashes(t.as_py(), plan.words), plan.lanes) for t in texts] or [np.zeros(plan.lanes, np.uint64)])
-            lanes = [pa.array(np.ascontiguousarray(prints[: len(texts), i]).view(np.int64)) for i in range(plan.lanes)]
+            n = batch.num_rows
+            prints, names = np.zeros((n, plan.lanes), np.uint64), np.zeros((n, 3), np.int64)
+            for i, text in enumerate(batch.column("text")):
+                hashes = shingle_hashes(text.as_py(), plan.words)
+                if plan.jaccard:
+                    hashes = np.unique(hashes)
+                    names[i] = *np.frombuffer(xxh3_128_digest(hashes.tobytes()), np.int64), len(hashes)
+                prints[i] = fingerprint(hashes, plan.lanes)
             own = ["doc_id", "_r1", "_r2"]
-            yield pa.RecordBatch.from_arrays([*map(batch.column, own), *lanes], names=[*own, *_lanes(plan.lanes)])
+            columns = [*map(batch.column, own), *(pa.array(np.ascontiguousarray(prints[:, i]).view(np.int64)) for i in range(plan.lanes))]
+            if plan.jaccard:
+                columns += [pa.array(np.ascontiguousarray(names[:, i])) for i in range(3)]
+            yield pa.RecordBatch.from_arrays(columns, names=[*own, *_lanes(plan.lanes), *_sets(plan)])
+
+    return run
+
+
+def _shingle_sets(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                sets = [np.unique(shingle_hashes(t, words)).view(np.int64) for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
 
     return run
 
@@ -100,30 +126,46 @@ def _lanes(n: int) -> list[str]:
     return [f"f{i}" for i in range(n)]
 
 
+def _sets(plan: Plan) -> list[str]:
+    """128 bits that name a shingle set, and its size."""
+    return ["s1", "s2", "n"] if plan.jaccard else []
+
+
 def fingerprints(docs: DataFrame, plan: Plan) -> DataFrame:
-    """(doc_id, _r1, _r2, f0, f1, ...) of every whole text; lanes are signed 64-bit numbers, _r1 and _r2 name the row."""
+    """(doc_id, _r1, _r2, f0, f1, ...) of every whole text; lanes are signed 64-bit numbers, _r1 and _r2 name the row.
+
+    For a set plan also s1 and s2, which name the set of shingles, and n, its size.
+    """
     ship(docs.sparkSession)
     rows = own_columns(docs, doc_id="doc_id", text="text").withColumns(_row_keys("doc_id", "text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(_fingerprints(plan), f"doc_id {kind}, _r1 long, _r2 long, " + ", ".join(f"{x} long" for x in _lanes(plan.lanes)))
+    return rows.mapInArrow(_fingerprints(plan), f"doc_id {kind}, _r1 long, _r2 long, " + ", ".join(f"{x} long" for x in [*_lanes(plan.lanes), *_sets(plan)]))
+
+
+_KEY = ["_key", "_lo", "_hi"]
+
+
+def _met(batches: Iterator[pa.RecordBatch], plan: Plan) -> Iterator[tuple[pa.Table, Iterator[tuple[np.ndarray, np.ndarray]]]]:
+    """Tables of whole shards, with the pairs of their rows within the radius."""
+    for table, starts in whole_groups(batches, _KEY):
+        prints = np.stack([table.column(x).to_numpy().view(np.uint64) for x in _lanes(plan.judged)], axis=1)
+        group = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+        part, lo, hi = (table.column(x).to_numpy() for x in ("_part", "_lo", "_hi"))
+        held, asked = np.flatnonzero(part == lo), np.flatnonzero(part == hi)
+        asked = asked[np.isin(group[asked], group[held])]
+        trees, of_tree = np.unique(group[held], return_inverse=True)
+        found = BKForest(prints[held], of_tree).search(prints[asked], np.searchsorted(trees, group[asked]), plan.radius) if len(held) else ()
+        yield table, ((asked[query], held[node]) for query, node in found)
 
 
 def _search(plan: Plan):
     schema = pa.schema([("node", pa.int64()), ("root", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, starts in whole_groups(batches, ["_key", "_lo", "_hi"]):
-            prints = np.stack([table.column(x).to_numpy().view(np.uint64) for x in _lanes(plan.judged)], axis=1)
-            group = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
-            part, lo, hi = (table.column(x).to_numpy() for x in ("_part", "_lo", "_hi"))
-            held, asked = np.flatnonzero(part == lo), np.flatnonzero(part == hi)
-            asked = asked[np.isin(group[asked], group[held])]
-            trees, of_tree = np.unique(group[held], return_inverse=True)
-            label = np.arange(len(prints))
-            if len(held):
-                forest = BKForest(prints[held], of_tree)
-                for query, node in forest.search(prints[asked], np.searchsorted(trees, group[asked]), plan.radius):
-                    label = _merged(label, asked[query], held[node])
+        for table, pairs in _met(batches, plan):
+            label = np.arange(table.num_rows)
+            for a, b in pairs:
+                label = _merged(label, a, b)
             rows = np.flatnonzero(label != np.arange(len(label)))
             nodes = table.column("node").to_numpy()
             if len(rows):
@@ -132,6 +174,33 @@ def _search(plan: Plan):
     return run
 
 
+def _candidates(plan: Plan, every: bool):
+    """Pairs of nodes whose sets have to be compared: ``every`` one of different ``_c``, or for each node the one with the smallest node of its block."""
+    schema, (over, under) = pa.schema([("a", pa.int64()), ("b", pa.int64())]), plan.jaccard
+
+    def batch(nodes: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(nodes[a], nodes[b])), pa.array(np.maximum(nodes[a], nodes[b]))], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, pairs in _met(batches, plan):
+            nodes, size, group = (table.column(x).to_numpy() for x in ("node", "n", "_c"))
+            low = np.full(len(nodes), len(nodes))
+            for a, b in pairs:
+                # sets of too different a size cannot be similar enough
+                able = (group[a] != group[b]) & (under * np.minimum(size[a], size[b]) >= over * np.maximum(size[a], size[b]))
+                a, b = a[able], b[able]
+                if every:
+                    yield batch(nodes, a, b)
+                    continue
+                np.minimum.at(low, a, b)
+                np.minimum.at(low, b, a)
+            rows = np.flatnonzero(low < len(nodes))
+            if len(rows):
+                yield batch(nodes, rows, low[rows])
+
+    return run
+
+
 def _merged(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Labels (row numbers, smallest of each component so far) after the links a - b."""
     while True:
@@ -151,6 +220,41 @@ def _key(plan: Plan, i: int) -> Column:
     return F.lit(i << 40).cast("long") + field
 
 
+def _laid(nodes: DataFrame, plan: Plan, block: int, *more: str) -> DataFrame:
+    """Copies of the nodes in the order of their shards; a key of a single node makes none."""
+    keys = F.explode(F.array(*[_key(plan, i) for i in range(len(plan.keys))])).alias("_key")
+    columns = ["node", *_lanes(plan.judged), *more]
+    shared = nodes.select(keys).groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    met = paired_blocks(nodes.select(*columns, keys).join(shared, "_key"), "_n", "node", block)
+    return met.select(*_KEY, "_part", *columns).repartition(*_KEY).sortWithinPartitions(*_KEY, "node")
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
+    """Those pairs (a, b) whose sets are as similar as the plan asks for, in whole numbers."""
+    over, under = plan.jaccard
+    both = pairs.join(sets.toDF("a", "_sa"), "a").join(sets.toDF("b", "_sb"), "b")
+    shared = F.size(F.array_intersect("_sa", "_sb")).cast("long")
+    return both.where((over + under) * shared >= over * (F.size("_sa").cast("long") + F.size("_sb"))).select("a", "b")
+
+
+def _set_links(rows: DataFrame, nodes: DataFrame, plan: Plan, block: int, staged: Staged) -> DataFrame:
+    """(a, b): links between nodes by the exact similarity of their sets; ``rows`` holds the texts under the row keys."""
+    def candidates(some: DataFrame, every: bool) -> DataFrame:
+        laid = _laid(some, plan, block, "n", "_c")
+        return staged.table(laid.mapInArrow(_candidates(plan, every), "a long, b long").distinct())[0]
+
+    first = candidates(nodes.withColumn("_c", F.col("node")), False)
+    wanted = first.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    some, _ = staged.table(nodes.join(wanted, "node", "left_semi"))
+    texts = rows.join(some.select("node", "_r1", "_r2"), ["_r1", "_r2"]).select("node", "text")
+    sets = texts.mapInArrow(_shingle_sets(plan.words), "node long, shingles array<long>").groupBy("node").agg(F.first("shingles").alias("shingles"))
+    sets, _ = staged.table(sets)
+    linked, _ = staged.table(_similar(first, sets, plan))
+    groups = connected_components(linked, "a", "b", staged)
+    apart = some.join(groups, "node", "left").withColumn("_c", F.coalesce("component", "node")).drop("component")
+    return linked.unionByName(staged.table(_similar(candidates(apart, True), sets, plan))[0])
+
+
 def near_duplicates(docs: DataFrame, plan: Plan | None = None, block: int = 4096) -> DataFrame:
     """(doc_id, _r1, _r2, f0, ..., component_id, first): one row per document; component_id is the smallest doc_id reachable by links.
 
@@ -159,17 +263,20 @@ def near_duplicates(docs: DataFrame, plan: Plan | None = None, block: int = 4096
     plan, spark = plan or exact_plan(), docs.sparkSession
     staged, lanes = Staged(spark), _lanes(plan.lanes)
     prints, _ = staged.table(fingerprints(docs, plan).withColumn("rid", F.monotonically_increasing_id()))
-    nodes, _ = staged.table(prints.groupBy(*lanes).agg(F.min("rid").alias("node")))
-    keyed = nodes.select("node", *_lanes(plan.judged), F.explode(F.array(*[_key(plan, i) for i in range(len(plan.keys))])).alias("_key"))
-    shared = nodes.select(F.explode(F.array(*[_key(plan, i) for i in range(len(plan.keys))])).alias("_key")).groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    met = paired_blocks(keyed.join(shared, "_key"), "_n", "node", block)
-    key = ["_key", "_lo", "_hi"]
-    laid = met.select(*key, "_part", "node", *_lanes(plan.judged)).repartition(*key).sortWithinPartitions(*key, "node")
-    found, _ = staged.table(laid.mapInArrow(_search(plan), "node long, root long"))
-    groups = connected_components(found, "node", "root", staged)
-    of_print = nodes.join(groups, "node", "left").select(*lanes, F.coalesce("component", "node").alias("_c"))
-    members = prints.join(of_print, lanes)
-    smallest = of_print.join(prints, lanes).groupBy("_c").agg(F.min("doc_id").alias("component_id"), F.min_by("rid", F.struct("doc_id", "rid")).alias("_first"))
+    if plan.jaccard:
+        same = ["s1", "s2"]
+        one = prints.groupBy(*same, "n", *lanes).agg(F.min(F.struct("rid", "_r1", "_r2")).alias("_one"))
+        nodes, _ = staged.table(one.select(*same, "n", *lanes, F.col("_one")["rid"].alias("node"), "_one._r1", "_one._r2"))
+        rows = own_columns(docs, doc_id="doc_id", text="text").withColumns(_row_keys("doc_id", "text"))
+        groups = connected_components(_set_links(rows, nodes, plan, block, staged), "a", "b", staged)
+    else:
+        same = lanes
+        nodes, _ = staged.table(prints.groupBy(*lanes).agg(F.min("rid").alias("node")))
+        found, _ = staged.table(_laid(nodes, plan, block).mapInArrow(_search(plan), "node long, root long"))
+        groups = connected_components(found, "node", "root", staged)
+    of_print = nodes.join(groups, "node", "left").select(*same, F.coalesce("component", "node").alias("_c"))
+    members = prints.join(of_print, same)
+    smallest = of_print.join(prints, same).groupBy("_c").agg(F.min("doc_id").alias("component_id"), F.min_by("rid", F.struct("doc_id", "rid")).alias("_first"))
     return members.join(smallest, "_c").select("doc_id", "_r1", "_r2", *lanes, "component_id", (F.col("rid") == F.col("_first")).alias("first"))
 
 

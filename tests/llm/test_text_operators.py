@@ -88,6 +88,33 @@ def test_simhash_keeps_one_of_each_group(spark):
     assert kept.count() == 3 and kept.select("spans").distinct().count() == 1
 
 
+def test_similar_sets_against_brute_force(spark):
+    """Links are exact in the sets of shingles: neither one hot shingle nor equal fingerprints drop a text."""
+    rng = random.Random(11)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    ruler = ["0"] * 400
+    texts = [" ".join(ruler + words(40)) for _ in range(4)]
+    texts += [" ".join(words(3) * 300 + words(20)) for _ in range(2)]
+    template = words(30)
+    texts += [" ".join(template + words(n)) for n in (4, 5, 6, 7, 8, 20) for _ in range(6)]  # Jaccard similarity of 0.76, ...
+    for n in (8, 60, 500):
+        base = words(n)
+        texts += [" ".join(base), " ".join(base + words(1)), " ".join(words(1) + base + base[:5]), " ".join(base[: n - n // 8]), " ".join(base + base)]
+    texts += ["", "   ", "one two", "One  TWO", "one three", "a b c d e", "a b c d e a b c d e"]
+    sets = []
+    for t in texts:
+        w = t.encode().lower().split()
+        sets.append({tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    root = components(range(len(texts)), lambda a, b: sets[a] == sets[b] or 9 * len(sets[a] & sets[b]) >= 4 * (len(sets[a]) + len(sets[b])))
+    assert all(root[i] == i for i in range(6)) and len(set(root.values())) < len(texts) - 10
+    df = docs(spark, list(enumerate(texts)))
+    for block in (4096, 7):
+        found = simhash.near_duplicates(df, simhash.similar_plan(), block).select("doc_id", "component_id", "first").collect()
+        assert {r[0]: r[1] for r in found} == root
+        assert sorted(r[0] for r in found if r[2]) == sorted(set(root.values()))
+    assert sorted(r[0] for r in simhash.deduplicated(df).select("doc_id").collect()) == sorted(set(root.values()))
+
+
 def test_simhash_empty(spark):
     assert simhash.near_duplicates(docs(spark, [])).count() == 0
     assert simhash.deduplicated(docs(spark, [])).count() == 0
