@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +28,30 @@ from logloom.llm.common import Staged, own_columns, ship, slices, whole_groups
 
 _ENCODERS: dict = {}
 
+#: Characters of white space in a row from which a run is encoded as a piece of its own: the compiled library's pattern fails on a million.
+RUN = 100_000
+
+
+def _encode(fast: tiktoken.Encoding, text: str) -> bytes:
+    return fast.encode_to_numpy(text, allowed_special="all").astype("<u4").tobytes()
+
+
+def _encode_runs(fast: tiktoken.Encoding, pairs: bpe.BytePairs, text: str, run: int) -> bytes:
+    """The same ids, long runs of white space aside: the pattern makes one piece of a run, without its last character where a text goes on."""
+    out, longest = [], regex.compile(rf"\s{{{run},}}")
+    for part in pairs.at_added.split(text) if pairs.at_added else [text]:
+        if part in pairs.added:
+            out.append(_encode(fast, part))
+            continue
+        done = 0
+        for found in longest.finditer(part):
+            start, stop = found.start(), found.end() - (found.end() < len(part))
+            ids = fast._core_bpe.encode_single_piece(part[start:stop].encode()) if start < stop else []
+            out += [_encode(fast, part[done:start]), np.array(ids, "<u4").tobytes()]
+            done = stop
+        out.append(_encode(fast, part[done:]))
+    return b"".join(out)
+
 
 def _encoder(vocabulary: str):
     """Text to packed ids, once per process.  Where a vocabulary's ids follow its merges, a compiled library gives the same ids sooner."""
@@ -34,7 +59,7 @@ def _encoder(vocabulary: str):
         pairs = bpe.load(vocabulary)
         if pairs.ranked:
             fast = tiktoken.Encoding("own", pat_str=bpe.PATTERN, mergeable_ranks=pairs.ids, special_tokens=pairs.added)
-            _ENCODERS[vocabulary] = lambda text: fast.encode_to_numpy(text, allowed_special="all").astype("<u4").tobytes()
+            _ENCODERS[vocabulary] = lambda text: _encode(fast, text) if len(text) < RUN else _encode_runs(fast, pairs, text, RUN)
         else:
             _ENCODERS[vocabulary] = pairs.encode
     return _ENCODERS[vocabulary]

@@ -213,6 +213,25 @@ def test_bpe_decodes_broken_characters():
     assert "".join(pairs.decode(ids, step=1)) == b"\xe6\x97a\xff\xf0\x9f\x91\x8d\xe6".decode("utf-8", "replace")
 
 
+def test_packing_of_long_white_space(spark):
+    pairs = bpe.load(VOCABULARY)
+    texts = {1: " " * 2_000_000, 2: "\n" * 2_000_000, 3: "one" + " \n" * 1_000_000 + "two", 4: "short"}
+    pieces = packing.pack_documents(docs(spark, list(texts.items())), VOCABULARY, with_ids=True).collect()
+    got = {i: b"".join(p["ids"] for p in sorted(pieces, key=lambda p: p["piece"]) if p["doc_id"] == i)[:-4] for i in texts}
+    assert got[1] == pairs.encode(" ") * 2_000_000 and got[2] == pairs.encode("\n" * 1000) * 2000
+    assert all("".join(pairs.decode(got[i])) == t for i, t in texts.items())
+
+
+def test_runs_of_white_space_keep_their_ids():
+    packing._encoder(VOCABULARY)
+    pairs, rng = bpe.load(VOCABULARY), random.Random(8)
+    fast = packing.tiktoken.Encoding("own", pat_str=bpe.PATTERN, mergeable_ranks=pairs.ids, special_tokens=pairs.added)
+    parts = ["a", "the", " ", "  ", "\n", "\t", "=", "é", "<|endoftext|>", "'s", "1", "\u3000", "\xa0", "\x85", "\x1c"]
+    for _ in range(2000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(40)))
+        assert packing._encode_runs(fast, pairs, text, rng.randrange(1, 5)) == pairs.encode(text) == packing._encode(fast, text)
+
+
 def test_packing(spark):
     library = Tokenizer.from_file(VOCABULARY)
     rows = [r for r in awkward() if r[0] != 6]
