@@ -8,9 +8,9 @@
    where it reaches the window report an interval.
 4. Intervals are brought back to the texts.
 
-A gram that more than ``crowd`` texts elect would make a shard that grows with the corpus.  Its equal stretches are repeated as a whole, and the
-windows of the others are dealt by their own content and counted, which is exact as well.  Shards are otherwise bounded by the
-rows of a batch and ``crowd``.
+A gram that is elected at more than ``crowd`` places, in many texts or often in one, would make a shard that grows with the corpus.  Its equal
+stretches are repeated as a whole, and the windows of the others are dealt by their own content and counted, which is exact as well.  Shards
+are otherwise bounded by the rows of a batch and ``crowd``.
 
 Texts are told apart by 128 bits of their SHA-256, so copies are read once, and all windows of a text that comes twice are repeated.
 
@@ -210,14 +210,20 @@ def _windows(window: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part, out = batch.slice(lo, 500), [[], [], [], []]
-                for cid, first, last, text, once in zip(*(part.column(c).to_pylist() for c in ("cid", "first", "last", "words", "once"))):
-                    words = text.split()
-                    out[0] += [hashlib.blake2b(b" ".join(words[i: i + window]), digest_size=16).digest() for i in range(last - first + 1)]
-                    out[1] += [cid] * (last - first + 1)
-                    out[2] += range(first, last + 1)
-                    out[3] += [once] * (last - first + 1)
+            out: list[list] = [[], [], [], []]
+            for i in range(batch.num_rows):
+                cid, first, last, text, once = (batch.column(c)[i].as_py() for c in ("cid", "first", "last", "words", "once"))
+                words = text.split()
+                for lo in range(first, last + 1, 10_000):  # a stretch may be as long as a text
+                    some = range(lo, min(lo + 10_000, last + 1))
+                    out[0] += [hashlib.blake2b(b" ".join(words[k - first: k - first + window]), digest_size=16).digest() for k in some]
+                    out[1] += [cid] * len(some)
+                    out[2] += some
+                    out[3] += [once] * len(some)
+                    if len(out[0]) >= 10_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, schema.types)], schema=schema)
+                        out = [[], [], [], []]
+            if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, schema.types)], schema=schema)
 
     return run
@@ -241,14 +247,18 @@ def _crowded(stretches: DataFrame, window: int) -> DataFrame:
     return whole.unionByName(places.where("once").join(twice, "key", "left_semi").select("cid", "start", (F.col("start") + window).alias("stop")))
 
 
+def repeated_grams(anchors: DataFrame, crowd: int) -> DataFrame:
+    """(gram, crowded): grams that are elected twice; crowded are those elected at more than ``crowd`` places, however few texts these lie in."""
+    return (anchors.groupBy("gram").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n"))
+            .where("lo != hi").select("gram", (F.col("n") > crowd).alias("crowded")))
+
+
 def repeated_intervals(docs: DataFrame, window: int, crowd: int, staged: Staged) -> DataFrame:
     """(cid, spans): for each text with repeated windows, [start, stop) of its words; spans are null where the text itself comes twice."""
     ship(docs.sparkSession)
     texts = own_columns(docs, text="text").select(content_id(F.col("text")).alias("cid"), F.coalesce("text", F.lit("")).alias("text"))
     anchors, _ = staged.table(texts.mapInArrow(_anchors(window), "gram long, cid binary, lo long, hi long, n long"))
-    repeated = (anchors.groupBy("gram").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count(F.lit(1)).alias("n"))
-                .where("lo != hi").select("gram", (F.col("n") > crowd).alias("crowded")))
-    wanted = anchors.select("gram", "cid").join(repeated, "gram").groupBy("cid").agg(F.collect_set(F.struct("gram", "crowded")).alias("grams"))
+    wanted = anchors.select("gram", "cid").join(repeated_grams(anchors, crowd), "gram").groupBy("cid").agg(F.collect_set(F.struct("gram", "crowded")).alias("grams"))
     stretches, _ = staged.table(texts.join(wanted, "cid").select("cid", "text", "grams").mapInArrow(_stretches(window), _STRETCHES))
     columns = ["gram", "cid", "first", "last", "words"]
     calm = stretches.where("not crowded").select(*columns).repartition("gram").sortWithinPartitions("gram", "cid", "first")

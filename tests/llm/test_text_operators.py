@@ -162,6 +162,26 @@ def test_substring(spark, window, crowd):
     assert got[0]["text"] is None
 
 
+def test_substring_counts_places_not_texts(spark):
+    """One text may elect a gram at any number of places; such a gram is crowded, and the result stays exact."""
+    rng = random.Random(21)
+    other = lambda n: " ".join(f"o{rng.randrange(10**6)}" for _ in range(n))
+    notice = other(40)
+    texts = [" ".join(f"{other(rng.randrange(1, 30))} {notice}" for _ in range(60)), f"{other(50)} {notice} {other(50)}", "y " * 30_000, other(200)]
+    df = docs(spark, list(enumerate(texts)))
+    cids = df.select(substring.content_id(F.col("text")).alias("cid"), "text")
+    substring.ship(spark)
+    anchors = cids.mapInArrow(substring._anchors(35), "gram long, cid binary, lo long, hi long, n long").collect()
+    anchors = spark.createDataFrame(anchors, "gram long, cid binary, lo long, hi long, n long")
+    places = {r[0]: r[1] for r in anchors.groupBy("gram").agg(F.sum("n")).collect()}
+    crowded = {r["gram"]: r["crowded"] for r in substring.repeated_grams(anchors, 50).collect()}
+    assert any(crowded.values()) and all(c == (places[g] > 50) for g, c in crowded.items())
+    got = substring.remove_repeats(df, 35, 50).orderBy("doc_id").collect()
+    for r, (n, removed, kept) in zip(got, brute_windows(texts, 35)):
+        assert (r["n_words"], r["n_removed"], r["text"].encode()) == (n, removed, kept if removed else r["text"].encode())
+
+
+
 def test_substring_query_and_empty(spark):
     rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
     want = {r[0]: (n, m, hashlib.sha256(k).hexdigest()) for r, (n, m, k) in zip(rows, brute_windows([r[1] for r in rows], 35))}
