@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import bpe, caps, chat, language_id, license_scan, line_dedup, packing, simhash, substring, topk, url_filter
+from logloom.llm import bpe, caps, chat, language_id, license_scan, line_dedup, packing, resample, simhash, substring, topk, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -218,3 +218,35 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (lost) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (NOT lost), '')) AS kept_sha256
 FROM m GROUP BY doc_id
 """
+
+
+@_query
+def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quarter of the documents, drawn to look like the benchmark."""
+    return resample.resample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), resample.Draw())
+
+
+#: CRC-32 of the hexadecimal bytes ``x`` in SQL, beside a relation ``crc`` with the table ``t`` of its bytes.
+_CRC_TABLE = "SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda a, j: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS t"
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(len(x) // 2), lambda i: CAST('0x' || substr(x, CAST(2 * i + 1 AS INT), 2) AS BIGINT))),
+  lambda a, b: xor(a >> 8, t[CAST((xor(a, b) & 255) + 1 AS INT)])))"""
+
+ORACLE["op12_resample"] = rf"""
+WITH crc AS ({_CRC_TABLE}),
+w AS (
+  SELECT own, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM (SELECT true AS own, doc_id AS id, text FROM documents UNION ALL SELECT false, item_id, text FROM benchmark)
+), f AS (
+  SELECT own, id, unnest(list_concat(words, list_transform(range(greatest(len(words) - 1, 0)), lambda i: words[CAST(i + 1 AS INT)] || ' ' || words[CAST(i + 2 AS INT)]))) AS feature FROM w
+), n AS MATERIALIZED (SELECT own, id, feature, count(*) AS n FROM f GROUP BY ALL),
+b AS MATERIALIZED (SELECT feature, {_CRC} % 10000 AS bucket FROM (SELECT feature, hex(encode(feature)) AS x FROM (SELECT DISTINCT feature FROM n)), crc),
+c AS (SELECT bucket, coalesce(sum(n) FILTER (own), 0) AS s, coalesce(sum(n) FILTER (NOT own), 0) AS t FROM n JOIN b USING (feature) GROUP BY bucket),
+g AS (SELECT bucket, floor(1000 * ln((t + 1.0::DOUBLE) * ((SELECT sum(s) FROM c) + 10000) / ((s + 1.0::DOUBLE) * ((SELECT sum(t) FROM c) + 10000)))) AS gain FROM c),
+d AS (SELECT id, sum(n) AS n, CAST(floor(sum(n * gain) / sum(n)) AS BIGINT) AS weight FROM n JOIN b USING (feature) JOIN g USING (bucket) WHERE own GROUP BY id),
+s AS (
+  SELECT w.id AS doc_id, len(words) AS words, CAST(coalesce(n, 0) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('7:' || w.id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score
+  FROM w LEFT JOIN d USING (id) WHERE own
+), r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM s WHERE words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= (SELECT 25 * count(*) // 100 FROM r) THEN rank END AS rank FROM s LEFT JOIN r USING (doc_id)
+"""
