@@ -45,18 +45,21 @@ def drop_repeated_lines(docs: DataFrame, least: int = 10, documents: int = 2, do
     staged = Staged(docs.sparkSession)
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped") or c in (doc_id, text)]
     rows = aside(docs.select(*[docs[f"`{c}`"] for c in names]), doc_id, text).withColumnsRenamed({doc_id: "_id", text: "_text"})
-    order = F.struct(F.col("_id").isNull().alias("absent"), F.col("_id").alias("id"))
     # A row is known by its id and text: equal rows lose equal lines.
-    placed = rows.select(*_hashes("r1", "r2", "_id", "_text"), order.alias("doc"), F.posexplode(_lines(F.col("_text"))).alias("at", "line"))
-    keyed = placed.withColumn("key", line_key(F.col("line"))).where(F.length("key") >= least)
-    lines = keyed.select("r1", "r2", "doc", "at", *_hashes("k1", "k2", "key"))
-    seen = lines.groupBy("k1", "k2").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
-    if documents > 2:  # two are told by the first and the last; more have to be counted, once per document
-        seen = lines.groupBy("k1", "k2", "doc").agg(F.count(F.lit(1)).alias("n")).groupBy("k1", "k2").agg(
-            F.min("doc").alias("first"), F.max("doc").alias("last"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= documents).drop("n")
-    repeated, _ = staged.table(seen.where(~F.col("first").eqNullSafe(F.col("last"))).select("k1", "k2", "first"))
-    # Both tables below are written, so that a join can split a key that holds much of the table.
-    lost = lines.join(repeated, ["k1", "k2"]).where(F.col("doc") != F.col("first")).groupBy("r1", "r2").agg(F.collect_set("at").alias("lost"))
+    placed = rows.select(*_hashes("r1", "r2", "_id", "_text"), F.col("_id").alias("doc"), F.posexplode(_lines(F.col("_text"))).alias("at", "line"))
+    keyed = placed.where(F.length(F.trim("line", F.lit(BLANKS))) >= least)
+    lines, _ = staged.table(keyed.select("r1", "r2", "doc", "at", *_hashes("k1", "k2", line_key(F.col("line")))))
+    known, absent = F.col("doc").isNotNull(), F.bool_or(F.col("doc").isNull())
+    seen = lines.groupBy("k1", "k2").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), absent.alias("absent"))
+    if documents > 2:  # two are told by the first and the last; more have to be counted, each document once
+        each = lines.groupBy("k1", "k2", "doc").agg(F.count(F.lit(1)).alias("_"))
+        seen = each.groupBy("k1", "k2").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), absent.alias("absent"),
+                                            F.count(F.lit(1)).alias("n")).where(F.col("n") >= documents)
+    several = (F.col("first") != F.col("last")) | (F.col("absent") & F.col("first").isNotNull())
+    # This table and the next are written, so that a join can split a key that holds much of the table.
+    repeated, _ = staged.table(seen.where(several).select("k1", "k2", "first"))
+    gone = ~known | (F.col("doc") != F.col("first"))
+    lost = lines.join(repeated, ["k1", "k2"]).where(gone).groupBy("r1", "r2").agg(F.collect_set("at").alias("lost"))
     lost, _ = staged.table(lost)
     both = rows.select("*", *_hashes("r1", "r2", "_id", "_text")).join(lost, ["r1", "r2"], "left")
     split = _lines(F.col("_text"))
