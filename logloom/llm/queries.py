@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import bpe, caps, chat, language_id, license_scan, line_dedup, packing, resample, simhash, substring, topk, url_filter
+from logloom.llm import bpe, caps, chat, language_id, license_scan, line_dedup, packing, prefix_trie, resample, simhash, substring, topk, url_filter
+from logloom.llm.common import Staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -250,3 +251,50 @@ s AS (
 ), r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM s WHERE words >= 20)
 SELECT doc_id, n_features, weight, score, CASE WHEN rank <= (SELECT 25 * count(*) // 100 FROM r) THEN rank END AS rank FROM s LEFT JOIN r USING (doc_id)
 """
+
+
+def _rebuilt(turns: DataFrame, conversations: DataFrame, staged: Staged) -> DataFrame:
+    """Every conversation with its first turns replaced by those of the one whose id is the next lower multiple of five."""
+    head = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 9
+    shape = conversations.select("conv_id", head.alias("head"), (F.col("conv_id") - F.col("conv_id") % 5).alias("base"))
+    lengths = turns.groupBy(F.col("conv_id").alias("base")).agg(F.max("position").alias("n"))
+    shape, _ = staged.table(shape.join(lengths, "base", "left").withColumn("taken", F.least("head", F.coalesce("n", F.lit(0)))))
+    first = turns.where("position <= 8").withColumnRenamed("conv_id", "base").join(shape, "base").where("position <= head")
+    own = turns.join(shape, "conv_id").where("position > head").withColumn("position", F.col("position") - F.col("head") + F.col("taken"))
+    columns = ["conv_id", "position", "role", "text"]
+    return first.select(columns).unionAll(own.select(columns))
+
+
+@_query
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every shared or own prefix of the rebuilt conversations."""
+    said, staged = _read(spark, sf_dir, "conversations"), Staged(spark)
+    ids, _ = staged.table(said.select("conv_id").where("conv_id IS NOT NULL").distinct())
+    return prefix_trie.prefix_trie(_rebuilt(prefix_trie.numbered(said, staged), ids, staged), ids, staged)
+
+
+ORACLE["op13_prefix_trie"] = rf"""
+WITH crc AS ({_CRC_TABLE}),
+said AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS p, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL
+), c AS MATERIALIZED (SELECT conv_id, {_CRC} % 9 AS h FROM (SELECT DISTINCT conv_id, hex(encode(CAST(conv_id AS VARCHAR))) AS x FROM said), crc),
+r AS (
+  SELECT c.conv_id, p, role, text FROM c JOIN said ON said.conv_id = c.conv_id - c.conv_id % 5 AND p <= h
+  UNION ALL SELECT said.conv_id, 100 + p, role, text FROM said JOIN c USING (conv_id) WHERE p > h
+), cut AS (
+  SELECT conv_id, row_number() OVER w AS depth, sha256(string_agg(sha256(role) || sha256(text), '') OVER w) AS k, strlen(text) AS bytes FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY p)
+), path AS MATERIALIZED (
+  SELECT *, lag(k) OVER w AS up, lead(k) OVER w IS NULL AS last FROM (SELECT * FROM cut UNION ALL SELECT conv_id, 0, '', 0 FROM c) WINDOW w AS (PARTITION BY conv_id ORDER BY depth)
+), node AS MATERIALIZED (
+  SELECT depth, k, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(up) AS up, (count(*) - 1) * any_value(bytes) AS own,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (last), '')) AS ends_sha256
+  FROM path GROUP BY depth, k
+), kids AS (SELECT up AS k, count(*) AS n_children FROM node GROUP BY up),
+tree AS (
+  SELECT p.k, count(*) FILTER (kids.k IS NULL) AS n_leaves, CAST(sum(own) AS BIGINT) AS saved_tokens
+  FROM node v JOIN path p ON p.conv_id = v.conv_id AND p.depth <= v.depth LEFT JOIN kids ON kids.k = v.k GROUP BY p.k
+)
+SELECT v.conv_id, v.depth, parent.conv_id AS parent_conv_id, v.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, v.ends_sha256
+FROM node v LEFT JOIN node parent ON parent.k = v.up LEFT JOIN kids ON kids.k = v.k JOIN tree ON tree.k = v.k
+"""
