@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_registered():
     assert "pipeline" in entry.queries()
-    assert sorted({int(q[2:].split("_")[0]) for q in entry.queries() if q.startswith("op")}) == list(range(1, 11))
+    assert sorted({int(q[2:].split("_")[0]) for q in entry.queries() if q.startswith("op")}) == list(range(1, 14))
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language ID", "SimHash near-dedup", "substring dedup", "best-fit packing"]
 
 
