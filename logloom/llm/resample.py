@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from logloom.llm.common import SLICE, Staged, own_columns, ship, slices
 from logloom.operators.scans import ranked
@@ -193,8 +194,9 @@ def scored(docs: DataFrame, weights: np.ndarray, plan: Draw, doc_id: str, text:
             new = [pa.array(x) for x in (n, words, weight, weight + drawn)]
             yield pa.RecordBatch.from_arrays([batch.column(1), *new, *batch.columns[3:]], names=["doc_id", "n_features", "n_words", "weight", "score", *batch.schema.names[3:]])
 
-    kept = f", carried {rows.schema['carried'].dataType.simpleString()}" if carry else ""
-    return rows.mapInArrow(score, f"doc_id {ids.simpleString()}, n_features long, n_words long, weight long, score long{kept}")
+    numbers = [StructField(c, LongType()) for c in ("n_features", "n_words", "weight", "score")]
+    schema = StructType([StructField("doc_id", ids), *numbers, *([rows.schema["carried"]] if carry else [])])
+    return rows.mapInArrow(score, schema)
 
 
 def _key() -> dict[str, Column]:
