@@ -46,7 +46,8 @@ def drop_repeated_lines(docs: DataFrame, least: int = 10, documents: int = 2, do
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped") or c in (doc_id, text)]
     rows = aside(docs.select(*[docs[f"`{c}`"] for c in names]), doc_id, text).withColumnsRenamed({doc_id: "_id", text: "_text"})
     # A row is known by its id and text: equal rows lose equal lines.
-    placed = rows.select(*_hashes("r1", "r2", "_id", "_text"), F.col("_id").alias("doc"), F.posexplode(_lines(F.col("_text"))).alias("at", "line"))
+    rows = rows.select("*", *_hashes("r1", "r2", "_id", "_text"))
+    placed = rows.select("r1", "r2", F.col("_id").alias("doc"), F.posexplode(_lines(F.col("_text"))).alias("at", "line"))
     keyed = placed.where(F.length(F.trim("line", F.lit(BLANKS))) >= least)
     lines, _ = staged.table(keyed.select("r1", "r2", "doc", "at", *_hashes("k1", "k2", line_key(F.col("line")))))
     known, absent = F.col("doc").isNotNull(), F.bool_or(F.col("doc").isNull())
@@ -61,10 +62,11 @@ def drop_repeated_lines(docs: DataFrame, least: int = 10, documents: int = 2, do
     gone = ~known | (F.col("doc") != F.col("first"))
     lost = lines.join(repeated, ["k1", "k2"]).where(gone).groupBy("r1", "r2").agg(F.collect_set("at").alias("lost"))
     lost, _ = staged.table(lost)
-    both = rows.select("*", *_hashes("r1", "r2", "_id", "_text")).join(lost, ["r1", "r2"], "left")
-    split = _lines(F.col("_text"))
-    stays = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("lost"))
-    kept = F.array_join(F.transform(stays, lambda at: F.get(split, at)), "\n")
-    out = both.withColumns({"_lines": F.size(split), "_lost": F.coalesce(F.size("lost"), F.lit(0)),
+    both = rows.join(lost, ["r1", "r2"], "left")
+    # The lines are a column of their own, used more than once: they are split once a row, not once a position.
+    both = both.withColumn("_split", _lines(F.col("_text")))
+    stays = F.array_except(F.sequence(F.lit(0), F.size("_split") - 1), F.col("lost"))
+    kept = F.array_join(F.transform(stays, lambda at: F.get("_split", at)), "\n")
+    out = both.withColumns({"_lines": F.size("_split"), "_lost": F.coalesce(F.size("lost"), F.lit(0)),
                             "_text": F.when(F.col("lost").isNull(), F.col("_text")).otherwise(kept)})
-    return out.select(*rows.columns, F.col("_lines").cast("long"), F.col("_lost").cast("long")).toDF(*names, "n_lines", "n_dropped")
+    return out.select(*rows.columns[:-2], F.col("_lines").cast("long"), F.col("_lost").cast("long")).toDF(*names, "n_lines", "n_dropped")
