@@ -1,18 +1,24 @@
-"""Incremental loads: which files to reuse, parse or remove."""
+"""Incremental loads: which files to reuse, parse, parse on or remove.
+
+A log that only grew is parsed on from the byte where its last load ended, with the session id, directory, turn and title that were in force
+there; its older rows stay where they are.  All else that changed is parsed from the start.  Lists of changed files are tables, joined, not
+collected.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.schema import TABLES, Corpus, corpus_from_tables, empty_schema
+from logloom.operators.snapshots import (MANIFEST_DDL, PARSER_VERSION, Snapshot, commit, dead_loads, live_loads, manifest, read_snapshot, snapshot,
+                                         write_load)
+from logloom.schema import TABLES, Corpus, corpus_from_tables
 from logloom.session import stage_table
+from logloom.sources import claude, codex
 from logloom.sources.corpus import load_corpus, only_provider
 from logloom.sources.discovery import default_log_roots, effective_provider, log_files
-
-PARSER_VERSION = "1"
-MANIFEST_DDL = "file_path string, size bigint, modified timestamp, parser_version string"
-BUCKETS = 256
+from logloom.sources.lines import session_id_from_path
+from logloom.sources.ranges import file_ends, ranged, read_added
 
 
 def in_scope(paths: list[str]):
@@ -56,65 +62,122 @@ def refresh_counts(diff: DataFrame, rebuild: bool = False) -> DataFrame:
                        (F.col("reused_files") + F.col("parsed_files")).alias("total_files"), status.alias("status"))
 
 
-def _bucket():
-    return F.pmod(F.xxhash64("file_path"), F.lit(BUCKETS)).cast("int")
-
-
-def _read(spark: SparkSession, path: str, ddl) -> DataFrame:
-    try:
-        return spark.read.schema(ddl).parquet(path)
-    except Exception as error:
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        return spark.createDataFrame([], ddl)
+STATE = ["sid", "cwd", "turn", "title"]
 
 
-def read_cache(spark: SparkSession, cache_dir: str) -> Corpus:
-    """The cached tables; rows without a path only mark emptied buckets."""
-    return corpus_from_tables(spark, {
-        n: _read(spark, f"{cache_dir}/{n}", empty_schema(spark, n)).filter("file_path IS NOT NULL") for n in TABLES})
+def read_cache(spark: SparkSession, cache_dir: str, version: int | None = None) -> Corpus:
+    """The cached tables of the latest snapshot, or of the named one."""
+    return read_snapshot(spark, cache_dir, version)
 
 
 def refresh_corpus(spark: SparkSession, cache_dir: str, paths: list[str] | None = None, provider: str | None = None,
                    home: str = "~", rebuild: bool = False) -> tuple[Corpus, DataFrame]:
-    """Bring the cached tables up to date and return the visible corpus and the refresh counts.
+    """Bring the cache up to date and return the visible corpus and the refresh counts.
 
-    Only new and changed files are parsed.  Tables are partitioned by a hash bucket of the file path and only
-    buckets with a changed or removed file are rewritten (dynamic partition overwrite).
+    New rows are one more load of the versioned cache (:mod:`logloom.operators.snapshots`); no older data file is rewritten.
     """
     active = effective_provider(paths, provider)
     new = stage_table(log_files(spark, paths, active, home))
-    old = _read(spark, f"{cache_dir}/manifest", MANIFEST_DDL)
+    at = snapshot(spark, cache_dir)
+    old = manifest(spark, cache_dir, at)
     # With both paths and one provider the scope is just the discovered files, so nothing else is removed.
     roots = paths if paths else default_log_roots(active, home)
     scope = F.lit(False) if paths and provider and provider != "all" else in_scope(roots)
     diff = stage_table(manifest_diff(old, new, scope, rebuild))
-    stale = diff.filter(F.col("action").isin("parse", "remove")).select("file_path")
     counts = refresh_counts(diff, rebuild)
-    if not stale.isEmpty():
-        changed = new.join(diff.filter(F.col("action") == "parse").select("file_path"), "file_path", "left_semi")
-        parsed = load_corpus(spark, paths, "all", home, subset=stage_table(changed))
-        cached = read_cache(spark, cache_dir)
-        touched = stale.select(_bucket().alias("bucket")).distinct()
-        for name in TABLES:
-            kept = getattr(cached, name).join(stale, "file_path", "left_anti").withColumn("bucket", _bucket())
-            kept = kept.join(F.broadcast(touched), "bucket", "left_semi")  # at most BUCKETS rows
-            fresh = stage_table(kept.unionByName(getattr(parsed, name).withColumn("bucket", _bucket())))
-            _overwrite(fresh, f"{cache_dir}/{name}", touched)
-        manifest = diff.filter(F.col("action").isin("reuse", "parse")).select("file_path", "size", "modified",
-                                                                               F.lit(PARSER_VERSION).alias("parser_version"))
-        outside = old.join(diff.filter(F.col("action") == "keep").select("file_path"), "file_path", "left_semi")
-        stage_table(manifest.unionByName(outside)).write.mode("overwrite").parquet(f"{cache_dir}/manifest")
+    if not diff.filter(F.col("action").isin("parse", "remove")).isEmpty():
+        _add_load(spark, cache_dir, at, old, new, diff, rebuild, paths, home)
     corpus = read_cache(spark, cache_dir)
-    listed = new.select("file_path")
-    visible = corpus.map(lambda _, df: df.join(listed, "file_path", "left_semi"))
-    return only_provider(visible, active), counts
-
-
-def _overwrite(df: DataFrame, path: str, touched: DataFrame) -> None:
-    """Replace the touched buckets; a bucket left without rows gets one row without a path, which readers skip."""
-    filler = touched.join(df.select("bucket").distinct(), "bucket", "left_anti")
-    rows = df.unionByName(filler.select("bucket"), allowMissingColumns=True)
-    # Rebalancing keeps a bucket in few files and still splits one that a huge file fills.
-    (rows.hint("rebalance", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("bucket").parquet(path))
+    if not diff.filter("action = 'keep'").isEmpty():
+        listed = new.select("file_path")
+        corpus = corpus.map(lambda _, df: df.join(listed, "file_path", "left_semi"))
+    return only_provider(corpus, active), counts
+
+
+def _work(old: DataFrame, changed: DataFrame, rebuild: bool) -> DataFrame:
+    """Changed JSON line files with where to go on from: at the old end if all up to there is still the same and ends a line, else at the start."""
+    was = old.select("file_path", F.col("size").alias("old_size"), *[F.col(c).alias(f"was_{c}") for c in ("parser_version", "tail", "terminated", "seen", "line_count", "provider", "base_load", *STATE)])
+    both = changed.join(was, "file_path", "left")
+    both = both.join(file_ends(both), "file_path")
+    grown = F.coalesce((F.col("was_parser_version") == PARSER_VERSION) & (F.col("size") > F.col("old_size")) & F.col("was_terminated") & F.col("was_seen")
+                       & (F.col("before") == F.col("was_tail")) & F.lit(not rebuild), F.lit(False))
+    both = both.withColumn("grown", grown)
+    kept = {c: F.when(F.col("grown"), F.col(f"was_{c}")) for c in ("provider", "base_load", *STATE)}
+    return both.select("file_path", "size", "modified", "kind", "tail", "terminated", "grown",
+                       F.when(F.col("grown"), F.col("old_size")).otherwise(0).alias("start"), F.when(F.col("grown"), F.col("was_line_count")).otherwise(0).alias("first_line"),
+                       *[c.alias(name) for name, c in kept.items()])
+
+
+def _parsed(work: DataFrame) -> tuple[dict[str, list[DataFrame]], DataFrame]:
+    """Tables of what was added, as parts, and (file_path, provider, line_count, seen, state) of every file."""
+    lines, found = read_added(work.select("file_path", "start", "size", "first_line", "provider"))
+    before = work.filter("grown").select("file_path", *STATE)
+    fresh = found.join(work.filter("not grown").select("file_path"), "file_path", "left_semi")
+    tables: dict[str, list[DataFrame]] = {name: [] for name in TABLES}
+    states = []
+    providers = {r[0] for r in found.select("provider").distinct().collect()}  # two at most
+    sources = [(name, source) for name, source in (("codex", codex), ("claude", claude)) if name in providers]
+    for name, source in sources:
+        mine = lines.filter(F.col("provider") == name).drop("provider")
+        if name == "codex":
+            records = stage_table(codex.carry_codex(stage_table(codex.extract_codex(mine)), before.select(
+                "file_path", "sid", F.col("cwd").alias("scwd"), F.col("turn").alias("cur_turn"))))
+            carried, built = records, codex.codex_tables(records, fresh.filter("provider = 'codex'").select("file_path", "line_count"))
+            ends = F.struct("sid", F.col("scwd").alias("cwd"), F.col("cur_turn").alias("turn"), F.lit(None).cast("string").alias("title"))
+        else:
+            records = stage_table(claude.extract_claude(mine))
+            carried = stage_table(claude.carry_claude(records, before.select("file_path", "sid", F.col("cwd.x").alias("cwd"), "title")))
+            built = claude.claude_tables(records, carried, fresh.filter("provider = 'claude'").select("file_path", "line_count"))
+            ends = F.struct("sid", F.struct(F.col("cwd").alias("x")).alias("cwd"), F.lit(None).cast("string").alias("turn"), "title")
+        states.append(carried.groupBy("file_path").agg(F.max_by(ends, "line").alias("end")))
+        for table, rows in built.items():
+            if table != "files":
+                tables[table].append(rows)
+    end = states[0] if len(states) == 1 else states[0].unionByName(states[1])
+    files = found.join(end, "file_path", "left").join(before.withColumn("saved", F.struct(*STATE)).select("file_path", "saved"), "file_path", "left")
+    files = stage_table(files.select("file_path", "provider", "line_count", "seen", F.coalesce("end", "saved").alias("end")).select(
+        "file_path", "provider", "line_count", "seen", *[F.col(f"end.{c}").alias(c) for c in STATE]))
+    for name, source in sources:
+        tables["files"].append(codex.with_meta(files.filter(F.col("provider") == name).select(
+            "file_path", "line_count", F.coalesce("sid", session_id_from_path(F.col("file_path"))).alias("session_id")), source.META))
+    return tables, files
+
+
+def _add_load(spark: SparkSession, cache_dir: str, at: Snapshot, old: DataFrame, new: DataFrame, diff: DataFrame, rebuild: bool,
+              paths: list[str] | None, home: str) -> None:
+    load = at.version + 1
+    number = F.lit(load).cast("bigint")
+    changed = new.join(diff.filter(F.col("action") == "parse").select("file_path"), "file_path", "left_semi")
+    by_range = (F.col("kind") == "jsonl") & ranged(F.col("file_path"))
+    whole = stage_table(changed.filter(~by_range))
+    work = stage_table(_work(old, changed.filter(by_range), rebuild))
+    tables: dict[str, list[DataFrame]] = {name: [] for name in TABLES}
+    entries = [whole.select("file_path", "size", "modified", "kind", number.alias("base_load"))]
+    if not work.isEmpty():
+        tables, files = _parsed(work)
+        entries.append(work.select("file_path", "size", "modified", "kind", "tail", "terminated", F.coalesce("base_load", number).alias("base_load")).join(files, "file_path"))
+    if not whole.isEmpty():  # chat stores, exports, and stores that only Spark reads
+        rest = load_corpus(spark, paths, "all", home, subset=whole)
+        for name, rows in rest.tables().items():
+            tables[name].append(rows)
+    empty = corpus_from_tables(spark, {}).tables()
+    unions = {}
+    for name, parts in tables.items():
+        out = parts[0] if parts else empty[name]
+        for part in parts[1:]:
+            out = out.unionByName(part, allowMissingColumns=True)
+        unions[name] = out
+    write_load(spark, cache_dir, load, unions)
+    kept = old.join(diff.filter(F.col("action").isin("reuse", "keep")).select("file_path"), "file_path", "left_semi")
+    rows = kept
+    for part in entries:
+        rows = rows.unionByName(part.withColumns({"parser_version": F.lit(PARSER_VERSION), "last_load": number}), allowMissingColumns=True)
+    schema = spark.createDataFrame([], MANIFEST_DDL).schema
+    path = f"{cache_dir}/manifest/{load}"
+    rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields]).write.mode("overwrite").parquet(path)
+    files = spark.read.schema(schema).parquet(path)
+    # Rows of a file that is gone, or was parsed anew, are dead in the loads that hold them.
+    replaced = old.join(files.select("file_path", F.col("base_load").alias("now")), "file_path", "left").filter("now IS NULL OR now > base_load")
+    live = live_loads(files)
+    dirty = sorted({*at.dirty, *dead_loads(replaced)} & set(live))
+    commit(spark, cache_dir, Snapshot(load, tuple(sorted(live)), tuple(dirty)))

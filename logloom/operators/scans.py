@@ -31,10 +31,11 @@ def _join_offsets(df: DataFrame, offsets: DataFrame, on: list[str]) -> DataFrame
 
 
 def carry_forward(df: DataFrame, keys: list[str], order: list[str], values: dict[str, Column],
-                  chunk: Column | None = None) -> DataFrame:
+                  chunk: Column | None = None, before: DataFrame | None = None) -> DataFrame:
     """For every name in ``values``: the latest non-null value at or before the row, in ``order`` within ``keys``.
 
-    Keys are never null.  The join and the window share one partitioning, so the rows are shuffled once.
+    Keys are never null.  The join and the window share one partitioning, so the rows are shuffled once.  ``before`` (keys and
+    a column per name, one row per key) is what an earlier scan of the group ended with: it is the summary of a chunk before all others.
     """
     base = df.withColumn("_chunk", line_chunk(order[0]) if chunk is None else chunk)
     base = base.withColumns({f"_v_{n}": F.when(v.isNotNull(), F.struct(v.alias("x"))) for n, v in values.items()})
@@ -42,8 +43,11 @@ def carry_forward(df: DataFrame, keys: list[str], order: list[str], values: dict
     ends = base.groupBy(*on).agg(*[
         F.max_by(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), F.struct(*order))).alias(f"_e_{n}") for n in values
     ])
-    before = W.partitionBy(*keys).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
-    prefix = ends.select(*on, *[F.last(f"_e_{n}", ignorenulls=True).over(before).alias(f"_p_{n}") for n in values])
+    if before is not None:
+        first = F.lit(-1).cast(ends.schema["_chunk"].dataType).alias("_chunk")
+        ends = ends.unionByName(before.select(*keys, first, *[F.when(F.col(n).isNotNull(), F.struct(F.col(n).alias("x"))).alias(f"_e_{n}") for n in values]))
+    earlier = W.partitionBy(*keys).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
+    prefix = ends.select(*on, *[F.last(f"_e_{n}", ignorenulls=True).over(earlier).alias(f"_p_{n}") for n in values])
     within = W.partitionBy(*on).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     out = base.join(prefix, on, "left")
     return out.withColumns({

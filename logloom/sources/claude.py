@@ -59,10 +59,10 @@ def extract_claude(lines: DataFrame) -> DataFrame:
     )
 
 
-def carry_claude(records: DataFrame) -> DataFrame:
-    """Session id, directory and title in force at every record."""
+def carry_claude(records: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """Session id, directory and title in force at every record; ``before`` holds those at the end of what was read earlier."""
     return carry_forward(records.filter("obj"), ["file_path"], ["line"], {
-        "sid": F.col("sid_set"), "cwd": F.col("cwd_set"), "title": F.col("title_set")}, F.col("chunk"))
+        "sid": F.col("sid_set"), "cwd": F.col("cwd_set"), "title": F.col("title_set")}, F.col("chunk"), before)
 
 
 def claude_tables(records: DataFrame, carried: DataFrame, line_counts: DataFrame) -> dict[str, DataFrame]:

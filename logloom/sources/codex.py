@@ -103,11 +103,11 @@ def extract_codex(lines: DataFrame) -> DataFrame:
     return out
 
 
-def carry_codex(records: DataFrame) -> DataFrame:
-    """Session id, session directory and turn id in force at every record."""
+def carry_codex(records: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """Session id, session directory and turn id in force at every record; ``before`` holds those at the end of what was read earlier."""
     turn = F.when(F.col("kind").isin("turn", "task_started"), non_empty(F.col("own_turn")))
     out = carry_forward(records, ["file_path"], ["line"],
-                        {"sid": F.col("sid_set"), "scwd": F.col("cwd_set"), "cur_turn": turn}, F.col("chunk"))
+                        {"sid": F.col("sid_set"), "scwd": F.col("cwd_set"), "cur_turn": turn}, F.col("chunk"), before)
     return out.withColumn("session_id", F.coalesce("sid", session_id_from_path(F.col("file_path"))))
 
 
@@ -149,8 +149,9 @@ def codex_tables(records: DataFrame, line_counts: DataFrame) -> dict[str, DataFr
         "token_usage": r.filter((k == "token_count") & F.col("usage").isNotNull()).select(
             *key, F.col("cur_turn").alias("turn_id"), "timestamp", "usage", "cumulative_usage",
             "model_context_window", "rate_limits"),
-        "task_timings": with_meta(timings, META).select(*META, "file_path", "session_id", "turn_id", "s.started_at",
-                                                        "d.*"),
+        "task_timings": with_meta(timings, META).select(
+            *META, "file_path", "session_id", "turn_id", "s.started_at", "d.*",
+            F.col("s").isNotNull().alias("has_start"), F.col("d").isNotNull().alias("has_end")),
         "tool_events": r.filter(k == "tool").select(
             *key, F.lit(0).alias("seq"), F.col("cur_turn").alias("turn_id"), "timestamp",
             F.col("payload_type").alias("event_type"), "tool.name", "tool.call_id", "content",
