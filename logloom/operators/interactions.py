@@ -27,7 +27,8 @@ def prompt_ordinals(messages: DataFrame, date_key: str | None = None) -> DataFra
     return running_sum(prompts, SESSION, ["line", "seq"], {"prompt_no": F.lit(1)})
 
 
-def _events(corpus: Corpus) -> DataFrame:
+def interaction_events(corpus: Corpus) -> DataFrame:
+    """Messages, tool events and token events in one shape; prompts and automations are boundaries."""
     none = F.lit(None).cast("string")
     no_usage = F.lit(None).cast(USAGE_TYPE)
     boundary = is_submitted() | is_automation_message()
@@ -55,7 +56,7 @@ def interaction_records(corpus: Corpus) -> DataFrame:
     Records share the interval strictly after the prompt's line and before the next boundary's line.  Assistant and
     context messages with a display text seen earlier in the same interaction are left out.
     """
-    events = _events(corpus)
+    events = interaction_events(corpus)
     # Records on the boundary's own line belong to no interval: number the line after its boundary.
     at = F.col("boundary") == 1
     placed = carry_forward(events, SESSION, ["line", "rank", "seq"],

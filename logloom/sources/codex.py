@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logloom.functions.bounded import bounded_raw
@@ -32,10 +32,14 @@ def with_meta(df: DataFrame, meta: dict[str, str]) -> DataFrame:
     return df.withColumns({k: F.lit(v) for k, v in meta.items()})
 
 
-def extract_codex(lines: DataFrame) -> DataFrame:
-    """One row per non-blank line with its routing ``kind`` and every field a record table needs."""
+def extract_codex(lines: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per non-blank line with its routing ``kind`` and every field a record table needs.
+
+    With ``carry``, blank lines stay too and these columns come along.
+    """
     v, p = F.col("v"), F.col("p")
-    base = lines.filter(~is_blank(F.col("value"))).withColumn("v", parse_line(F.col("value")))
+    base = lines if carry else lines.filter(~is_blank(F.col("value")))
+    base = base.withColumn("v", parse_line(F.col("value")))
     base = base.withColumn("malformed", v.isNull()).withColumn("obj", F.coalesce(is_object(v), F.lit(False)))
     base = base.withColumn("p", obj_at(v, "$.payload"))
     base = base.withColumns({"timestamp": str_at(v, "$.timestamp"), "top": str_at(v, "$.type"),
@@ -62,7 +66,7 @@ def extract_codex(lines: DataFrame) -> DataFrame:
     info = at(p, "$.info")
     prompt = submitted_prompt_text(str_at(p, "$.message"))
     out = base.select(
-        "file_path", "chunk", "line", "malformed", "obj", "unknown", "kind", "timestamp",
+        *carry, "file_path", "chunk", "line", "malformed", "obj", "unknown", "kind", "timestamp",
         top.alias("top_level_type"), ptype.alias("payload_type"),
         F.when(F.col("unknown"), F.col("value")).alias("value"),
         only(("session",), str_at(p, "$.id")).alias("sid_set"),
@@ -103,9 +107,14 @@ def extract_codex(lines: DataFrame) -> DataFrame:
     return out
 
 
+def turn_set() -> Column:
+    """Turn id that a record puts in force."""
+    return F.when(F.col("kind").isin("turn", "task_started"), non_empty(F.col("own_turn")))
+
+
 def carry_codex(records: DataFrame, before: DataFrame | None = None) -> DataFrame:
     """Session id, session directory and turn id in force at every record; ``before`` holds those at the end of what was read earlier."""
-    turn = F.when(F.col("kind").isin("turn", "task_started"), non_empty(F.col("own_turn")))
+    turn = turn_set()
     out = carry_forward(records, ["file_path"], ["line"],
                         {"sid": F.col("sid_set"), "scwd": F.col("cwd_set"), "cur_turn": turn}, F.col("chunk"), before)
     return out.withColumn("session_id", F.coalesce("sid", session_id_from_path(F.col("file_path"))))

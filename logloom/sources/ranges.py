@@ -55,11 +55,24 @@ def line_start(file, at: int) -> int:
     return 0
 
 
-def lines_in(file, start: int, stop: int, rest: bool = False) -> Iterator[bytes]:
-    """Lines whose newline lies in [start, stop); with ``rest`` also what follows the last newline before ``stop``."""
-    at = line_start(file, start)
+def _spans(at: int, piece: bytes, end: int) -> Iterator[tuple[int, int, bytes]]:
+    """Lines of the bytes that begin at ``at``; carriage returns end lines too, and the last line ends at ``end``."""
+    parts = piece.removesuffix(b"\r").split(b"\r")
+    for part in parts[:-1]:
+        yield at, at + len(part) + 1, part
+        at += len(part) + 1
+    yield at, end, parts[-1]
+
+
+def spans_in(file, start: int, stop: int, rest: bool = False) -> Iterator[tuple[int, int, bytes]]:
+    """(where it begins, where the next one does, text) of the lines whose newline lies in [start, stop); with ``rest`` also of what follows the last
+    newline before ``stop``."""
+    at = begin = line_start(file, start)
     held: list[bytes] = []
-    bom = at == 0
+
+    def line(piece: bytes, end: int) -> Iterator[tuple[int, int, bytes]]:
+        return _spans(begin, piece if begin else piece.removeprefix(b"\xef\xbb\xbf"), end)
+
     while at < stop:
         block = file.read_at(min(BLOCK, stop - at), at)
         if not block:
@@ -69,17 +82,19 @@ def lines_in(file, start: int, stop: int, rest: bool = False) -> Iterator[bytes]
         for i, piece in enumerate(whole):
             if i == 0 and held:
                 piece, held = b"".join([*held, piece]), []
-            if bom:
-                piece, bom = piece.removeprefix(b"\xef\xbb\xbf"), False
-            yield from piece.removesuffix(b"\r").split(b"\r")
+            end = begin + len(piece) + 1
+            yield from line(piece, end)
+            begin = end
         if last:
             held.append(last)
-    if rest and held:
-        piece = b"".join(held)
-        if bom:
-            piece = piece.removeprefix(b"\xef\xbb\xbf")
-        if piece:
-            yield from piece.removesuffix(b"\r").split(b"\r")
+    piece = b"".join(held)
+    if rest and (piece if begin else piece.removeprefix(b"\xef\xbb\xbf")):
+        yield from line(piece, begin + len(piece))
+
+
+def lines_in(file, start: int, stop: int, rest: bool = False) -> Iterator[bytes]:
+    """The texts of :func:`spans_in`."""
+    return (value for _, _, value in spans_in(file, start, stop, rest))
 
 
 def tail(file, size: int) -> tuple[int, bool]:

@@ -24,9 +24,9 @@ from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPart
 
 from logloom.session import ship_package
 from logloom.sources.discovery import IGNORED
-from logloom.sources.ranges import BLOCK, RANGE, SCHEMES, line_start, lines_in, open_file, tail
+from logloom.sources.ranges import BLOCK, RANGE, SCHEMES, open_file, spans_in, tail
 
-SCHEMA = "file_path string, epoch bigint, byte_start bigint, value string"
+SCHEMA = "file_path string, epoch bigint, byte_start bigint, byte_end bigint, value string"
 LISTED = pa.schema([("path", pa.string()), ("size", pa.int64()), ("modified", pa.int64()), ("epoch", pa.int64()), ("tail", pa.int64())])
 
 
@@ -137,19 +137,16 @@ class GrowingLinesReader(DataSourceStreamReader):
         return parts or [InputPartition(())]
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
-        names = ["file_path", "epoch", "byte_start", "value"]
         for path, epoch, start, stop in partition.value:
-            file = open_file(path)
-            first = line_start(file, start)
-            values, size = [], 0
-            for value in lines_in(file, start, stop):
-                values.append(value)
-                size += len(value)
-                if size >= 4 * BLOCK or len(values) >= 10_000:
-                    yield _batch(names, path, epoch, first, values)
-                    values, size = [], 0
-            if values:
-                yield _batch(names, path, epoch, first, values)
+            lines, size = [], 0
+            for line in spans_in(open_file(path), start, stop):
+                lines.append(line)
+                size += len(line[2])
+                if size >= 4 * BLOCK or len(lines) >= 10_000:
+                    yield _batch(path, epoch, lines)
+                    lines, size = [], 0
+            if lines:
+                yield _batch(path, epoch, lines)
 
     def commit(self, end: dict) -> None:
         """Listings before the committed one are not asked for again."""
@@ -159,10 +156,11 @@ class GrowingLinesReader(DataSourceStreamReader):
                 store.delete_file(f"{inner}/{number}.parquet")
 
 
-def _batch(names: list[str], path: str, epoch: int, first: int, values: list[bytes]) -> pa.RecordBatch:
-    n = len(values)
-    text = pa.array([v.decode("utf-8", "replace") for v in values], pa.string())
-    return pa.RecordBatch.from_arrays([pa.array([path] * n), pa.array([epoch] * n, pa.int64()), pa.array([first] * n, pa.int64()), text], names=names)
+def _batch(path: str, epoch: int, lines: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    starts, ends, values = zip(*lines)
+    n, long = len(lines), pa.int64()
+    return pa.RecordBatch.from_arrays([pa.array([path] * n), pa.array([epoch] * n, long), pa.array(starts, long), pa.array(ends, long),
+                                       pa.array([v.decode("utf-8", "replace") for v in values], pa.string())], names=["file_path", "epoch", "byte_start", "byte_end", "value"])
 
 
 class GrowingLines(DataSource):
@@ -180,10 +178,10 @@ class GrowingLines(DataSource):
 
 
 def growing_lines(spark: SparkSession, roots: list[str], listings: str) -> DataFrame:
-    """A stream of (file_path, epoch, byte_start, value): every complete line of the logs below ``roots``, once.
+    """A stream of (file_path, epoch, byte_start, byte_end, value): every complete line of the logs below ``roots``, once.
 
-    ``byte_start`` is where the range that a line came with begins; lines of one range keep their order in a task.  ``listings`` is a folder that belongs to
-    this stream alone, like its checkpoint.
+    A line begins at ``byte_start`` and the next one at ``byte_end``, so an order and gaps can be told.  ``listings`` is a folder that belongs to this stream
+    alone, like its checkpoint.
     """
     ship_package(spark)
     spark.dataSource.register(GrowingLines)

@@ -172,7 +172,7 @@ def test_listing_offsets_repeat_after_a_restart(tmp_path):
     two = GrowingLinesReader([root], listings).latestOffset()
     fresh = GrowingLinesReader([root], listings)
     assert (one, two) == ({"listing": 1}, {"listing": 2}) == (one, fresh.latestOffset())
-    values = [v for p in fresh.partitions(one, two) for batch in fresh.read(p) for v in batch.column(3).to_pylist()]
+    values = [v for p in fresh.partitions(one, two) for batch in fresh.read(p) for v in batch.column(4).to_pylist()]
     assert values == ["2"]
     fresh.commit(two)
     assert os.listdir(listings) == ["2.parquet"]
