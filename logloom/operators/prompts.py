@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logloom.functions.content import is_codex_submitted
-from logloom.functions.intents import with_group_key, with_intent
+from logloom.functions.intents import with_intent
 from logloom.functions.project import ProjectAlias
 from logloom.functions.text import compact, normalize_text, repeated_id
 from logloom.operators.context import SESSION, attach_project
+from logloom.operators.memo import EXAMPLE, grouped
 from logloom.operators.scans import first_rows
 from logloom.schema import Corpus
 
@@ -22,6 +23,10 @@ def codex_prompts(messages: DataFrame) -> DataFrame:
     return messages.filter(is_codex_submitted())
 
 
+def _with_intent(prompts: DataFrame) -> DataFrame:
+    return prompts if "intent_key" in prompts.columns else with_intent(prompts)
+
+
 def _span(df: DataFrame, keys: list[str], extra: list) -> DataFrame:
     """Per key: count, sessions, first and last seen.  Sessions are folded first, so hot keys stay small."""
     ts = F.nullif(F.col("timestamp"), F.lit(""))
@@ -32,7 +37,7 @@ def _span(df: DataFrame, keys: list[str], extra: list) -> DataFrame:
 
 def repeated_groups(messages: DataFrame) -> DataFrame:
     """Every prompt group that occurs more than once (codex prompts): sample, category, counts and span."""
-    prompts = with_group_key(codex_prompts(messages)).filter(F.col("literal") != "")
+    prompts = grouped(codex_prompts(messages)).filter(F.col("literal") != "")
     sample = F.min_by("group_sample", F.struct(*POSITION))
     per = _span(prompts, ["group_key"], [F.min(F.struct(*POSITION)).alias("at"), sample.alias("sample"),
                                          F.first("category").alias("category")])
@@ -53,7 +58,7 @@ def repeated_variants(messages: DataFrame, groups: DataFrame | None = None) -> D
 
     ``groups`` restricts the result, for example to :func:`repeated_prompts`.
     """
-    prompts = with_group_key(codex_prompts(messages)).filter(F.col("literal") != "")
+    prompts = grouped(codex_prompts(messages)).filter(F.col("literal") != "")
     ts = F.nullif(F.col("timestamp"), F.lit(""))
     variants = prompts.groupBy("group_key", "literal").agg(
         F.min_by("variant_sample", F.struct(*POSITION)).alias("sample"), F.count(F.lit(1)).alias("count"),
@@ -65,7 +70,7 @@ def repeated_variants(messages: DataFrame, groups: DataFrame | None = None) -> D
 
 def repeated_projects(corpus: Corpus, aliases: Sequence[ProjectAlias] = ()) -> DataFrame:
     """(id, group_key, project) of every repeated prompt."""
-    prompts = with_group_key(codex_prompts(corpus.messages)).filter(F.col("literal") != "")
+    prompts = grouped(codex_prompts(corpus.messages)).filter(F.col("literal") != "")
     pairs = prompts.select("group_key", *SESSION, "provider").distinct()
     named = attach_project(pairs, corpus, aliases).select("group_key", "project").distinct()
     return named.join(repeated_groups(corpus.messages).select("group_key", "id"), "group_key").select(
@@ -74,7 +79,9 @@ def repeated_projects(corpus: Corpus, aliases: Sequence[ProjectAlias] = ()) -> D
 
 def intent_summary(corpus: Corpus, aliases: Sequence[ProjectAlias] = ()) -> DataFrame:
     """Per intent: prompts, share of all prompts, sessions, projects, three examples and span."""
-    prompts = with_intent(codex_prompts(corpus.messages)).withColumn("example", compact(F.col("content"), 96))
+    prompts = _with_intent(codex_prompts(corpus.messages))
+    if "example" not in prompts.columns:
+        prompts = prompts.withColumn("example", compact(F.col("content"), EXAMPLE))
     per = _span(prompts, ["intent_key", "intent_label"], [])
     named = attach_project(per.withColumn("provider", F.lit("codex")), corpus, aliases)
     projects = named.groupBy("intent_key", "project").agg(
@@ -102,7 +109,7 @@ def with_share(buckets: DataFrame) -> DataFrame:
 
 def intent_projects(corpus: Corpus, aliases: Sequence[ProjectAlias] = ()) -> DataFrame:
     """(intent_key, project) of every codex prompt."""
-    pairs = with_intent(codex_prompts(corpus.messages)).select("intent_key", *SESSION, "provider").distinct()
+    pairs = _with_intent(codex_prompts(corpus.messages)).select("intent_key", *SESSION, "provider").distinct()
     return attach_project(pairs, corpus, aliases).select("intent_key", "project").distinct()
 
 

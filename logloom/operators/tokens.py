@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logloom.functions.content import is_submitted
-from logloom.functions.intents import with_group_key
 from logloom.functions.times import bucket_key, day_key
 from logloom.functions.usage import sum_usage
 from logloom.operators.context import SESSION, attach_model
+from logloom.operators.memo import grouped
 from logloom.operators.scans import first_rows
 from logloom.schema import USAGE_FIELDS, record_provider
 
@@ -36,7 +36,7 @@ def token_buckets(tokens: DataFrame, grain: str = "day") -> DataFrame:
 
 def message_buckets(messages: DataFrame, tokens: DataFrame, grain: str = "day") -> DataFrame:
     """Submitted prompts, distinct prompts and token sums per bucket; a bucket needs prompts or tokens."""
-    prompts = with_group_key(messages.filter(is_submitted()).withColumn("bucket", bucket_key(F.col("timestamp"), grain)))
+    prompts = grouped(messages.filter(is_submitted()).withColumn("bucket", bucket_key(F.col("timestamp"), grain)))
     counts = prompts.groupBy("bucket").agg(F.count(F.lit(1)).alias("messages"),
                                            F.count_distinct("group_key").alias("unique_messages"))
     joined = counts.join(token_buckets(tokens, grain), "bucket", "full_outer")

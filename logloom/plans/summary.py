@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logloom.functions.content import is_automation_message, is_submitted
-from logloom.functions.intents import with_group_key
 from logloom.functions.project import ALL_PROJECTS
 from logloom.functions.text import REDACTED
 from logloom.operators.context import SESSION
+from logloom.operators.memo import annotated, grouped, prompt_memo
 from logloom.operators.prompts import (intent_projects, intent_summary, intent_totals, repeated_groups, repeated_projects,
                                        repeated_prompts, repeated_variants)
 from logloom.operators.scope import Scope, scoped_corpus, visible_session
@@ -25,9 +27,13 @@ TOTALS = ["sessions", "turns", "user_messages", "automation_messages", "assistan
 
 def summary_totals(corpus: Corpus, scope: Scope = Scope()) -> DataFrame:
     """One row of counts."""
-    c = scoped_corpus(corpus, scope)
+    return _totals(scoped_corpus(corpus, scope), session_days(corpus, scope))
+
+
+def _totals(c: Corpus, sessions: DataFrame) -> DataFrame:
     # One pass over the messages: only submitted prompts have a text to group by.
-    said = with_group_key(c.messages.withColumn("prompt", F.when(is_submitted(), F.col("content"))), "prompt")
+    text = F.col("digest" if "digest" in c.messages.columns else "content")
+    said = grouped(c.messages.withColumn("prompt", F.when(is_submitted(), text)), "prompt")
     counts = said.agg(
         F.count("prompt").alias("user_messages"), F.count_if(is_automation_message()).alias("automation_messages"),
         F.count_if(F.col("role") == "assistant").alias("assistant_messages"),
@@ -37,24 +43,27 @@ def summary_totals(corpus: Corpus, scope: Scope = Scope()) -> DataFrame:
         return df.agg(F.count(F.lit(1)).alias("n")).scalar()
 
     return counts.select(
-        n(session_days(corpus, scope)).alias("sessions"), n(c.turns).alias("turns"), "user_messages",
+        n(sessions).alias("sessions"), n(c.turns).alias("turns"), "user_messages",
         "automation_messages", "assistant_messages", "unique_user_messages", n(c.tool_events).alias("tool_events"),
         n(c.unknown_events).alias("unknown_events"), n(c.warnings).alias("parse_warnings"))
 
 
-def summarize(corpus: Corpus, scope: Scope = Scope(), repeated_limit: int = 10) -> dict[str, DataFrame]:
+def summarize(corpus: Corpus, scope: Scope = Scope(), repeated_limit: int = 10, memo: str | None = None) -> dict[str, DataFrame]:
     """Every part of the summary.  Lists that grow with the data are tables of their own.
 
-    ``repeated_limit`` bounds the list of repeated prompts; ``repeated_total`` counts all of their groups.
+    ``repeated_limit`` bounds the list of repeated prompts; ``repeated_total`` counts all of their groups.  Each distinct prompt is classified once, and with
+    the folder ``memo`` once over all runs; all parts read the annotated messages, without texts.
     """
     c = scoped_corpus(corpus, scope)
+    said = annotated(c.messages, prompt_memo(c.messages, memo))
+    c = replace(c, messages=said)
     # Contexts come from the whole corpus: a date range does not change where a session ran.
     wide = Corpus(**{**corpus.tables(), "messages": c.messages})
     sessions = session_days(corpus, scope)
     repeated = repeated_prompts(c.messages, repeated_limit)
     intents = intent_summary(wide, scope.aliases)
     return {
-        "totals": summary_totals(corpus, scope),
+        "totals": _totals(c, sessions),
         "activity": activity_range(sessions),
         "tokens": token_totals(c.token_usage),
         "messages_by_day": message_buckets(c.messages, c.token_usage, "day"),
