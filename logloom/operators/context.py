@@ -24,8 +24,8 @@ def attach_model(df: DataFrame, turns: DataFrame) -> DataFrame:
     return df.join(turn_models(turns), SESSION + ["turn_id"], "left")
 
 
-def session_contexts(corpus: Corpus, aliases: Sequence[ProjectAlias] = ()) -> DataFrame:
-    """One row per (file, session) known to files, sessions or turns: first session row, cwd and project.
+def session_contexts(corpus: Corpus, aliases: Sequence[ProjectAlias] = (), with_provider: bool = False) -> DataFrame:
+    """One row per (file, session) known to files, sessions or turns: first session row, cwd and project (and the provider that decides it).
 
     The directory is the first session row's, else the first turn row's.
     """
@@ -51,7 +51,7 @@ def session_contexts(corpus: Corpus, aliases: Sequence[ProjectAlias] = ()) -> Da
     return ctx.select(
         *SESSION, cwd.alias("cwd"), provider_project(provider, cwd, aliases).alias("project"),
         F.col("s.timestamp").alias("session_timestamp"), F.col("s.title").alias("session_title"),
-        F.col("s.provider_conversation_id").alias("session_conversation_id"),
+        F.col("s.provider_conversation_id").alias("session_conversation_id"), *([provider.alias("context_provider")] if with_provider else []),
     )
 
 

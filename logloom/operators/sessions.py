@@ -109,6 +109,11 @@ def list_projects(corpus: Corpus, aliases: Sequence[ProjectAlias] = ()) -> DataF
         F.count("day").alias("n_sessions"))
     files = corpus.files.withColumn("file_key", _file_key(corpus.files)).join(
         session_contexts(corpus, aliases).select(*SESSION, "project", "cwd"), SESSION)
+    return folded_projects(files, per_file)
+
+
+def folded_projects(files: DataFrame, per_file: DataFrame) -> DataFrame:
+    """Projects of files (with ``file_key``, project and directory) and their sums."""
     files = files.join(per_file, "file_key", "left")
     totals = files.groupBy("project").agg(
         F.coalesce(F.sum("n_sessions"), F.lit(0)).alias("sessions"),
