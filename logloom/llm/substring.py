@@ -9,8 +9,8 @@
 4. Intervals are brought back to the texts.
 
 A gram that is elected at more than ``crowd`` places, in many texts or often in one, would make a shard that grows with the corpus.  Its equal
-stretches are repeated as a whole, and the windows of the others are dealt by their own content and counted, which is exact as well.  Shards
-are otherwise bounded by the rows of a batch and ``crowd``.
+stretches are repeated as a whole, and the windows of the others are counted by content, which is exact as well; windows that are common in the gram
+are few, go to all parts of it and mark intervals there.  Shards are otherwise bounded by the rows of a batch and ``crowd``.
 
 Texts are told apart by 128 bits of their SHA-256, so copies are read once, and all windows of a text that comes twice are repeated.
 
@@ -205,46 +205,88 @@ def _shards(window: int):
     return run
 
 
+def window_keys(first: int, last: int, text: bytes, window: int) -> Iterator[tuple[int, list[bytes]]]:
+    """128-bit hashes of the windows that start at ``first`` to ``last`` of a text that begins at ``first``, with the start of each part; a stretch may be as
+    long as a text, so its windows come in parts."""
+    words = text.split()
+    for lo in range(first, last + 1, 10_000):
+        yield lo, [hashlib.blake2b(b" ".join(words[k - first: k - first + window]), digest_size=16).digest() for k in range(lo, min(lo + 10_000, last + 1))]
+
+
 def _windows(window: int):
-    schema = pa.schema([("key", pa.binary()), ("cid", pa.binary()), ("start", pa.int64()), ("once", pa.bool_())])
+    schema = pa.schema([("gram", pa.int64()), ("key", pa.binary()), ("cid", pa.binary()), ("start", pa.int64()), ("once", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[], [], [], []]
-            for i in range(batch.num_rows):
-                cid, first, last, text, once = (batch.column(c)[i].as_py() for c in ("cid", "first", "last", "words", "once"))
-                words = text.split()
-                for lo in range(first, last + 1, 10_000):  # a stretch may be as long as a text
-                    some = range(lo, min(lo + 10_000, last + 1))
-                    out[0] += [hashlib.blake2b(b" ".join(words[k - first: k - first + window]), digest_size=16).digest() for k in some]
-                    out[1] += [cid] * len(some)
-                    out[2] += some
-                    out[3] += [once] * len(some)
+            out: list[list] = [[], [], [], [], []]
+            for gram, cid, first, last, text, once in zip(*(batch.column(c).to_pylist() for c in ("gram", "cid", "first", "last", "words", "once"))):
+                for lo, keys in window_keys(first, last, text, window):
+                    n = len(keys)
+                    for column, values in zip(out, ([gram] * n, keys, [cid] * n, range(lo, lo + n), [once] * n)):
+                        column += values
                     if len(out[0]) >= 10_000:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, schema.types)], schema=schema)
-                        out = [[], [], [], []]
+                        out = [[], [], [], [], []]
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, schema.types)], schema=schema)
 
     return run
 
 
+def _marked(window: int):
+    """Intervals of stretches, sorted behind the common windows of their gram and part."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, common = None, set()
+        for batch in batches:
+            found: list[tuple[bytes, int, int]] = []
+            for gram, part, key, cid, first, last, text in zip(*(batch.column(c).to_pylist() for c in ("gram", "part", "key", "cid", "first", "last", "words"))):
+                if (gram, part) != now:
+                    now, common = (gram, part), set()
+                if key is not None:
+                    common.add(key)
+                    continue
+                for lo, keys in window_keys(first, last, text, window):
+                    hit = np.fromiter((k in common for k in keys), bool, len(keys))
+                    edges = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8)))
+                    found += [(cid, lo + int(a), lo + int(b) - 1 + window) for a, b in zip(edges[::2], edges[1::2])]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), _FOUND.types)], schema=_FOUND)
+
+    return run
+
+
 def content_id(text: Column) -> Column:
     """128 bits of the text's SHA-256; a null text counts as empty."""
     return F.unhex(F.substring(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256), 1, 32))
 
 
-def _crowded(stretches: DataFrame, window: int) -> DataFrame:
-    """Intervals of crowded stretches: equal stretches are repeated as a whole, of different ones the windows are counted."""
+def _crowded(stretches: DataFrame, window: int, crowd: int, staged: Staged) -> DataFrame:
+    """Intervals of crowded stretches: equal stretches are repeated as a whole, of different ones the windows are counted.
+
+    A gram is dealt into parts of about ``crowd`` stretches.  Windows with 64 copies or more for each part are common: there are at most
+    ``crowd`` * 28 / 64 of them for a gram, whatever its size.  They go to every part, where stretches are marked by intervals.  What else is repeated has a
+    small share of its gram's windows for each key, and is joined.
+    """
     place, digest = F.struct("cid", F.col("first").alias("start")), F.unhex(F.substring(F.sha2("words", 256), 1, 32))
     told = stretches.withColumn("content", digest)
-    contents = told.groupBy("content").agg(F.min(place).alias("lo"), F.max(place).alias("hi"), F.first("words").alias("words"), F.min(F.col("last") - F.col("first")).alias("more"))
-    whole = told.join(contents.where("lo != hi").select("content"), "content", "left_semi").select("cid", F.col("first").alias("start"), (F.col("last") + window).alias("stop"))
-    places = contents.select("lo.cid", F.col("lo.start").alias("first"), (F.col("lo.start") + F.col("more")).alias("last"), "words", (F.col("lo") == F.col("hi")).alias("once"))
-    places = places.mapInArrow(_windows(window), "key binary, cid binary, start long, once boolean")
+    contents = told.groupBy("gram", "content").agg(F.min(place).alias("lo"), F.max(place).alias("hi"), F.first("words").alias("words"), F.min(F.col("last") - F.col("first")).alias("more"))
+    contents, _ = staged.table(contents)
+    whole = told.join(contents.where("lo != hi").select("gram", "content"), ["gram", "content"], "left_semi").select("cid", F.col("first").alias("start"), (F.col("last") + window).alias("stop"))
+    places = contents.select("gram", "lo.cid", F.col("lo.start").alias("first"), (F.col("lo.start") + F.col("more")).alias("last"), "words", (F.col("lo") == F.col("hi")).alias("once"))
+    windows = places.mapInArrow(_windows(window), "gram long, key binary, cid binary, start long, once boolean")
     spot = F.struct("cid", "start")
-    twice = places.groupBy("key").agg(F.min(spot).alias("lo"), F.max(spot).alias("hi")).where("lo != hi").select("key")
-    return whole.unionByName(places.where("once").join(twice, "key", "left_semi").select("cid", "start", (F.col("start") + window).alias("stop")))
+    counts = windows.groupBy("gram", "key").agg(F.min(spot).alias("lo"), F.max(spot).alias("hi"), F.count(F.lit(1)).alias("n"))
+    width = window - GRAM + 1
+    parts = contents.groupBy("gram").agg(F.ceil(F.sum(F.col("more") + 1) / (crowd * width)).cast("int").alias("parts"))
+    twice, _ = staged.table(counts.where("lo != hi").select("gram", "key", "n").join(parts, "gram").withColumn("common", F.col("n") >= 64 * F.col("parts")))
+    few = windows.where("once").join(twice.where("not common").select("gram", "key"), ["gram", "key"], "left_semi").select("cid", "start", (F.col("start") + window).alias("stop"))
+    none = {c: F.lit(None).cast(t) for c, t in (("key", "binary"), ("cid", "binary"), ("first", "bigint"), ("last", "bigint"), ("words", "binary"))}
+    common = twice.where("common").select("gram", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "key", *[none[c].alias(c) for c in ("cid", "first", "last", "words")])
+    dealt = places.where("once").join(twice.where("common").select("gram", "parts").distinct(), "gram").select(
+        "gram", F.pmod(F.xxhash64("cid", "first"), F.col("parts")).cast("int").alias("part"), none["key"].alias("key"), "cid", "first", "last", "words")
+    laid = common.unionAll(dealt).repartition("gram", "part").sortWithinPartitions("gram", "part", F.col("key").isNull())
+    marked = laid.mapInArrow(_marked(window), "cid binary, start long, stop long")
+    return whole.unionByName(few).unionByName(marked)
 
 
 def repeated_grams(anchors: DataFrame, crowd: int) -> DataFrame:
@@ -263,7 +305,7 @@ def repeated_intervals(docs: DataFrame, window: int, crowd: int, staged: Staged)
     columns = ["gram", "cid", "first", "last", "words"]
     calm = stretches.where("not crowded").select(*columns).repartition("gram").sortWithinPartitions("gram", "cid", "first")
     found = calm.mapInArrow(_shards(window), "cid binary, start long, stop long")
-    spans = found.unionByName(_crowded(stretches.where("crowded"), window)).groupBy("cid").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+    spans = found.unionByName(_crowded(stretches.where("crowded"), window, crowd, staged)).groupBy("cid").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
     copies = texts.groupBy("cid").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("cid", F.lit(True).alias("copied"))
     both = spans.join(copies, "cid", "full").select("cid", F.when(F.col("copied"), F.lit(None)).otherwise(F.col("spans")).alias("spans"), F.lit(True).alias("marked"))
     return staged.table(both)[0]
