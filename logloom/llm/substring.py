@@ -213,32 +213,44 @@ def window_keys(first: int, last: int, text: bytes, window: int) -> Iterator[tup
         yield lo, [hashlib.blake2b(b" ".join(words[k - first: k - first + window]), digest_size=16).digest() for k in range(lo, min(lo + 10_000, last + 1))]
 
 
+#: Windows whose counts a task folds at once.
+FOLD = 50_000
+
+
 def _windows(window: int):
-    schema = pa.schema([("gram", pa.int64()), ("key", pa.binary()), ("cid", pa.binary()), ("start", pa.int64()), ("once", pa.bool_())])
+    """Counts of the windows of stretches, folded in the task: a window that many stretches hold is one row of it."""
+    schema = pa.schema([("gram", pa.int64()), ("key", pa.binary()), ("lo", pa.binary()), ("hi", pa.binary()), ("n", pa.int64())])
+
+    def rows(held: dict) -> pa.RecordBatch:
+        grams, keys = zip(*held)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((grams, keys, *zip(*held.values())), schema.types)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, bytes], list] = {}
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
-            for gram, cid, first, last, text, once in zip(*(batch.column(c).to_pylist() for c in ("gram", "cid", "first", "last", "words", "once"))):
+            for gram, cid, first, last, text in zip(*(batch.column(c).to_pylist() for c in ("gram", "cid", "first", "last", "words"))):
                 for lo, keys in window_keys(first, last, text, window):
-                    n = len(keys)
-                    for column, values in zip(out, ([gram] * n, keys, [cid] * n, range(lo, lo + n), [once] * n)):
-                        column += values
-                    if len(out[0]) >= 10_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, schema.types)], schema=schema)
-                        out = [[], [], [], [], []]
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, schema.types)], schema=schema)
+                    for start, key in enumerate(keys, lo):
+                        spot = cid + start.to_bytes(8)
+                        old = held.setdefault((gram, key), [spot, spot, 0])
+                        old[:] = min(old[0], spot), max(old[1], spot), old[2] + 1
+                    if len(held) >= FOLD:
+                        yield rows(held)
+                        held = {}
+        if held:
+            yield rows(held)
 
     return run
 
 
 def _marked(window: int):
-    """Intervals of stretches, sorted behind the common windows of their gram and part."""
+    """Intervals of stretches, sorted behind the common windows of their gram and part; and each of their other windows, under its key."""
+    schema = pa.schema([*_FOUND, ("gram", pa.int64()), ("key", pa.binary())])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, common = None, set()
         for batch in batches:
-            found: list[tuple[bytes, int, int]] = []
+            found: list[tuple] = []
             for gram, part, key, cid, first, last, text in zip(*(batch.column(c).to_pylist() for c in ("gram", "part", "key", "cid", "first", "last", "words"))):
                 if (gram, part) != now:
                     now, common = (gram, part), set()
@@ -248,9 +260,10 @@ def _marked(window: int):
                 for lo, keys in window_keys(first, last, text, window):
                     hit = np.fromiter((k in common for k in keys), bool, len(keys))
                     edges = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8)))
-                    found += [(cid, lo + int(a), lo + int(b) - 1 + window) for a, b in zip(edges[::2], edges[1::2])]
+                    found += [(cid, lo + int(a), lo + int(b) - 1 + window, gram, None) for a, b in zip(edges[::2], edges[1::2])]
+                    found += [(cid, lo + int(i), lo + int(i) + window, gram, keys[i]) for i in np.flatnonzero(~hit)]
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), _FOUND.types)], schema=_FOUND)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), schema.types)], schema=schema)
 
     return run
 
@@ -273,20 +286,20 @@ def _crowded(stretches: DataFrame, window: int, crowd: int, staged: Staged) -> D
     contents, _ = staged.table(contents)
     whole = told.join(contents.where("lo != hi").select("gram", "content"), ["gram", "content"], "left_semi").select("cid", F.col("first").alias("start"), (F.col("last") + window).alias("stop"))
     places = contents.select("gram", "lo.cid", F.col("lo.start").alias("first"), (F.col("lo.start") + F.col("more")).alias("last"), "words", (F.col("lo") == F.col("hi")).alias("once"))
-    windows = places.mapInArrow(_windows(window), "gram long, key binary, cid binary, start long, once boolean")
-    spot = F.struct("cid", "start")
-    counts = windows.groupBy("gram", "key").agg(F.min(spot).alias("lo"), F.max(spot).alias("hi"), F.count(F.lit(1)).alias("n"))
+    windows = places.drop("once").mapInArrow(_windows(window), "gram long, key binary, lo binary, hi binary, n long")
+    counts = windows.groupBy("gram", "key").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n"))
     width = window - GRAM + 1
-    parts = contents.groupBy("gram").agg(F.ceil(F.sum(F.col("more") + 1) / (crowd * width)).cast("int").alias("parts"))
-    twice, _ = staged.table(counts.where("lo != hi").select("gram", "key", "n").join(parts, "gram").withColumn("common", F.col("n") >= 64 * F.col("parts")))
-    few = windows.where("once").join(twice.where("not common").select("gram", "key"), ["gram", "key"], "left_semi").select("cid", "start", (F.col("start") + window).alias("stop"))
+    parts, _ = staged.table(contents.groupBy("gram").agg(F.ceil(F.sum(F.col("more") + 1) / (crowd * width)).cast("int").alias("parts")))
+    twice, _ = staged.table(counts.where("lo != hi").join(parts, "gram").select("gram", "key", "parts", (F.col("n") >= 64 * F.col("parts")).alias("common")))
     none = {c: F.lit(None).cast(t) for c, t in (("key", "binary"), ("cid", "binary"), ("first", "bigint"), ("last", "bigint"), ("words", "binary"))}
     common = twice.where("common").select("gram", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "key", *[none[c].alias(c) for c in ("cid", "first", "last", "words")])
-    dealt = places.where("once").join(twice.where("common").select("gram", "parts").distinct(), "gram").select(
+    dealt = places.where("once").join(parts, "gram").select(
         "gram", F.pmod(F.xxhash64("cid", "first"), F.col("parts")).cast("int").alias("part"), none["key"].alias("key"), "cid", "first", "last", "words")
     laid = common.unionAll(dealt).repartition("gram", "part").sortWithinPartitions("gram", "part", F.col("key").isNull())
-    marked = laid.mapInArrow(_marked(window), "cid binary, start long, stop long")
-    return whole.unionByName(few).unionByName(marked)
+    marked, _ = staged.table(laid.mapInArrow(_marked(window), "cid binary, start long, stop long, gram long, key binary"))
+    few = marked.where("key IS NOT NULL").join(twice.where("not common").select("gram", "key"), ["gram", "key"], "left_semi")
+    columns = ["cid", "start", "stop"]
+    return whole.unionByName(few.select(columns)).unionByName(marked.where("key IS NULL").select(columns))
 
 
 def repeated_grams(anchors: DataFrame, crowd: int) -> DataFrame:

@@ -182,6 +182,18 @@ def test_substring_counts_places_not_texts(spark):
 
 
 
+def test_substring_passage_of_many_texts(spark, monkeypatch):
+    """Windows that are common in a crowded gram, others that only few texts share, and some that none does."""
+    monkeypatch.setattr(substring, "FOLD", 100)
+    rng = random.Random(22)
+    other = lambda n: " ".join(f"o{rng.randrange(10**6)}" for _ in range(n))
+    passage, ends = other(45), [other(6) for _ in range(20)]
+    texts = [f"{other(rng.randrange(60))} {rng.choice(ends)} {passage} {rng.choice(ends)} {other(rng.randrange(60))}" for _ in range(400)] + [f"{passage} {passage}"]
+    got = substring.remove_repeats(docs(spark, list(enumerate(texts))), 35, 30).orderBy("doc_id").collect()
+    for r, (n, removed, kept) in zip(got, brute_windows(texts, 35)):
+        assert (r["n_words"], r["n_removed"], b" ".join(r["text"].encode().split())) == (n, removed, kept)
+
+
 def test_substring_query_and_empty(spark):
     rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
     want = {r[0]: (n, m, hashlib.sha256(k).hexdigest()) for r, (n, m, k) in zip(rows, brute_windows([r[1] for r in rows], 35))}
