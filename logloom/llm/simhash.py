@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest, xxh64_intdigest
 
 from logloom.llm.bktree import BKForest
-from logloom.llm.common import Staged, aside, own_columns, paired_blocks, ship, slices, whole_groups
+from logloom.llm.common import Staged, aside, own_columns, ship, slices, whole_groups
 from logloom.llm.components import connected_components
 
 
@@ -41,7 +41,8 @@ from logloom.llm.components import connected_components
 class Plan:
     """Shingle length, lanes, key fields (lane, shift, bits), and how many of the lanes judge a pair within how many bits.
 
-    With ``jaccard`` (numerator, denominator) fingerprints are those of shingle sets, and links need that similarity of the sets.
+    With ``jaccard`` (numerator, denominator) fingerprints are those of shingle sets, and links need that similarity of the sets; candidates of the
+    second round differ in ``apart`` bits of all lanes at most.
     """
 
     words: int
@@ -50,6 +51,7 @@ class Plan:
     judged: int
     radius: int
     jaccard: tuple[int, int] | None = None
+    apart: int = 0
 
 
 def exact_plan(words: int = 3, radius: int = 2) -> Plan:
@@ -57,8 +59,8 @@ def exact_plan(words: int = 3, radius: int = 2) -> Plan:
     return Plan(words, 1, tuple((0, a, b - a) for a, b in zip(edges, edges[1:])), 1, radius)
 
 
-def similar_plan(words: int = 5, lanes: int = 16, bits: int = 16, judged: int = 4, radius: int = 68) -> Plan:
-    return Plan(words, lanes, tuple((lane, shift, bits) for lane in range(lanes) for shift in range(0, 65 - bits, bits)), judged, radius, (4, 5))
+def similar_plan(words: int = 5, lanes: int = 16, bits: int = 16, judged: int = 4, radius: int = 68, apart: int = 205) -> Plan:
+    return Plan(words, lanes, tuple((lane, shift, bits) for lane in range(lanes) for shift in range(0, 65 - bits, bits)), judged, radius, (4, 5), apart)
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -142,16 +144,13 @@ def fingerprints(docs: DataFrame, plan: Plan) -> DataFrame:
     return rows.mapInArrow(_fingerprints(plan), f"doc_id {kind}, _r1 long, _r2 long, " + ", ".join(f"{x} long" for x in [*_lanes(plan.lanes), *_sets(plan)]))
 
 
-_KEY = ["_key", "_lo", "_hi"]
-
-
 def _met(batches: Iterator[pa.RecordBatch], plan: Plan) -> Iterator[tuple[pa.Table, Iterator[tuple[np.ndarray, np.ndarray]]]]:
-    """Tables of whole shards, with the pairs of their rows within the radius."""
-    for table, starts in whole_groups(batches, _KEY):
+    """Tables of whole blocks, with the pairs of their rows within the radius.  ``_role`` tells whether a row is asked for (1), held in the tree (2) or both."""
+    for table, starts in whole_groups(batches, ["_block"]):
         prints = np.stack([table.column(x).to_numpy().view(np.uint64) for x in _lanes(plan.judged)], axis=1)
         group = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
-        part, lo, hi = (table.column(x).to_numpy() for x in ("_part", "_lo", "_hi"))
-        held, asked = np.flatnonzero(part == lo), np.flatnonzero(part == hi)
+        role = table.column("_role").to_numpy()
+        held, asked = np.flatnonzero(role & 2), np.flatnonzero(role & 1)
         asked = asked[np.isin(group[asked], group[held])]
         trees, of_tree = np.unique(group[held], return_inverse=True)
         found = BKForest(prints[held], of_tree).search(prints[asked], np.searchsorted(trees, group[asked]), plan.radius) if len(held) else ()
@@ -183,12 +182,18 @@ def _candidates(plan: Plan, every: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, pairs in _met(batches, plan):
-            nodes, size, group = (table.column(x).to_numpy() for x in ("node", "n", "_c"))
+            nodes, size = (table.column(x).to_numpy() for x in ("node", "n"))
+            group = table.column("_c").to_numpy() if every else nodes
+            lanes = np.stack([table.column(x).to_numpy().view(np.uint64) for x in _lanes(plan.lanes)], axis=1) if every else None
             low = np.full(len(nodes), len(nodes))
             for a, b in pairs:
                 # sets of too different a size cannot be similar enough
                 able = (group[a] != group[b]) & (under * np.minimum(size[a], size[b]) >= over * np.maximum(size[a], size[b]))
                 a, b = a[able], b[able]
+                if every:  # all lanes tell similar sets from those that are only alike
+                    near = np.concatenate([np.bitwise_count(lanes[a[i:i + 65536]] ^ lanes[b[i:i + 65536]]).sum(1, dtype=np.int64) <= plan.apart
+                                           for i in range(0, len(a), 65536)] or [np.zeros(0, bool)])
+                    a, b = a[near], b[near]
                 if every:
                     yield batch(nodes, a, b)
                     continue
@@ -220,13 +225,24 @@ def _key(plan: Plan, i: int) -> Column:
     return F.lit(i << 40).cast("long") + field
 
 
-def _laid(nodes: DataFrame, plan: Plan, block: int, *more: str) -> DataFrame:
-    """Copies of the nodes in the order of their shards; a key of a single node makes none."""
+def _laid(nodes: DataFrame, plan: Plan, block: int, staged: Staged, *more: str) -> DataFrame:
+    """Narrow copies of the nodes in the order of their shards, each with the id of its block and its role there.
+
+    Only the keys of more than ``block`` nodes, which are few, are joined and dealt into pairs of parts; all others are blocks as they are.
+    """
     keys = F.explode(F.array(*[_key(plan, i) for i in range(len(plan.keys))])).alias("_key")
     columns = ["node", *_lanes(plan.judged), *more]
-    shared = nodes.select(keys).groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    met = paired_blocks(nodes.select(*columns, keys).join(shared, "_key"), "_n", "node", block)
-    return met.select(*_KEY, "_part", *columns).repartition(*_KEY).sortWithinPartitions(*_KEY, "node")
+    counts = nodes.select(keys).groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
+    crowded, _ = staged.table(counts.where(F.col("_n") > block))
+    copies = nodes.select(*columns, keys).join(crowded, "_key", "left")
+    parts = F.ceil(F.col("_n") / block).cast("int")
+    part = F.pmod(F.xxhash64("node"), parts).cast("int")
+    other = F.explode(F.when(F.col("_n").isNull(), F.array(F.lit(None).cast("int"))).otherwise(F.sequence(F.lit(0), parts - 1))).alias("_with")
+    met = copies.withColumn("_part", part).select("*", other)
+    low, high = F.least("_part", "_with"), F.greatest("_part", "_with")
+    role = F.when(F.col("_n").isNull() | (low == high), 3).when(F.col("_part") == low, 2).otherwise(1).cast("long")
+    name = F.when(F.col("_n").isNull(), F.col("_key")).otherwise(F.xxhash64("_key", low, high))
+    return met.select(name.alias("_block"), role.alias("_role"), *columns).repartition("_block").sortWithinPartitions("_block", "node")
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
@@ -239,20 +255,26 @@ def _similar(pairs: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
 
 def _set_links(rows: DataFrame, nodes: DataFrame, plan: Plan, block: int, staged: Staged) -> DataFrame:
     """(a, b): links between nodes by the exact similarity of their sets; ``rows`` holds the texts under the row keys."""
-    def candidates(some: DataFrame, every: bool) -> DataFrame:
-        laid = _laid(some, plan, block, "n", "_c")
-        return staged.table(laid.mapInArrow(_candidates(plan, every), "a long, b long").distinct())[0]
+    def candidates(some: DataFrame, every: bool) -> tuple[DataFrame, str]:
+        # The first round needs few bytes of every node; the second has few nodes and all their lanes.
+        laid = _laid(some, plan, block, staged, "n", *(["_c", *_lanes(plan.lanes)[plan.judged:]] if every else []))
+        return staged.table(laid.mapInArrow(_candidates(plan, every), "a long, b long").distinct())
 
-    first = candidates(nodes.withColumn("_c", F.col("node")), False)
+    first, first_at = candidates(nodes, False)
     wanted = first.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    some, _ = staged.table(nodes.join(wanted, "node", "left_semi"))
+    some, some_at = staged.table(nodes.join(wanted, "node", "left_semi"))
     texts = rows.join(some.select("node", "_r1", "_r2"), ["_r1", "_r2"]).select("node", "text")
     sets = texts.mapInArrow(_shingle_sets(plan.words), "node long, shingles array<long>").groupBy("node").agg(F.first("shingles").alias("shingles"))
-    sets, _ = staged.table(sets)
+    sets, sets_at = staged.table(sets)
     linked, _ = staged.table(_similar(first, sets, plan))
+    staged.drop(first_at)
     groups = connected_components(linked, "a", "b", staged)
     apart = some.join(groups, "node", "left").withColumn("_c", F.coalesce("component", "node")).drop("component")
-    return linked.unionByName(staged.table(_similar(candidates(apart, True), sets, plan))[0])
+    second, second_at = candidates(apart, True)
+    more, _ = staged.table(_similar(second, sets, plan))
+    for done in (some_at, sets_at, second_at):
+        staged.drop(done)
+    return linked.unionByName(more)
 
 
 def near_duplicates(docs: DataFrame, plan: Plan | None = None, block: int = 4096) -> DataFrame:
@@ -272,7 +294,7 @@ def near_duplicates(docs: DataFrame, plan: Plan | None = None, block: int = 4096
     else:
         same = lanes
         nodes, _ = staged.table(prints.groupBy(*lanes).agg(F.min("rid").alias("node")))
-        found, _ = staged.table(_laid(nodes, plan, block).mapInArrow(_search(plan), "node long, root long"))
+        found, _ = staged.table(_laid(nodes, plan, block, staged).mapInArrow(_search(plan), "node long, root long"))
         groups = connected_components(found, "node", "root", staged)
     of_print = nodes.join(groups, "node", "left").select(*same, F.coalesce("component", "node").alias("_c"))
     members = prints.join(of_print, same)

@@ -312,9 +312,10 @@ def repeated_intervals(docs: DataFrame, window: int, crowd: int, staged: Staged)
     """(cid, spans): for each text with repeated windows, [start, stop) of its words; spans are null where the text itself comes twice."""
     ship(docs.sparkSession)
     texts = own_columns(docs, text="text").select(content_id(F.col("text")).alias("cid"), F.coalesce("text", F.lit("")).alias("text"))
-    anchors, _ = staged.table(texts.mapInArrow(_anchors(window), "gram long, cid binary, lo long, hi long, n long"))
+    anchors, anchors_at = staged.table(texts.mapInArrow(_anchors(window), "gram long, cid binary, lo long, hi long, n long"))
     wanted = anchors.select("gram", "cid").join(repeated_grams(anchors, crowd), "gram").groupBy("cid").agg(F.collect_set(F.struct("gram", "crowded")).alias("grams"))
     stretches, _ = staged.table(texts.join(wanted, "cid").select("cid", "text", "grams").mapInArrow(_stretches(window), _STRETCHES))
+    staged.drop(anchors_at)
     columns = ["gram", "cid", "first", "last", "words"]
     calm = stretches.where("not crowded").select(*columns).repartition("gram").sortWithinPartitions("gram", "cid", "first")
     found = calm.mapInArrow(_shards(window), "cid binary, start long, stop long")
