@@ -87,17 +87,19 @@ def search_count(corpus: Corpus, o: SearchOptions) -> DataFrame:
     return search_matches(corpus, o).agg(F.count(F.lit(1)).alias("total_matches"))
 
 
-def _match_index(matches: DataFrame, page: DataFrame) -> DataFrame:
+def match_index(matches: DataFrame, page: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """0-based corpus position among all matches, for the rows of a page.
 
-    Matches are counted per (file, chunk); only chunks with a page row are numbered row by row.
+    Matches are counted per (file, chunk); only chunks with a page row are numbered row by row.  ``counts`` (file_path, _chunk, _n)
+    are those counts where they are known; ``matches`` then needs the rows of the page's chunks only.
     """
     on = ["file_path", "_chunk"]
     placed = matches.select(*POSITION).withColumn("_chunk", line_chunk())
     page = page.withColumn("_chunk", line_chunk())
-    counts = placed.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
+    if counts is None:
+        counts = placed.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
     # Running totals over the chunk list, itself range-partitioned: rank every chunk, then add up partitions.
-    before = _running_before(counts, on)
+    before = running_before(counts, on).drop("_n")
     inside = placed.join(page.select(*on).distinct(), on, "left_semi")
     inside = inside.groupBy(*on).agg(F.array_sort(F.collect_list(F.struct(*POSITION))).alias("_all"))
     index = F.array_position("_all", F.struct(*POSITION)) - 1
@@ -105,14 +107,15 @@ def _match_index(matches: DataFrame, page: DataFrame) -> DataFrame:
             .withColumn("match_index", F.col("_before") + index).drop("_chunk", "_before", "_all"))
 
 
-def _running_before(counts: DataFrame, order: list[str]) -> DataFrame:
+def running_before(counts: DataFrame, order: list[str]) -> DataFrame:
+    """Counts ``_n`` with the sum of all counts before them, ``_before``."""
     laid = stage_table(counts.repartitionByRange(*order).withColumn("_pid", F.spark_partition_id()))
     sums = laid.groupBy("_pid").agg(F.sum("_n").alias("_s"))
     off = sums.select("_pid", F.coalesce(
         F.sum("_s").over(W.orderBy("_pid").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_o"))
     within = W.partitionBy("_pid").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     return laid.join(F.broadcast(off), "_pid").select(
-        *order, (F.col("_o") + F.coalesce(F.sum("_n").over(within), F.lit(0))).alias("_before"))
+        *order, "_n", (F.col("_o") + F.coalesce(F.sum("_n").over(within), F.lit(0))).alias("_before"))
 
 
 def search_page(corpus: Corpus, o: SearchOptions) -> DataFrame:
@@ -124,7 +127,7 @@ def search_page(corpus: Corpus, o: SearchOptions) -> DataFrame:
     order = [F.desc(F.coalesce("timestamp", F.lit(""))), *map(F.col, POSITION)]
     page = stage_table(matches.orderBy(*order).offset(clamp_offset(o.offset)).limit(clamp_limit(o.limit)))
     page = page.withColumn("rank", clamp_offset(o.offset) + F.row_number().over(W.orderBy(*order)))
-    page = _match_index(matches, page)
+    page = match_index(matches, page)
     page = attach_project(attach_model(page, corpus.turns), corpus, o.aliases, keep_cwd=True)
     page = with_category(page)
     return page.select(
@@ -168,11 +171,9 @@ INDEX_COLUMNS = ["provider", *SESSION, "date_key", "project", "cwd", "line", "tu
                  "intent_key", "intent_label"]
 
 
-def search_index(index: DataFrame, o: SearchOptions) -> DataFrame:
-    """The rows of :func:`search_page` without their ids, from the table of :func:`write_message_index`; ``model`` is the stored one.
-
-    One pass, nothing derived anew: provider and day prune the folders that are read, the rest are filters on stored columns.  Projects are those of
-    the index, so ``aliases`` have no effect.
+def index_matches(index: DataFrame, o: SearchOptions) -> DataFrame:
+    """Rows of a message index that pass the filters of a search, all of them tests of stored columns.  Projects are those of the index, so
+    ``aliases`` have no effect.
     """
     m = index.withColumn("date_key", F.col("date_key").cast("string"))
     if o.provider and o.provider != "all":
@@ -200,6 +201,15 @@ def search_index(index: DataFrame, o: SearchOptions) -> DataFrame:
     hidden = [h.strip() for h in o.hidden_categories if h.strip()]
     if hidden:
         m = m.filter(hidden_category(F.col("category"), hidden))
+    return m
+
+
+def search_index(index: DataFrame, o: SearchOptions) -> DataFrame:
+    """The rows of :func:`search_page` without their ids, from the table of :func:`write_message_index`; ``model`` is the stored one.
+
+    One pass, nothing derived anew: provider and day prune the folders that are read.  :mod:`logloom.operators.ranked_index` serves deep and large pages.
+    """
+    m = index_matches(index, o)
     order = [F.desc(F.coalesce("timestamp", F.lit(""))), *map(F.col, POSITION)]
     page = m.orderBy(*order).offset(clamp_offset(o.offset)).limit(clamp_limit(o.limit))
     page = page.withColumn("rank", clamp_offset(o.offset) + F.row_number().over(W.orderBy(*order)))

@@ -182,11 +182,11 @@ def session_spans(corpus: Corpus, aliases: Sequence[ProjectAlias] = ()) -> DataF
         .alias("warnings"))
 
 
-def corpus_fingerprint(corpus: Corpus) -> DataFrame:
-    """One hash over every file's counts and latest message; equal corpora give equal hashes.
+LIMBS = [f"s{i}" for i in range(8)]
 
-    Each file is hashed on its own and the hashes are summed, so no task ever holds the whole list.
-    """
+
+def file_prints(corpus: Corpus) -> DataFrame:
+    """One row per logical file: its path, and a hash of its counts and latest message as eight numbers that can be added up."""
     ts = F.nullif(F.col("timestamp"), F.lit(""))
     one, zero = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
 
@@ -204,7 +204,19 @@ def corpus_fingerprint(corpus: Corpus) -> DataFrame:
         *[F.coalesce(c, zero).cast("string") for c in ("m", "t", "u")], F.coalesce("last", F.lit("")))
     digest = F.sha2(text.cast("binary"), 256)
     limbs = [F.conv(F.substring(digest, 1 + 8 * i, 8), 16, 10).cast("bigint") for i in range(8)]
-    sums = files.agg(F.count(one).alias("files"), *[F.coalesce(F.sum(x), zero).alias(f"s{i}")
-                                                    for i, x in enumerate(limbs)])
-    joined = F.concat_ws(":", *[F.col(c).cast("string") for c in ["files", *[f"s{i}" for i in range(8)]]])
-    return sums.select("files", F.sha2(joined.cast("binary"), 256).alias("fingerprint"))
+    return files.select("file_path", *[x.alias(name) for name, x in zip(LIMBS, limbs)])
+
+
+def combined_prints(sums: DataFrame) -> DataFrame:
+    """The eight totals of a row of sums (with ``files``, the number of logical files) put together as ``fingerprint``."""
+    joined = F.concat_ws(":", *[F.col(c).cast("string") for c in ["files", *LIMBS]])
+    return sums.withColumn("fingerprint", F.sha2(joined.cast("binary"), 256)).drop(*LIMBS)
+
+
+def corpus_fingerprint(corpus: Corpus) -> DataFrame:
+    """One hash over every file's counts and latest message; equal corpora give equal hashes.
+
+    Each file is hashed on its own and the hashes are summed, so no task ever holds the whole list.
+    """
+    zero = F.lit(0).cast("bigint")
+    return combined_prints(file_prints(corpus).agg(F.count(F.lit(1)).alias("files"), *[F.coalesce(F.sum(x), zero).alias(x) for x in LIMBS]))

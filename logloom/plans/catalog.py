@@ -17,7 +17,7 @@ from logloom.functions.project import ProjectAlias
 from logloom.functions.text import eval_id, redact_text, sanitize_snippet, snippet
 from logloom.functions.times import date_preset, in_range
 from logloom.functions.usage import usage_struct, usage_struct_cursor
-from logloom.operators import audit, evals, interactions, privacy, prompts, refresh, search, sessions, tokens
+from logloom.operators import audit, evals, interactions, privacy, prompts, ranked_index, refresh, search, sessions, tokens
 from logloom.operators.context import SESSION, attach_model, session_contexts, sessions_by_id
 from logloom.operators.scans import carry_forward
 from logloom.operators.scope import (Scope, automation_messages, hidden_category, last_days_of_data, repo_scope,
@@ -250,6 +250,20 @@ def _indexed(options: search.SearchOptions) -> Query:
     return run
 
 
+def _ranked(options: search.SearchOptions) -> Query:
+    """The rank-ordered index written to the staging folder, then one page of it."""
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        path = f"{staging_dir(spark)}/ranked-{uuid.uuid4().hex}"
+        fingerprint = ranked_index.write_ranked_index(corpus_from_sf(spark, sf), path, part_rows=4096)
+        delete_at_exit(spark, path)
+        return _page(ranked_index.ranked_page(ranked_index.open_ranked_index(spark, path, fingerprint), options)).drop("seq")
+    return run
+
+
+DEEP = search.SearchOptions(provider="codex", limit=500, offset=200)
+QUERIES["search_page_ranked"] = _ranked(PAGE)
+QUERIES["search_filters_ranked"] = _ranked(FILTERS)
+QUERIES["browse_page_ranked"] = _ranked(DEEP)
 QUERIES["search_page_index"] = _indexed(PAGE)
 QUERIES["search_filters_index"] = _indexed(FILTERS)
 _on_corpus("demo_search")(lambda c: search.demo_search(

@@ -478,6 +478,11 @@ add("search_filters", search_where(f"""provider = 'codex' AND role = 'user' AND
 for _name in ("search_page", "search_filters"):
     add(f"{_name}_index", SQL[_name][0], f"""SELECT * EXCLUDE (id)
         REPLACE (CASE WHEN turn_id IS NOT NULL THEN coalesce(model, 'unknown') END AS model) FROM ({SQL[_name][1]})""")
+_unknown = "REPLACE (CASE WHEN turn_id IS NOT NULL THEN coalesce(model, 'unknown') END AS model)"
+for _name in ("search_page", "search_filters"):
+    add(f"{_name}_ranked", SQL[_name][0], f"SELECT * {_unknown} FROM ({SQL[_name][1]})")
+add("browse_page_ranked", search_where("provider = 'codex'") + f""", pg AS (SELECT * FROM hits {_paged.format(n=500, o=200)}),
+    ps AS (SELECT *, {jtrim('content')} AS tr, 0 AS start FROM pg)""", f"SELECT * {_unknown} FROM (SELECT {SEARCH_COLUMNS}, {SNIP}, {_rank(200)} FROM ps)")
 add("search_model", search_where("contains(literal, 'an') AND coalesce(CASE WHEN turn_id IS NOT NULL THEN model END, 'unknown') = 'unknown'"),
     "SELECT file_path, session_id, line FROM hits")
 add("message_index", search_where("true"), f"""SELECT concat_ws('#', file_path, provider, session_id, CAST(line AS VARCHAR),
