@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from logloom.functions.jsonv import arr_at, at, str_at
+from logloom.functions.jsonv import arr_at, str_at
 from logloom.functions.text import WS, collapse_ws, js_trim
 
 # Markers and generated lines of rollout prompts.
@@ -24,24 +24,37 @@ DIFF_COMMENT = (r"\nComment:\n([\s\S]*?)(?=\n\n(?:## Comment \d+|# In app browse
 AUTOMATION = [r"^automation\s*:", r"^continue working toward the active thread goal\.?$"]
 ROLES = ["user", "assistant", "system", "developer", "automation"]
 
-# Nested content arrays are followed this deep as columns; what lies deeper stays in the text as JSON, so nothing is lost.
-CONTENT_DEPTH = 12
 
+def _own_text(item: Column) -> Column:
+    return F.coalesce(str_at(item, "$"), str_at(item, "$.text"), str_at(item, "$.output_text"), str_at(item, "$.content"))
 
-def _first_text(item: Column, depth: int) -> Column:
-    options = [str_at(item, "$.text"), str_at(item, "$.output_text"), str_at(item, "$.content")]
-    deeper = arr_at(item, "$.content")
-    options.append(_joined(deeper, depth - 1) if depth > 1 else F.when(deeper.isNotNull(), F.to_json(at(item, "$.content"))))
-    return F.coalesce(str_at(item, "$"), *options, F.lit(""))
 
+def _inner(item: Column) -> Column:
+    """The items that stand for one without a text of its own."""
+    return F.when(_own_text(item).isNull(), arr_at(item, "$.content"))
 
-def _joined(items: Column, depth: int) -> Column:
-    return F.array_join(F.filter(F.transform(items, lambda x: _first_text(x, depth)), lambda t: t != ""), "\n")
+
+def _unfolded(items: Column) -> Column:
+    """Items with every nested content array put in its place, to any depth.
+
+    Texts are joined by line feeds on each level and empty ones are left out, so only their order counts and levels can be opened one after
+    the other, until none is left.  There are at most as many as the key occurs.
+    """
+    def nested(held: Column) -> Column:
+        return F.exists(held, lambda x: _inner(x).isNotNull())
+
+    def opened(held: Column) -> Column:
+        return F.flatten(F.transform(held, lambda x: F.coalesce(_inner(x), F.array(x))))
+
+    levels = F.sequence(F.lit(1), F.size(F.split(F.to_json(items), '"content"')))
+    deep = F.aggregate(levels, items, lambda held, _: F.when(nested(held), opened(held)).otherwise(held))
+    return F.when(nested(items), deep).otherwise(items)
 
 
 def content_to_text(v: Column, path: str = "$") -> Column:
-    """Text of a content value: a string, or the non-empty texts of an array joined by line feeds."""
-    return F.coalesce(str_at(v, path), _joined(arr_at(v, path), CONTENT_DEPTH), F.lit(""))
+    """Text of a content value: a string, or the non-empty texts of an array, nested ones included, joined by line feeds."""
+    texts = F.transform(_unfolded(arr_at(v, path)), lambda x: F.coalesce(_own_text(x), F.lit("")))
+    return F.coalesce(str_at(v, path), F.array_join(F.filter(texts, lambda t: t != ""), "\n"), F.lit(""))
 
 
 def claude_message_text(v: Column, path: str = "$.content") -> Column:

@@ -29,10 +29,12 @@ from logloom.operators.search import (INDEX_COLUMNS, POSITION, SearchOptions, cl
                                       running_before)
 from logloom.operators.sessions import corpus_fingerprint
 from logloom.operators.snapshots import read_snapshot, snapshot
-from logloom.schema import Corpus
+from logloom.schema import Corpus, corpus_from_tables
 from logloom.session import stage_table
 
 PART_ROWS = 65_536
+DIRECTORY_DDL = "part int, provider string, date_key string, n bigint, oldest string, newest string"
+PLACES_DDL = "part int, provider string, date_key string, file_path string, _chunk bigint, n bigint"
 
 
 class StaleIndex(LookupError):
@@ -109,7 +111,8 @@ def open_ranked_index(spark: SparkSession, path: str, fingerprint: str) -> Ranke
     folder = _folder(spark, path, fingerprint)
     if not _complete(spark, folder):
         raise StaleIndex(f"no index of the present corpus in {path}")
-    return RankedIndex(*[spark.read.parquet(f"{folder}/{name}") for name in ("rows", "directory", "places")])
+    rows = message_index(corpus_from_tables(spark, {})).schema.add("part", "integer")  # a build of no rows has no file to tell it
+    return RankedIndex(*[spark.read.schema(schema).parquet(f"{folder}/{name}") for name, schema in (("rows", rows), ("directory", DIRECTORY_DDL), ("places", PLACES_DDL))])
 
 
 def cached_index(spark: SparkSession, cache: str, path: str, build: bool = False, part_rows: int = PART_ROWS) -> RankedIndex:

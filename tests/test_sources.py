@@ -205,10 +205,13 @@ def test_deep_content_is_kept(spark):
             value = [{"content": value}, {"text": f"t{i}"}]
         return json.dumps({"content": value})
 
-    df = spark.createDataFrame([(d, nest(d)) for d in (0, 4, 9, 20)], "d int, v string")
+    df = spark.createDataFrame([(d, nest(d)) for d in (0, 4, 9, 20, 40, 450)], "d int, v string")
     got = dict(rows(df.select("d", content_to_text(parse_line(df.v), "$.content").alias("t")), "d", "t"))
-    assert got[4] == "deep\nt0\nt1\nt2\nt3" and got[9].split("\n") == ["deep", *[f"t{i}" for i in range(9)]]
-    assert "deep" in got[20] and all(f"t{i}" in got[20] for i in range(20))
+    for depth, text in got.items():
+        assert text.split("\n") == ["deep", *[f"t{i}" for i in range(depth)]]
+    mixed = [None, 1, "s", {"text": ""}, {"content": []}, {"content": ["", {"content": "c"}]}, {"output_text": "o", "content": ["no"]}, {"content": [[1], {"text": "", "content": ["no"]}]}]
+    df = spark.createDataFrame([(json.dumps({"content": mixed}),), (None,)], "v string")
+    assert rows(df.select(content_to_text(parse_line(df.v), "$.content").alias("t")), "t") == [("s\nc\no",), ("",)]
 
 
 def test_long_strings_are_parsed(spark):
