@@ -1,8 +1,10 @@
 """Licence scans: TF-IDF cosine of every line to licence templates, then inheritance from the nearest directory with a licence file.
 
 Everything is DataFrame operations.  Document frequencies of the template vocabulary are counted over all files; every line of the
-whole text that holds a word of the vocabulary is compared with every template, inside its row.  Words outside the vocabulary are
-as rare as a word can be; stop words carry no weight.  The vocabulary and its frequencies are as large as the templates, not as the files.
+whole text that holds a word of the vocabulary is compared with every template, inside its row.  A word outside the vocabulary, or one of it that no
+file holds, weighs as much as the rarest word of the vocabulary that occurs; stop words carry no weight.  Weights depend on the shares of files that hold
+a word, not on their number, so the same files a thousand times over match as they do once.  The vocabulary and its frequencies are as large as the
+templates, not as the files.
 
 Inheritance works on directories: each directory with files is joined, by all its ancestors' paths, with the directories that hold a
 licence file, keeps the deepest one, and is joined back to its files.
@@ -66,16 +68,15 @@ def _found(text: Column, scan: Scan) -> Column:
 
 
 def weights(files: DataFrame, scan: Scan) -> tuple[dict[str, float], float]:
-    """Inverse document frequency of each word of the vocabulary, and of a word that no file holds."""
-    total = F.log(F.lit(1.0) + files.count()) + 1
+    """Inverse document frequency of each word of the vocabulary, and of every other word: the greatest of the words that occur."""
+    total = F.log(F.lit(files.count()).cast("double")) + 1
     df = files.select(F.explode(_found(F.col("text"), scan)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    rows = df.select("term", (total - F.log(F.lit(1.0) + F.col("df"))).alias("idf")).collect()
-    unseen = files.sparkSession.range(1).select(total).first()[0]
-    seen = dict(map(tuple, rows))
-    return {t: seen.get(t, unseen) for t in scan.vocabulary()}, unseen
+    seen = dict(map(tuple, df.select("term", (total - F.log(F.col("df").cast("double"))).alias("idf")).collect()))
+    other = max(seen.values(), default=1.0)
+    return {t: seen.get(t, other) for t in scan.vocabulary()}, other
 
 
-def best_match(text: Column, scan: Scan, idf: dict[str, float], unseen: float) -> Column:
+def best_match(text: Column, scan: Scan, idf: dict[str, float], other: float) -> Column:
     """struct(score, pick) of the line and template with the highest cosine; pick counts down from 0 along the sorted licences.
 
     Null where no line can reach the threshold.  Each word outside the vocabulary counts for itself.
@@ -98,7 +99,7 @@ def best_match(text: Column, scan: Scan, idf: dict[str, float], unseen: float) -
     def summed(line: Column) -> Column:
         inside = F.aggregate(line["held"], F.lit(0.0), lambda s, x: s + F.pow(x["n"] * x["idf"], F.lit(2.0)))
         count = F.aggregate(line["held"], F.lit(0.0), lambda s, x: s + x["n"])
-        return F.struct(line["held"].alias("held"), inside.alias("inside"), (inside + (line["words"] - count) * unseen * unseen).alias("whole"))
+        return F.struct(line["held"].alias("held"), inside.alias("inside"), (inside + (line["words"] - count) * other * other).alias("whole"))
 
     def scored(line: Column) -> Column:
         return F.array_max(F.transform(table, lambda row: F.struct(
@@ -126,11 +127,11 @@ def scan_licences(files: DataFrame, scan: Scan = Scan()) -> DataFrame:
 
     A file's own licence stands; without one it takes that of the nearest directory upwards, its own included, that has a licence file.
     """
-    idf, unseen = weights(files, scan)
+    idf, other = weights(files, scan)
     licences = F.array(*[F.lit(x) for x in sorted({name for name, _ in scan.templates})])
     own = ["own_license", "own_score", "license", "inherited_from"]
     others = files.drop(*own)
-    rows = aside(others, "path", "text").withColumn("_best", best_match(F.col("text"), scan, idf, unseen))
+    rows = aside(others, "path", "text").withColumn("_best", best_match(F.col("text"), scan, idf, other))
     match = F.col("_best")["score"] >= scan.least
     rows = rows.withColumns({"own_license": F.when(match, F.element_at(licences, 1 - F.col("_best")["pick"])),
                              "own_score": F.when(match, F.col("_best")["score"]), "_folder": directory(F.col("path"))}).drop("_best")

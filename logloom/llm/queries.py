@@ -142,11 +142,12 @@ f AS (
   FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM f)
 ), lt AS (SELECT doc_id, k, t, count(*) AS n FROM (SELECT doc_id, k, unnest(tokens) AS t FROM lines) GROUP BY ALL),
 df AS (SELECT t, count(DISTINCT doc_id) AS df FROM lt JOIN vocabulary USING (t) GROUP BY t),
-total AS (SELECT ln(1.0 + count(*)) + 1 AS unseen FROM f),
-idf AS (SELECT t, (SELECT unseen FROM total) - ln(1.0 + coalesce(df, 0)) AS idf FROM vocabulary LEFT JOIN df USING (t)),
+total AS (SELECT ln(CAST(count(*) AS DOUBLE)) + 1 AS total FROM f),
+other AS (SELECT coalesce(max((SELECT total FROM total) - ln(CAST(df AS DOUBLE))), 1.0) AS w FROM df),
+idf AS (SELECT t, coalesce((SELECT total FROM total) - ln(CAST(df AS DOUBLE)), (SELECT w FROM other)) AS idf FROM vocabulary LEFT JOIN df USING (t)),
 lw AS (SELECT doc_id, k, t, n * idf AS w FROM lt JOIN idf USING (t)),
 ln AS (
-  SELECT doc_id, k, sqrt(sum(CASE WHEN idf IS NULL THEN n * (SELECT unseen FROM total) * (SELECT unseen FROM total) ELSE n * idf * n * idf END)) AS norm
+  SELECT doc_id, k, sqrt(sum(CASE WHEN idf IS NULL THEN n * (SELECT w FROM other) * (SELECT w FROM other) ELSE n * idf * n * idf END)) AS norm
   FROM lt LEFT JOIN idf USING (t) GROUP BY ALL
 ),
 tw AS (SELECT i, name, t, n * idf AS w FROM tt JOIN idf USING (t)),

@@ -433,6 +433,19 @@ def test_licences(spark):
     assert license_scan.scan_licences(df).count() == len(rows) and license_scan.scan_licences(df.where("false")).count() == 0
 
 
+def test_licence_scores_do_not_depend_on_the_number_of_files(spark):
+    """The same files a thousandfold get the scores that they get once."""
+    texts = ["Released under the MIT License by Acme Corp.", "Licensed under the Apache License, Version 2.0 by Acme", "SPDX-License-Identifier: MIT", "plain words", None,
+             "All rights reserved", "a licence text\nLicensed under CC BY 4.0", "version of the software"]
+    df = spark.createDataFrame([(f"d{i}/f", t) for i, t in enumerate(texts)], "path string, text string")
+    once = {r["text"]: (r["own_license"], r["own_score"]) for r in license_scan.scan_licences(df).collect()}
+    many = license_scan.scan_licences(df.withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(1000)))))
+    rows = many.groupBy("text").agg(F.collect_set(F.struct(F.coalesce("own_license", F.lit("")), F.coalesce("own_score", F.lit(-1.0)))).alias("got"), F.count(F.lit(1)).alias("n")).collect()
+    assert {r["text"]: [tuple(x) for x in r["got"]] for r in rows} == {t: [(a or "", -1.0 if b is None else b)] for t, (a, b) in once.items()}
+    assert all(r["n"] == 1000 for r in rows) and once["All rights reserved"] == ("Proprietary", 1.0)
+    assert once[texts[0]][0] == "MIT" and once[texts[1]][0] == "Apache-2.0"
+
+
 def test_licence_query_is_native(spark):
     plan = QUERIES["op6_license_scan"](spark, SF)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "op6_license_scan" in ORACLE
