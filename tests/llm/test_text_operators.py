@@ -419,6 +419,17 @@ def test_url_model_learns_and_matches_brute_force(spark):
         assert abs(brute(model.accepted, text) - brute(model.rejected, text) - url_filter.difference(model, [text])[0]) < 1e-9
 
 
+def test_url_sample_is_the_smallest_hashes_of_distinct_urls(spark):
+    rows = [(f"h{i % 700}/p", "allow" if i % 700 < 500 else "block") for i in range(3000)] + [("hot/x", "allow")] * 2000 + [(None, "allow"), ("h1/p", None), ("h1/p", "other")]
+    df = spark.createDataFrame(rows, "place string, label string")
+    hashed = df.where("place is not null").select("place", "label", F.xxhash64("place").alias("h")).distinct().collect()
+    for sample in (1, 50, 10_000):
+        want = {(r["place"], r["label"]) for x in ("allow", "block") for r in sorted((r for r in hashed if r["label"] == x), key=lambda r: (r["h"], r["place"]))[:sample]}
+        got = [tuple(r) for r in url_filter.sampled(df, sample).collect()]
+        assert len(got) == len(want) and set(got) == want
+    assert url_filter.sampled(df.where("false"), 5).count() == 0
+
+
 def test_licences(spark):
     apache, mit = "Licensed under the Apache License, Version 2.0.", "Released under the MIT License."
     rows = [("r/LICENSE", mit), ("r/a.txt", "no words here"), ("r/s/b.txt", "text\n" + apache + "\nmore"), ("r/s/t/c.txt", None), ("r/u/COPYING.md", apache),
