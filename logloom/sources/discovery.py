@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import os
 import re
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logloom.sources.lines import plain_path
+from logloom.sources.ranges import listable
+from logloom.sources.walk import walk
 
 # Log folders below a home directory, and folders never searched.
 DEFAULT_ROOTS = {
@@ -44,43 +47,46 @@ def found_paths(spark: SparkSession, patterns: list[str]) -> list[str]:
     return out
 
 
-def existing_roots(spark: SparkSession, paths: list[str] | None, provider: str, home: str = "~") -> list[str]:
-    """Input roots; local ones that do not exist are left out.
+def existing_roots(paths: list[str] | None, provider: str, home: str = "~") -> list[str]:
+    """Input roots as paths or URIs; local ones that do not exist are left out."""
+    roots = [re.sub(r"\Afile:/+", "/", p).rstrip("/") or "/" for p in (paths or default_log_roots(provider, home))]
+    local = [r for r in roots if "://" not in r and os.path.exists(r)]
+    return list(dict.fromkeys([os.path.abspath(r) for r in local] + [r for r in roots if "://" in r]))
 
-    Spark skips folders whose name starts with a dot, so the tools' own dot folders in a root, in its folders (a home
-    per user) or one level below are roots themselves.  Other dot folders have to be named.
+
+def spark_roots(spark: SparkSession, roots: list[str]) -> list[str]:
+    """Those roots that only Spark can list.
+
+    Spark skips folders whose name starts with a dot, so the tools' own dot folders in such a root, in its folders (a home
+    per user) or one level below are roots themselves.  Other dot folders there have to be named.
     """
-    roots = [p.rstrip("/") for p in (paths or default_log_roots(provider, home))]
-    roots = [r for r in roots if "://" in r or os.path.exists(r)]
-    folders = [r for r in roots if "://" in r or os.path.isdir(r)]
+    folders = [r for r in roots if not listable(r)]
     own = DEFAULT_ROOTS["codex"] + DEFAULT_ROOTS["claude"]
     dotted = found_paths(spark, [f"{r}{below}/{sub}" for r in folders for below in ("", "/*", "/*/*") for sub in own])
-    dotted = [re.sub(r"\Afile:/+", "/", d) for d in dotted]
-    return roots + [d for d in dict.fromkeys(dotted) if d not in roots]
+    return list(dict.fromkeys(folders + dotted))
 
 
 def log_files(spark: SparkSession, paths: list[str] | None = None, provider: str | None = None,
               home: str = "~") -> DataFrame:
     """(file_path, size, modified, kind) of every log file; kind is jsonl, vscdb or md.
 
-    Folders are searched recursively; a Markdown export, or a state file outside its usual place, must be named
-    itself.  Only the listing is read, never the contents.
+    Folders are searched at any depth, dot folders and links to folders included (:mod:`logloom.sources.walk`); a Markdown export, or a state file
+    outside its usual place, must be named itself.  Only the listing is read, never the contents.
     """
     provider = effective_provider(paths, provider)
-    roots = existing_roots(spark, paths, provider, home)
-    local = [r for r in roots if "://" not in r]
-    schema = "file_path string, size bigint, modified timestamp, kind string"
-    if not roots:
-        return spark.createDataFrame([], schema)
-    listing = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(roots)
-               .select(plain_path(F.col("path")).alias("file_path"), F.col("length").alias("size"),
-                       F.col("modificationTime").alias("modified")))
-    named = F.col("file_path").isin(*[r for r in local] or [""])
+    roots = existing_roots(paths, provider, home)
     path = F.col("file_path")
+    listings = [spark.createDataFrame([], "file_path string, size bigint, modified timestamp, named boolean")]
+    if own := [r for r in roots if listable(r)]:
+        listings.append(walk(spark, own, (".jsonl", ".vscdb")))
+    if others := spark_roots(spark, roots):
+        listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(others)
+        listed = listed.select(plain_path(F.col("path")).alias("file_path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+        listings.append(listed.filter(~path.rlike(IGNORED)).withColumn("named", path.isin(*others)).dropDuplicates(["file_path"]))
     kind = (F.when(path.endswith(".jsonl"), "jsonl").when(path.endswith(".vscdb"), "vscdb")
             .when(path.endswith(".md"), "md"))
     wanted = ((kind == "jsonl") & F.lit(provider != "cursor")) \
-        | ((kind == "vscdb") & F.lit(provider in ("all", "cursor")) & (named | path.rlike(GLOBAL_STATE))) \
-        | ((kind == "md") & F.lit(provider in ("all", "cursor")) & named)
-    return (listing.withColumn("kind", kind).filter(wanted & ~path.rlike(IGNORED)).dropDuplicates(["file_path"])
+        | ((kind == "vscdb") & F.lit(provider in ("all", "cursor")) & (F.col("named") | path.rlike(GLOBAL_STATE))) \
+        | ((kind == "md") & F.lit(provider in ("all", "cursor")) & F.col("named"))
+    return (reduce(DataFrame.unionByName, listings).withColumn("kind", kind).filter(wanted)
             .select("file_path", "size", "modified", "kind"))

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 from urllib.parse import urlsplit
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -33,10 +34,22 @@ def ranged(path: Column) -> Column:
     return scheme.isin(*SCHEMES)
 
 
+def listable(root: str) -> bool:
+    """Whether tasks can list and open what lies below a path or URI."""
+    return ("" if "://" not in root else root.split("://", 1)[0]) in SCHEMES
+
+
+def folder_store(path: str) -> tuple[fs.FileSystem, str, str]:
+    """(file system, path in it, what a listed path has before it) of a folder that tasks can list."""
+    scheme = path.split("://", 1)[0] if "://" in path else ""
+    if not SCHEMES[scheme]:
+        return fs.LocalFileSystem(), path.removeprefix("file://"), ""
+    store, inner = fs.FileSystem.from_uri(f"{SCHEMES[scheme]}://{path.split('://', 1)[1]}")
+    return store, inner, f"{scheme}://"
+
+
 def open_file(path: str):
     """(file, size) of a path or URI."""
-    from pyarrow import fs
-
     scheme = urlsplit(path).scheme if "://" in path else ""
     if not SCHEMES[scheme]:
         return fs.LocalFileSystem().open_input_file(path.removeprefix("file://"))

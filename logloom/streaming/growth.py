@@ -24,7 +24,7 @@ from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPart
 
 from logloom.session import ship_package
 from logloom.sources.discovery import IGNORED
-from logloom.sources.ranges import BLOCK, RANGE, SCHEMES, open_file, spans_in, tail
+from logloom.sources.ranges import BLOCK, RANGE, folder_store, listable, open_file, spans_in, tail
 
 SCHEMA = "file_path string, epoch bigint, byte_start bigint, byte_end bigint, value string"
 LISTED = pa.schema([("path", pa.string()), ("size", pa.int64()), ("modified", pa.int64()), ("epoch", pa.int64()), ("tail", pa.int64())])
@@ -39,14 +39,9 @@ class Entry:
 
 
 def _store(path: str) -> tuple[fs.FileSystem, str, str]:
-    """(file system, path in it, what a listed path has before it) of a folder."""
-    scheme = path.split("://", 1)[0] if "://" in path else ""
-    if scheme not in SCHEMES:
+    if not listable(path):
         raise ValueError(f"a stream cannot list {path}; name a folder that tasks can open")
-    if not SCHEMES[scheme]:
-        return fs.LocalFileSystem(), path.removeprefix("file://"), ""
-    store, inner = fs.FileSystem.from_uri(f"{SCHEMES[scheme]}://{path.split('://', 1)[1]}")
-    return store, inner, f"{scheme}://"
+    return folder_store(path)
 
 
 class GrowingLinesReader(DataSourceStreamReader):

@@ -186,6 +186,31 @@ def test_log_folders_below_homes(spark, write, tmp_path):
         assert sorted(rows(log_files(spark, [root]), "file_path")) == [(a,), (b,)]
 
 
+def test_walk_of_deep_dot_folders_and_links(spark, write, tmp_path):
+    from logloom.sources.corpus import load_corpus
+    from logloom.sources.walk import walk
+
+    deep = write("lake/a/b/c/d/.hidden/.codex/sessions/x.jsonl", [event(0, "session_meta", id="A"), event(1, "turn_context", cwd="/w")])
+    under = write("lake/_team/_y.jsonl", [event(0, "session_meta", id="B")])
+    empty = write("lake/empty.jsonl", [], "")
+    write("lake/a/.git/z.jsonl", ["{}"])
+    wide = [write(f"lake/wide/{i}/{i % 7}/n.jsonl", ["{}"]) for i in range(60)]
+    os.symlink(tmp_path / "lake", tmp_path / "lake/a/loop")
+    os.symlink(tmp_path / "lake/a/b", tmp_path / "lake/again")
+    os.symlink(tmp_path / "nowhere", tmp_path / "lake/dangling.jsonl")
+    outside = write("elsewhere/o.jsonl", ["{}"])
+    os.symlink(tmp_path / "elsewhere", tmp_path / "lake/zz")
+    root, linked = str(tmp_path / "lake"), f"{tmp_path}/lake/zz/o.jsonl"
+    for ahead in (1, 3, 256):
+        got = rows(walk(spark, [root, f"{root}/a/b"], (".jsonl",), ahead), "file_path")
+        assert sorted(got) == sorted((p,) for p in [deep, under, empty, linked, *wide])
+    assert rows(walk(spark, [root, str(tmp_path / "elsewhere")], (".jsonl",)).filter("file_path like '%o.jsonl'"), "file_path") == [(outside,)]
+    sizes = dict(rows(log_files(spark, [f"file://{root}"]), "file_path", "size"))
+    assert sizes[deep] == os.path.getsize(deep) and sizes[empty] == 0 and len(sizes) == 64
+    corpus = load_corpus(spark, [root])
+    assert {("A",), ("B",)} <= set(rows(corpus.sessions, "session_id"))
+
+
 def test_workspaces_of_two_stores(spark, write, tmp_path):
     from logloom.sources.corpus import _workspaces
 
