@@ -104,6 +104,18 @@ def test_top_k(spark):
     assert topk.top_k(frame(spark, []), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_top_k_collects_few_entries(spark):
+    """Far fewer entries leave the lists than there are pairs; copies are not all candidates; a long vector among short ones is whole."""
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=32).tolist(), 0) for i in range(1500)] + [(2000 + i, [0.3] * 32, 0) for i in range(600)] + [(2601, rng.normal(size=5000).tolist(), 0)]
+    df = spark.createDataFrame(rows, VECTORS)
+    asked = F.col("vec_id") % 50 == 0
+    first, collected, last = topk.phases(df, asked, block=512)
+    pairs = sum(r[0] % 50 == 0 for r in rows) * len(rows)
+    assert 0 < collected.count() < pairs / 10 and first.count() + last.count() < pairs / 20
+    assert sorted(map(tuple, topk.top_k(df, asked, block=512).collect())) == brute_top(rows, 5)
+
+
 def test_top_k_large_components(spark):
     rows = [(i, [float(3 * 10 ** (i % 9)), 1.0 - i], 0) for i in range(12)]
     assert sorted(map(tuple, topk.top_k(frame(spark, rows), F.lit(True)).where("query_id = 0").collect())) == [r for r in brute_top(rows, 5) if r[0] == 0]
