@@ -7,7 +7,8 @@ candidates.  No task sees a whole score.
    k-th best of a query is its cut-off, which at least ``k`` candidates reach.
 2. The cut-offs are broadcast.  A candidate whose partial score is below cut-off / lists in every list cannot reach the cut-off, so each list gives only
    its entries at or above that.  A candidate goes if what was seen of it, and less than the threshold for each list that did not give it, stay below the cut-off.
-3. The scores of what is left, and only of that, are resolved exactly, and a rank over these and the first ones ends it.
+3. The scores of what is left, and only of that, are resolved exactly, and a rank over these and the first ones ends it.  Pairs travel to the vectors of
+   their block as two numbers, and a block gives the ``k`` best of each query.
 
 Of equal vectors only the ``k`` + 1 smallest ids can be among the ``k`` best of anything, so no more of them are candidates; a vector that a third of the rows
 share is a candidate ``k`` + 1 times.  Cut-offs are one number a query; more than ``BROADCAST`` of them are joined by a shuffle.
@@ -21,7 +22,7 @@ repeated row is; ties go to the smaller id, null ids last; an empty table gives
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,8 @@ from logloom.llm.common import Staged, ship
 _LIMIT = 2**63 - 1
 #: Components that are multiplied at once, and queries whose partial scores are looked through at once.
 SLAB, LOOK = 1024, 256
+#: Pairs that are scored at once.
+PAIRS = 4096
 #: Cut-offs (16 bytes each) that are broadcast.
 BROADCAST = 1_000_000
 
@@ -52,6 +55,13 @@ def _whole(values: np.ndarray) -> np.ndarray:
     return np.array([int(x) for x in values.ravel()], object).reshape(values.shape)
 
 
+def _slab(values: np.ndarray, lengths: np.ndarray, rows: np.ndarray, lo: int, hi: int, short: bool) -> np.ndarray:
+    """Components ``lo`` to ``hi`` of some rows, zero where a row has ended."""
+    at = (np.cumsum(lengths) - lengths)[rows][:, None] + np.arange(lo, hi)
+    wide = np.where(np.arange(lo, hi) < lengths[rows][:, None], values[np.minimum(at, len(values) - 1)], 0.0)
+    return wide if short else _whole(wide)
+
+
 def partial_scores(left: pa.ChunkedArray, right: pa.ChunkedArray, scale: int) -> np.ndarray:
     """Exact inner products of all rows of two list columns, some components at a time."""
     (a, na), (b, nb) = _flat(left, scale), _flat(right, scale)
@@ -59,14 +69,9 @@ def partial_scores(left: pa.ChunkedArray, right: pa.ChunkedArray, scale: int) ->
     short = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * max(1, width) < 2**53
     out = np.zeros((len(na), len(nb)), np.float64 if short else object)
 
-    def slab(values: np.ndarray, lengths: np.ndarray, rows: np.ndarray, lo: int, hi: int) -> np.ndarray:
-        at = (np.cumsum(lengths) - lengths)[rows][:, None] + np.arange(lo, hi)
-        wide = np.where(np.arange(lo, hi) < lengths[rows][:, None], values[np.minimum(at, len(values) - 1)], 0.0)
-        return wide if short else _whole(wide)
-
     for lo in range(0, width, SLAB):
         hi, i, j = min(lo + SLAB, width), np.flatnonzero(na > lo), np.flatnonzero(nb > lo)
-        out[np.ix_(i, j)] += slab(a, na, i, lo, hi) @ slab(b, nb, j, lo, hi).T
+        out[np.ix_(i, j)] += _slab(a, na, i, lo, hi, short) @ _slab(b, nb, j, lo, hi, short).T
     return out
 
 
@@ -106,18 +111,41 @@ def _at_least(scores: np.ndarray, need: np.ndarray) -> np.ndarray:
     return (scores >= need[:, None]).astype(bool)
 
 
-def _resolved(scale: int):
-    """Exact scores of pairs of vectors cut to one length."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            (a, n), (b, _) = _flat(batch.column("left"), scale), _flat(batch.column("right"), scale)
-            if float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * max(1, int(n.max(initial=0))) < 2**53:
-                score = np.bincount(np.repeat(np.arange(len(n)), n), a * b, len(n)).astype(np.int64)
-            else:
-                ends = np.cumsum(n)
-                score = [max(-_LIMIT, min(_LIMIT, sum(int(x) * int(y) for x, y in zip(a[e - m: e], b[e - m: e])))) for e, m in zip(ends, n)]
-            names = ["q", "query_id", "c", "vec_id"]
-            yield pa.RecordBatch.from_arrays([*map(batch.column, names), pa.array(score, pa.int64())], names=[*names, "score"])
+def _resolved(k: int, scale: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Exact scores of the pairs of a block, whose vectors come once each; the ``k`` best of each query."""
+    schema = pa.schema([("q", pa.int64()), ("query_id", pa.int64()), ("c", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+
+    def run(pairs: pa.Table, vectors: pa.Table) -> pa.Table:
+        if not pairs.num_rows:
+            return schema.empty_table()
+        rid = vectors.column("rid").to_numpy()
+        query = vectors.column("query").to_numpy(zero_copy_only=False).astype(bool)
+        values, lengths = _flat(vectors.column("embedding"), scale)
+
+        def rows(name: str, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """The rows of one side that pairs name, and which of them each pair names."""
+            own, which = np.unique(pairs.column(name).to_numpy(), return_inverse=True)
+            held = np.flatnonzero(side)[np.argsort(rid[side])]
+            return held[np.searchsorted(rid[held], own)], which
+
+        (q, i), (c, j) = rows("q", query), rows("c", ~query)
+        most, width = np.abs(values).max(initial=0), int(min(lengths[q].max(initial=0), lengths[c].max(initial=0)))
+        short = float(most) ** 2 * max(1, width) < 2**53
+        total = np.zeros(len(i), np.float64 if short else object)
+        for lo in range(0, width, SLAB):
+            a, b = (_slab(values, lengths, x, lo, min(lo + SLAB, width), short) for x in (q, c))
+            for at in range(0, len(i), PAIRS):
+                total[at: at + PAIRS] += (a[i[at: at + PAIRS]] * b[j[at: at + PAIRS]]).sum(1)
+        score = total.astype(np.int64) if short else np.array([max(-_LIMIT, min(_LIMIT, int(x))) for x in total], np.int64)
+        names = vectors.column("vec_id")
+        missing = names.is_null().to_numpy()[c][j]
+        number = names.fill_null(0).to_numpy()[c][j]
+        order = np.lexsort((number, missing, -score, i))
+        start = np.flatnonzero(np.diff(i[order], prepend=-1))
+        rank = np.arange(len(order)) - np.repeat(start, np.diff(start, append=len(order)))
+        best = order[rank < k]
+        return pa.Table.from_arrays([pa.array(rid[q][i[best]]), names.take(pa.array(q[i[best]])), pa.array(rid[c][j[best]]),
+                                     names.take(pa.array(c[j[best]])), pa.array(score[best])], schema=schema)
 
     return run
 
@@ -153,11 +181,16 @@ def phases(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, l
         return left.unionByName(side(held.withColumn("need", F.lit(None).cast("long")), "_c", of_candidates, "_q", of_queries, False))
 
     def scored(pairs: DataFrame) -> DataFrame:
-        both = (pairs.select("q", "c").join(held.select(F.col("rid").alias("c"), "vec_id", F.col("embedding").alias("right")), "c")
-                .join(asked.select(F.col("rid").alias("q"), F.col("vec_id").alias("query_id"), F.col("embedding").alias("left")), "q"))
-        size = F.least(F.size("left"), F.size("right"))
-        cut = both.select("q", "query_id", "c", "vec_id", F.slice("left", F.lit(1), size).alias("left"), F.slice("right", F.lit(1), size).alias("right"))
-        return staged.table(cut.mapInArrow(_resolved(scale), "q long, query_id long, c long, vec_id long, score long"))[0]
+        """The ``k`` best of each query and block: pairs travel as two numbers, vectors once a block."""
+        mine, other = F.pmod(F.xxhash64("q"), F.lit(of_queries)).cast("int"), F.pmod(F.xxhash64("c"), F.lit(of_candidates)).cast("int")
+        keys = ["_q", "_c"]
+        named = pairs.select(mine.alias("_q"), other.alias("_c"), "q", "c")
+        own, others = F.pmod(F.xxhash64("rid"), F.lit(of_queries)).cast("int"), F.pmod(F.xxhash64("rid"), F.lit(of_candidates)).cast("int")
+        columns = [*keys, "rid", "vec_id", "embedding", "query"]
+        vectors = asked.withColumns({"_q": own, "_c": F.explode(F.sequence(F.lit(0), F.lit(of_candidates - 1))), "query": F.lit(True)}).select(columns).unionByName(
+            held.withColumns({"_c": others, "_q": F.explode(F.sequence(F.lit(0), F.lit(of_queries - 1))), "query": F.lit(False)}).select(columns))
+        both = named.groupBy(*keys).cogroup(vectors.groupBy(*keys))
+        return staged.table(both.applyInArrow(_resolved(k, scale), "q long, query_id long, c long, vec_id long, score long"))[0]
 
     highest = dealt(asked.withColumn("need", F.lit(None).cast("long"))).groupBy("_q", "_c", "_l").applyInArrow(_block(_highest(gather * k), scale), _PARTIALS)
     of_list = F.row_number().over(W.partitionBy("q", "list").orderBy(F.desc("partial")))
