@@ -460,3 +460,17 @@ def test_licence_scores_do_not_depend_on_the_number_of_files(spark):
 def test_licence_query_is_native(spark):
     plan = QUERIES["op6_license_scan"](spark, SF)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "op6_license_scan" in ORACLE
+
+
+def test_url_model_reads_every_labelled_url(spark, monkeypatch):
+    rows = [(f"good.org/{i:x}/read", "allow") for i in range(24_000)] + [(f"bad.net/{i:x}/buy", "block") for i in range(24_000)]
+    df = spark.createDataFrame(rows + rows[:5], "place string, label string").repartition(4)
+    model = url_filter.fit(df)
+    fitted = {label: df.where(f"label = '{label}'").distinct().where("pmod(xxhash64(place, 1), 5) <> 0").count() for label in ("allow", "block")}
+    ends = [int(m.counts[0][m.grams[0] == ord("\n")][0]) for m in (model.accepted, model.rejected)]
+    assert ends == [fitted["allow"], fitted["block"]]  # 20 000 of each class before
+    monkeypatch.setattr(url_filter, "KEYS", 100)
+    small = url_filter.fit(df)
+    assert small.accepted.hashed and not model.accepted.hashed and all(c.max() < 1 << 14 for c in small.rejected.contexts[3:])
+    assert [int(m.counts[4].sum()) for m in (small.accepted, model.accepted)] == [int(model.accepted.counts[0].sum())] * 2
+    assert (url_filter.difference(small, ["good.org/zz/read", "bad.net/zz/buy"]) >= small.cut_off).tolist() == [True, False]
