@@ -122,3 +122,53 @@ def test_project_names(spark):
     assert [r[0] for r in df.select(project_name(F.col("c"), aliases)).collect()] == [
         "First", "Second", "proj", "c", "Unknown Project"]
     assert rows(df.limit(0)) == [] and json.dumps({}) == "{}"
+
+
+def _starts(items, heads):
+    """What a pattern can match, up to its first wildcard (marked); ``|`` marks a word boundary."""
+    from re import _constants as C
+    for op, arg in items:
+        done = {h for h in heads if h.endswith("\0")}
+        live = heads - done
+        if op is C.SUBPATTERN:
+            live = _starts(arg[-1], live)
+        elif op is C.BRANCH:
+            live = set().union(*[_starts(b, live) for b in arg[1]])
+        elif op is C.MAX_REPEAT and arg[:2] == (0, 1):
+            live = live | _starts(arg[2], live)
+        else:
+            more = {C.LITERAL: lambda: [chr(arg)], C.IN: lambda: [chr(a) for _, a in arg], C.AT: lambda: ["|"]}
+            live = {h + c for h in live for c in more.get(op, lambda: ["\0"])()}
+        heads = done | live
+    return heads
+
+
+def test_key_words_cover_every_pattern():
+    import re
+    from re import _parser as P
+
+    from logloom.functions import intents
+    for name in [n for n in vars(intents) if n.isupper() and isinstance(vars(intents)[n], list) and n not in ("OPERATIONAL", "RULES", "APP_NAMES", "APPROVAL")]:
+        anywhere = [p for p in getattr(intents, name) if not p.startswith("^")]
+        assert bool(anywhere) == (name in intents.KEY_WORDS) and all(p.startswith(r"\b") for p in anywhere)
+        for pattern in anywhere:
+            for text in _starts(P.parse(pattern.replace("{app_names}", "(?:[a-z ]+)")), {""}):
+                whole = re.findall(r"(?<![a-z0-9_])[a-z0-9_]+(?![a-z0-9_\0])", text)
+                assert set(whole) & set(intents.KEY_WORDS[name].split()), (name, text)
+
+
+def test_rules_run_once_per_text(spark):
+    from logloom.operators import evals, prompts
+    gold = spark.createDataFrame([("a", "fix the crash", "bug-fixes", None), ("b", "Rename it", "research", None)],
+                                 "id string, message string, expected_key string, previous_key string")
+    rows = evals.classify_gold(gold)
+    said = spark.createDataFrame([("f", n, 0, "s", "codex", "event_msg.user_message", "user", "2026-01-01T00:00:00Z", t) for n, t in enumerate(("Look  at", "look AT", " "))],
+                                 "file_path string, line long, seq int, session_id string, provider string, source_event string, role string, timestamp string, content string")
+    runs = {}
+    for name, df in {"counts": evals.classifier_counts(rows), "check": evals.classifier_categories(rows), "mismatches": evals.classifier_mismatches(rows),
+                     "repeated": prompts.repeated_groups(said), "variants": prompts.repeated_variants(said)}.items():
+        runs[name] = df._jdf.queryExecution().optimizedPlan().toString().count("ai worklog")
+    assert runs == {"counts": 1, "check": 1, "mismatches": 0, "repeated": 1, "variants": 0}  # 4, 2, 2, 2 and more before; written tables have 0
+    assert [(r.sample, r["count"]) for r in prompts.repeated_groups(said).collect()] == [("Look at", 2)]
+    assert sorted((r.kind, r["name"], r["count"]) for r in evals.classifier_counts(rows).collect()) == [
+        ("confidence", "high", 2), ("confusion", "research", 1), ("rule", "direct-bug-fix", 1), ("rule", "refactor-cleanup", 1)]
