@@ -16,6 +16,7 @@ from logloom.operators.scans import ranked
 from logloom.operators.scope import Scope
 from logloom.operators.search import clamp_limit, clamp_offset
 from logloom.schema import Corpus
+from logloom.session import stage_table
 
 REVIEW_DDL = "eval_id string, actual_key string, expected_key string, is_correct boolean, reviewed_at string, note string"
 
@@ -186,11 +187,15 @@ def classifier_totals(rows: DataFrame, minimum_accuracy: float = 1.0) -> DataFra
 
 def classifier_categories(rows: DataFrame) -> DataFrame:
     """Per category: expected, predicted, correct, precision (of predicted) and recall (of expected)."""
-    hit = F.count_if(F.col("actual_key") == F.col("expected_key"))
-    expected = rows.groupBy(F.col("expected_key").alias("key")).agg(F.count(F.lit(1)).alias("expected"), hit.alias("correct"))
-    predicted = rows.groupBy(F.col("actual_key").alias("key")).agg(F.count(F.lit(1)).alias("predicted"))
-    both = expected.join(predicted, "key", "full_outer").select(
-        "key", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("expected", "predicted", "correct")])
+    # One pass over the texts: what follows reads one row per pair of categories.
+    pairs = rows.groupBy("expected_key", "actual_key").agg(F.count(F.lit(1)).alias("n"))
+    hit, none = F.when(F.col("actual_key") == F.col("expected_key"), F.col("n")).otherwise(0), F.lit(0).cast("long")
+
+    def side(key: str, expected: Column, predicted: Column, correct: Column) -> Column:
+        return F.struct(F.col(key).alias("key"), expected.alias("expected"), predicted.alias("predicted"), correct.alias("correct"))
+
+    sides = F.inline(F.array(side("expected_key", F.col("n"), none, hit), side("actual_key", none, F.col("n"), none)))
+    both = pairs.select(sides).groupBy("key").agg(*[F.sum(c).alias(c) for c in ("expected", "predicted", "correct")])
     return both.select("key", category_label(F.col("key")).alias("label"), "expected", "predicted", "correct",
                        ratio(F.col("correct"), F.col("predicted")).alias("precision"),
                        ratio(F.col("correct"), F.col("expected")).alias("recall"))
@@ -198,20 +203,23 @@ def classifier_categories(rows: DataFrame) -> DataFrame:
 
 def classifier_counts(rows: DataFrame) -> DataFrame:
     """Counts per rule and per confidence level, and confusions, as (kind, name, other, count)."""
+    # One pass over the texts: what follows reads one row per rule and expected category.
+    cells = rows.groupBy("rule_key", "confidence", "expected_key", "actual_key").agg(F.count(F.lit(1)).alias("n"))
     none = F.lit(None).cast("string")
-    wrong = rows.filter(F.col("actual_key") != F.col("expected_key"))
-    parts = [rows.select(F.lit("rule").alias("kind"), F.col("rule_key").alias("name"), none.alias("other")),
-             rows.select(F.lit("confidence").alias("kind"), F.col("confidence").alias("name"), none.alias("other")),
-             wrong.select(F.lit("confusion").alias("kind"), F.col("expected_key").alias("name"),
-                          F.col("actual_key").alias("other"))]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("kind", "name", "other").agg(
-        F.count(F.lit(1)).alias("count"))
+
+    def part(kind: str, name: str, other: Column = none) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), F.col(name).alias("name"), other.alias("other"), F.col("n").alias("n"))
+
+    wrong = F.when(F.col("actual_key") != F.col("expected_key"), part("confusion", "expected_key", F.col("actual_key")))
+    parts = F.array_compact(F.array(part("rule", "rule_key"), part("confidence", "confidence"), wrong))
+    return cells.select(F.inline(parts)).groupBy("kind", "name", "other").agg(F.sum("n").alias("count"))
 
 
 def classifier_mismatches(rows: DataFrame) -> DataFrame:
-    return rows.filter(F.col("actual_key") != F.col("expected_key")).select(
-        "id", "expected_key", "actual_key", "rule_key", "confidence", "signals",
-        compact(F.col("message"), 120).alias("message"))
+    # Written once: a filter on classified columns would classify every text anew.
+    judged = stage_table(rows.select("id", "expected_key", "actual_key", "rule_key", "confidence", "signals",
+                                     compact(F.col("message"), 120).alias("message")))
+    return judged.filter(F.col("actual_key") != F.col("expected_key"))
 
 
 def classifier_changes(rows: DataFrame) -> DataFrame:

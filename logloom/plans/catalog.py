@@ -371,7 +371,7 @@ def _upsert(c: Corpus) -> DataFrame:
 
 
 def _gold(fn: Callable[[DataFrame], DataFrame]) -> Query:
-    return lambda spark, sf: fn(evals.classify_gold(table_views(spark, sf)["lg_gold"]))
+    return lambda spark, sf: fn(evals.classify_gold(table_views(spark, sf)["lg_gold"].repartition("id")))
 
 
 QUERIES["classifier_check"] = _gold(evals.classifier_categories)
