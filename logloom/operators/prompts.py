@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logloom.functions.content import is_codex_submitted
-from logloom.functions.intents import with_intent
+from logloom.functions.intents import group_key, with_intent
 from logloom.functions.project import ProjectAlias
-from logloom.functions.text import compact, normalize_text, repeated_id
+from logloom.functions.text import NOT_WS, compact, normalize_text, repeated_id
 from logloom.operators.context import SESSION, attach_project
 from logloom.operators.memo import EXAMPLE, grouped
 from logloom.operators.scans import first_rows
 from logloom.schema import Corpus
+from logloom.session import stage_table
 
 POSITION = ["file_path", "line", "seq"]
 
@@ -23,6 +24,21 @@ def codex_prompts(messages: DataFrame) -> DataFrame:
     return messages.filter(is_codex_submitted())
 
 
+def _said(messages: DataFrame) -> DataFrame:
+    """Grouped codex prompts that are not empty; blank texts go before the rules run, as a filter on what the rules give would run them twice."""
+    prompts = codex_prompts(messages)
+    if "group_key" in prompts.columns:
+        return prompts.filter(F.col("literal") != "")
+    return grouped(prompts.filter(F.col("content").rlike(NOT_WS)))
+
+
+def _said_once(messages: DataFrame) -> DataFrame:
+    """The same, written once without the texts where the rules have to run: for results that read them more than once."""
+    if "group_key" in messages.columns:
+        return _said(messages)
+    return stage_table(_said(messages).drop("content", "group_key")).withColumn("group_key", group_key())
+
+
 def _with_intent(prompts: DataFrame) -> DataFrame:
     return prompts if "intent_key" in prompts.columns else with_intent(prompts)
 
@@ -37,7 +53,7 @@ def _span(df: DataFrame, keys: list[str], extra: list) -> DataFrame:
 
 def repeated_groups(messages: DataFrame) -> DataFrame:
     """Every prompt group that occurs more than once (codex prompts): sample, category, counts and span."""
-    prompts = grouped(codex_prompts(messages)).filter(F.col("literal") != "")
+    prompts = _said(messages)
     sample = F.min_by("group_sample", F.struct(*POSITION))
     per = _span(prompts, ["group_key"], [F.min(F.struct(*POSITION)).alias("at"), sample.alias("sample"),
                                          F.first("category").alias("category")])
@@ -58,22 +74,22 @@ def repeated_variants(messages: DataFrame, groups: DataFrame | None = None) -> D
 
     ``groups`` restricts the result, for example to :func:`repeated_prompts`.
     """
-    prompts = grouped(codex_prompts(messages)).filter(F.col("literal") != "")
+    prompts = _said_once(messages)
     ts = F.nullif(F.col("timestamp"), F.lit(""))
     variants = prompts.groupBy("group_key", "literal").agg(
         F.min_by("variant_sample", F.struct(*POSITION)).alias("sample"), F.count(F.lit(1)).alias("count"),
         F.min(ts).alias("first_seen"), F.max(ts).alias("last_seen"))
-    groups = repeated_groups(messages) if groups is None else groups
+    groups = repeated_groups(prompts) if groups is None else groups
     return variants.join(groups.select("group_key", "id"), "group_key").select(
         "id", "group_key", "sample", "count", "first_seen", "last_seen")
 
 
 def repeated_projects(corpus: Corpus, aliases: Sequence[ProjectAlias] = ()) -> DataFrame:
     """(id, group_key, project) of every repeated prompt."""
-    prompts = grouped(codex_prompts(corpus.messages)).filter(F.col("literal") != "")
+    prompts = _said_once(corpus.messages)
     pairs = prompts.select("group_key", *SESSION, "provider").distinct()
     named = attach_project(pairs, corpus, aliases).select("group_key", "project").distinct()
-    return named.join(repeated_groups(corpus.messages).select("group_key", "id"), "group_key").select(
+    return named.join(repeated_groups(prompts).select("group_key", "id"), "group_key").select(
         "id", "group_key", "project")
 
 
