@@ -157,14 +157,15 @@ def message_index(corpus: Corpus) -> DataFrame:
 
 
 def write_message_index(corpus: Corpus, path: str) -> None:
-    """Parquet by provider and day, sorted by project and time inside a file for min/max skipping.
+    """Parquet by provider, sorted by day, project and time inside a file for min/max skipping.
 
-    The rows are range-partitioned on the folder columns and the time, so a day of any size spreads over tasks.
+    The rows are range-partitioned on provider, day, project and time, so a day of any size spreads over tasks, and the number of files goes by
+    the tasks, not by the days.  They are written once before, as drawing the ranges reads them a first time.
     """
-    index = message_index(corpus)
+    index = stage_table(message_index(corpus))
     (index.repartitionByRange("provider", "date_key", "project", F.coalesce("timestamp", F.lit("")), "id")
      .sortWithinPartitions("provider", "date_key", "project", "timestamp")
-     .write.mode("overwrite").partitionBy("provider", "date_key").parquet(path))
+     .write.mode("overwrite").partitionBy("provider").parquet(path))
 
 
 INDEX_COLUMNS = ["provider", *SESSION, "date_key", "project", "cwd", "line", "turn_id", "model", "timestamp", "role", "source_event", "category",
@@ -207,7 +208,7 @@ def index_matches(index: DataFrame, o: SearchOptions) -> DataFrame:
 def search_index(index: DataFrame, o: SearchOptions) -> DataFrame:
     """The rows of :func:`search_page` without their ids, from the table of :func:`write_message_index`; ``model`` is the stored one.
 
-    One pass, nothing derived anew: provider and day prune the folders that are read.  :mod:`logloom.operators.ranked_index` serves deep and large pages.
+    One pass, nothing derived anew: the provider prunes the folders that are read, the day their row groups.  :mod:`logloom.operators.ranked_index` serves deep and large pages.
     """
     m = index_matches(index, o)
     order = [F.desc(F.coalesce("timestamp", F.lit(""))), *map(F.col, POSITION)]

@@ -124,3 +124,17 @@ def test_empty_corpus(spark, tmp_path):
     index = ranked_index.open_ranked_index(spark, str(tmp_path), mark)
     assert ranked_index.ranked_page(index, SearchOptions()).count() == 0
     assert ranked_index.ranked_page(index, SearchOptions(query="x", offset=3)).count() == 0
+
+
+def test_message_index_has_no_folder_for_a_day(spark, tmp_path):
+    import os
+
+    from logloom.operators import search
+    from logloom.schema import corpus_from_tables
+    said = spark.createDataFrame([(f"f{i}", 1, 0, "s", "codex", "event_msg.user_message", "user", f"2026-01-{i:02d}T00:00:00Z", f"text {i}") for i in range(1, 29)],
+                                 "file_path string, line long, seq int, session_id string, provider string, source_event string, role string, timestamp string, content string")
+    path = str(tmp_path / "index")
+    search.write_message_index(corpus_from_tables(spark, {"messages": said}), path)
+    assert os.listdir(f"{path}/provider=codex") and not [n for n in os.listdir(f"{path}/provider=codex") if n.startswith("date_key=")]
+    got = search.search_index(spark.read.parquet(path), search.SearchOptions(query="text", since="2026-01-27")).collect()
+    assert [(r.date_key, r.snippet) for r in got] == [("2026-01-28", "text 28"), ("2026-01-27", "text 27")]
