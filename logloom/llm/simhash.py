@@ -11,8 +11,9 @@ and every part of the shard is searched in each of them.  A task reports a spann
   of a pair at 0.8 differ in about 15 % of their bits, so one of 64 keys of 16 bits from 16 lanes is equal with a probability of 0.99, and up
   to 68 of 256 bits may differ.  Each candidate is then judged by the exact similarity of the two sets, as 64-bit hashes.
 
-Candidates of a set plan come in two rounds: first one for each node and block, which joins most groups with as many links as they have nodes;
-then, among the nodes that have a candidate at all, every candidate between groups that are still apart.
+Candidates of a set plan are never listed either: shards report a spanning forest of them, whose components are clusters.  A cluster is brought together
+once, with its sets, in blocks as above; there the candidates of nodes that are still apart are judged, and again a spanning forest of links comes out.
+So rows grow with the nodes, also in a group of texts that are all alike but under the similarity, of which each pair has to be judged.
 
 Defined results: a text is split at ASCII white space after lower-casing A-Z; a text with fewer words than a shingle is one shingle; a null or
 empty text has the fingerprint zero, no shingles, and links like any other.  Equal fingerprints (in a set plan: equal sets) are one node, so copies
@@ -33,16 +34,21 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest, xxh64_intdigest
 
 from logloom.llm.bktree import BKForest
-from logloom.llm.common import Staged, aside, own_columns, ship, slices, whole_groups
+from logloom.llm.common import SLICE, Staged, aside, own_columns, ship, slices, whole_groups
 from logloom.llm.components import connected_components
 
 
+#: Hashes of the filter that tells the texts of clusters from the others.
+SLOTS = 1 << 20
+#: Shingles that count as a node where a cluster is dealt into parts, so that long texts make more of them.
+LONG = 1024
+
+
 @dataclass(frozen=True)
 class Plan:
     """Shingle length, lanes, key fields (lane, shift, bits), and how many of the lanes judge a pair within how many bits.
 
-    With ``jaccard`` (numerator, denominator) fingerprints are those of shingle sets, and links need that similarity of the sets; candidates of the
-    second round differ in ``apart`` bits of all lanes at most.
+    With ``jaccard`` (numerator, denominator) fingerprints are those of shingle sets, and links need that similarity of the sets.
     """
 
     words: int
@@ -51,7 +57,6 @@ class Plan:
     judged: int
     radius: int
     jaccard: tuple[int, int] | None = None
-    apart: int = 0
 
 
 def exact_plan(words: int = 3, radius: int = 2) -> Plan:
@@ -59,8 +64,8 @@ def exact_plan(words: int = 3, radius: int = 2) -> Plan:
     return Plan(words, 1, tuple((0, a, b - a) for a, b in zip(edges, edges[1:])), 1, radius)
 
 
-def similar_plan(words: int = 5, lanes: int = 16, bits: int = 16, judged: int = 4, radius: int = 68, apart: int = 205) -> Plan:
-    return Plan(words, lanes, tuple((lane, shift, bits) for lane in range(lanes) for shift in range(0, 65 - bits, bits)), judged, radius, (4, 5), apart)
+def similar_plan(words: int = 5, lanes: int = 16, bits: int = 16, judged: int = 4, radius: int = 68) -> Plan:
+    return Plan(words, lanes, tuple((lane, shift, bits) for lane in range(lanes) for shift in range(0, 65 - bits, bits)), judged, radius, (4, 5))
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -158,54 +163,92 @@ def _met(batches: Iterator[pa.RecordBatch], plan: Plan) -> Iterator[tuple[pa.Tab
 
 
 def _search(plan: Plan):
+    """A spanning forest of each block's links; in a set plan, of its candidates."""
     schema = pa.schema([("node", pa.int64()), ("root", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, pairs in _met(batches, plan):
             label = np.arange(table.num_rows)
             for a, b in pairs:
+                if plan.jaccard:
+                    able = _sized(plan, table.column("n").to_numpy(), a, b)
+                    a, b = a[able], b[able]
                 label = _merged(label, a, b)
-            rows = np.flatnonzero(label != np.arange(len(label)))
-            nodes = table.column("node").to_numpy()
-            if len(rows):
-                yield pa.RecordBatch.from_arrays([pa.array(nodes[rows]), pa.array(nodes[label[rows]])], schema=schema)
+            yield from _forest(table, label, schema)
 
     return run
 
 
-def _candidates(plan: Plan, every: bool):
-    """Pairs of nodes whose sets have to be compared: ``every`` one of different ``_c``, or for each node the one with the smallest node of its block."""
-    schema, (over, under) = pa.schema([("a", pa.int64()), ("b", pa.int64())]), plan.jaccard
-
-    def batch(nodes: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(nodes[a], nodes[b])), pa.array(np.maximum(nodes[a], nodes[b]))], schema=schema)
+def _links(plan: Plan):
+    """A spanning forest of the links in each block of a set plan: candidates of rows that are still apart are judged by their sets."""
+    schema, (over, under) = pa.schema([("node", pa.int64()), ("root", pa.int64())]), plan.jaccard
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, pairs in _met(batches, plan):
-            nodes, size = (table.column(x).to_numpy() for x in ("node", "n"))
-            group = table.column("_c").to_numpy() if every else nodes
-            lanes = np.stack([table.column(x).to_numpy().view(np.uint64) for x in _lanes(plan.lanes)], axis=1) if every else None
-            low = np.full(len(nodes), len(nodes))
+            label, role, size = np.arange(table.num_rows), *(table.column(x).to_numpy() for x in ("_role", "n"))
+            lanes = np.stack([table.column(x).to_numpy().view(np.uint64) for x in _lanes(plan.lanes)], axis=1)
+            _, words = np.unique(table.column("shingles").combine_chunks().flatten().to_numpy(), return_inverse=True)
+            ends = np.cumsum(size)
             for a, b in pairs:
-                # sets of too different a size cannot be similar enough
-                able = (group[a] != group[b]) & (under * np.minimum(size[a], size[b]) >= over * np.maximum(size[a], size[b]))
+                able = (label[a] != label[b]) & ((a < b) | (role[a] != role[b])) & _sized(plan, size, a, b)
                 a, b = a[able], b[able]
-                if every:  # all lanes tell similar sets from those that are only alike
-                    near = np.concatenate([np.bitwise_count(lanes[a[i:i + 65536]] ^ lanes[b[i:i + 65536]]).sum(1, dtype=np.int64) <= plan.apart
-                                           for i in range(0, len(a), 65536)] or [np.zeros(0, bool)])
-                    a, b = a[near], b[near]
-                if every:
-                    yield batch(nodes, a, b)
-                    continue
-                np.minimum.at(low, a, b)
-                np.minimum.at(low, b, a)
-            rows = np.flatnonzero(low < len(nodes))
-            if len(rows):
-                yield batch(nodes, rows, low[rows])
+                met = _meet(plan, lanes, a, b)
+                a, b = a[met], b[met]
+                order = np.argsort(a, kind="stable")
+                a, b = a[order], b[order]
+                total, lo = np.cumsum(size[b]), 0
+                while lo < len(a):  # in slices, so that what one has joined need not be judged in the next
+                    hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + SLICE, "right")))
+                    x, y = a[lo:hi], b[lo:hi]
+                    still = label[x] != label[y]
+                    x, y = x[still], y[still]
+                    good = (over + under) * _shared(words, ends, size, x, y) >= over * (size[x] + size[y])
+                    label = _merged(label, x[good], y[good])
+                    lo = hi
+            yield from _forest(table, label, schema)
 
     return run
 
 
+def _meet(plan: Plan, lanes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether two rows are in one shard of any key, and so a candidate."""
+    met = np.zeros(len(a), bool)
+    for lane, shift, bits in plan.keys:
+        own = lanes[:, lane] >> np.uint64(shift) & np.uint64((1 << bits) - 1)
+        met |= own[a] == own[b]
+    return met
+
+
+def _sized(plan: Plan, size: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sets of too different a size cannot be similar enough."""
+    over, under = plan.jaccard
+    return under * np.minimum(size[a], size[b]) >= over * np.maximum(size[a], size[b])
+
+
+def _shared(words: np.ndarray, ends: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many shingles the sets of the rows a and b share, pair by pair; ``a`` is sorted, and no set of ``b`` is empty.
+
+    ``words`` holds the sets one after the other, shingles numbered from 0; ``ends`` is where they end.
+    """
+    shared, held = np.empty(len(a), np.int64), np.zeros(int(words.max(initial=-1)) + 1, bool)
+    first = np.flatnonzero(np.diff(a, prepend=-1))
+    for lo, hi in zip(first, [*first[1:], len(a)]):
+        own = words[ends[a[lo]] - size[a[lo]]: ends[a[lo]]]
+        held[own] = True
+        n = size[b[lo:hi]]
+        start = np.cumsum(n) - n
+        found = held[words[np.repeat(ends[b[lo:hi]] - n - start, n) + np.arange(n.sum())]]
+        shared[lo:hi] = np.add.reduceat(found.view(np.uint8), start, dtype=np.int64)
+        held[own] = False
+    return shared
+
+
+def _forest(table: pa.Table, label: np.ndarray, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    rows, nodes = np.flatnonzero(label != np.arange(len(label))), table.column("node").to_numpy()
+    if len(rows):
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[rows]), pa.array(nodes[label[rows]])], schema=schema)
+
+
 def _merged(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Labels (row numbers, smallest of each component so far) after the links a - b."""
     while True:
@@ -225,16 +268,20 @@ def _key(plan: Plan, i: int) -> Column:
     return F.lit(i << 40).cast("long") + field
 
 
-def _laid(nodes: DataFrame, plan: Plan, block: int, staged: Staged, *more: str) -> DataFrame:
+def _laid(nodes: DataFrame, plan: Plan, block: int, staged: Staged) -> DataFrame:
     """Narrow copies of the nodes in the order of their shards, each with the id of its block and its role there.
 
     Only the keys of more than ``block`` nodes, which are few, are joined and dealt into pairs of parts; all others are blocks as they are.
     """
     keys = F.explode(F.array(*[_key(plan, i) for i in range(len(plan.keys))])).alias("_key")
-    columns = ["node", *_lanes(plan.judged), *more]
+    columns = ["node", *_lanes(plan.judged), *(["n"] if plan.jaccard else [])]
     counts = nodes.select(keys).groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
     crowded, _ = staged.table(counts.where(F.col("_n") > block))
-    copies = nodes.select(*columns, keys).join(crowded, "_key", "left")
+    return _blocks(nodes.select(*columns, keys).join(crowded, "_key", "left"), block, *columns)
+
+
+def _blocks(copies: DataFrame, block: int, *columns: str) -> DataFrame:
+    """Rows in the order of their blocks: those of a ``_key``, or of two parts of it where ``_n``, its size, is not null."""
     parts = F.ceil(F.col("_n") / block).cast("int")
     part = F.pmod(F.xxhash64("node"), parts).cast("int")
     other = F.explode(F.when(F.col("_n").isNull(), F.array(F.lit(None).cast("int"))).otherwise(F.sequence(F.lit(0), parts - 1))).alias("_with")
@@ -245,36 +292,24 @@ def _laid(nodes: DataFrame, plan: Plan, block: int, staged: Staged, *more: str)
     return met.select(name.alias("_block"), role.alias("_role"), *columns).repartition("_block").sortWithinPartitions("_block", "node")
 
 
-def _similar(pairs: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
-    """Those pairs (a, b) whose sets are as similar as the plan asks for, in whole numbers."""
-    over, under = plan.jaccard
-    both = pairs.join(sets.toDF("a", "_sa"), "a").join(sets.toDF("b", "_sb"), "b")
-    shared = F.size(F.array_intersect("_sa", "_sb")).cast("long")
-    return both.where((over + under) * shared >= over * (F.size("_sa").cast("long") + F.size("_sb"))).select("a", "b")
-
-
 def _set_links(rows: DataFrame, nodes: DataFrame, plan: Plan, block: int, staged: Staged) -> DataFrame:
-    """(a, b): links between nodes by the exact similarity of their sets; ``rows`` holds the texts under the row keys."""
-    def candidates(some: DataFrame, every: bool) -> tuple[DataFrame, str]:
-        # The first round needs few bytes of every node; the second has few nodes and all their lanes.
-        laid = _laid(some, plan, block, staged, "n", *(["_c", *_lanes(plan.lanes)[plan.judged:]] if every else []))
-        return staged.table(laid.mapInArrow(_candidates(plan, every), "a long, b long").distinct())
-
-    first, first_at = candidates(nodes, False)
-    wanted = first.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    some, some_at = staged.table(nodes.join(wanted, "node", "left_semi"))
-    texts = rows.join(some.select("node", "_r1", "_r2"), ["_r1", "_r2"]).select("node", "text")
+    """(node, root): links between nodes by the exact similarity of their sets; ``rows`` holds the texts under the row keys."""
+    near, near_at = staged.table(_laid(nodes, plan, block, staged).mapInArrow(_search(plan), "node long, root long").distinct())
+    clusters = connected_components(near, "node", "root", staged).withColumnRenamed("component", "_key")
+    some, some_at = staged.table(nodes.join(clusters, "node"))
+    staged.drop(near_at)
+    # Most texts are in no cluster.  A filter of hashes, whose size is bounded, keeps them out of the shuffle; the join after it is exact.
+    slot = F.pmod("_r1", F.lit(SLOTS)).alias("_slot")
+    asked = F.broadcast(some.select(slot).distinct())
+    texts = rows.select("*", slot).join(asked, "_slot", "left_semi").join(some.select("node", "_r1", "_r2"), ["_r1", "_r2"]).select("node", "text")
     sets = texts.mapInArrow(_shingle_sets(plan.words), "node long, shingles array<long>").groupBy("node").agg(F.first("shingles").alias("shingles"))
-    sets, sets_at = staged.table(sets)
-    linked, _ = staged.table(_similar(first, sets, plan))
-    staged.drop(first_at)
-    groups = connected_components(linked, "a", "b", staged)
-    apart = some.join(groups, "node", "left").withColumn("_c", F.coalesce("component", "node")).drop("component")
-    second, second_at = candidates(apart, True)
-    more, _ = staged.table(_similar(second, sets, plan))
-    for done in (some_at, sets_at, second_at):
-        staged.drop(done)
-    return linked.unionByName(more)
+    counts = some.groupBy("_key").agg(F.greatest(F.count(F.lit(1)), F.sum("n") / LONG).alias("_n"))
+    crowded, _ = staged.table(counts.where(F.col("_n") > block))
+    columns = ["node", *_lanes(plan.lanes), "n", "shingles"]
+    laid = _blocks(some.join(sets, "node").select("_key", *columns).join(crowded, "_key", "left"), block, *columns)
+    links, _ = staged.table(laid.mapInArrow(_links(plan), "node long, root long"))
+    staged.drop(some_at)
+    return links
 
 
 def near_duplicates(docs: DataFrame, plan: Plan | None = None, block: int = 4096) -> DataFrame:
@@ -290,7 +325,7 @@ def near_duplicates(docs: DataFrame, plan: Plan | None = None, block: int = 4096
         one = prints.groupBy(*same, "n", *lanes).agg(F.min(F.struct("rid", "_r1", "_r2")).alias("_one"))
         nodes, _ = staged.table(one.select(*same, "n", *lanes, F.col("_one")["rid"].alias("node"), "_one._r1", "_one._r2"))
         rows = own_columns(docs, doc_id="doc_id", text="text").withColumns(_row_keys("doc_id", "text"))
-        groups = connected_components(_set_links(rows, nodes, plan, block, staged), "a", "b", staged)
+        groups = connected_components(_set_links(rows, nodes, plan, block, staged), "node", "root", staged)
     else:
         same = lanes
         nodes, _ = staged.table(prints.groupBy(*lanes).agg(F.min("rid").alias("node")))

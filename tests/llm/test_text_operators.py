@@ -4,8 +4,10 @@ import bisect
 import hashlib
 import random
 import struct
+import time
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -16,6 +18,7 @@ from tokenizers import Tokenizer
 
 from logloom.llm import bpe, chat, language_id, license_scan, packing, simhash, substring, url_filter
 from logloom.llm.bktree import BKForest
+from logloom.llm.common import CLEANUP, Staged
 from logloom.llm.fm_index import FMIndex
 from logloom.llm.queries import ORACLE, QUERIES
 
@@ -115,6 +118,36 @@ def test_similar_sets_against_brute_force(spark):
     assert sorted(r[0] for r in simhash.deduplicated(df).select("doc_id").collect()) == sorted(set(root.values()))
 
 
+def test_similar_sets_give_rows_by_nodes_not_by_pairs(spark):
+    """A group of texts that are alike but under the similarity: all are judged, but neither candidates nor links are listed by pair."""
+    rng = random.Random(12)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    template = words(100)
+    texts = [" ".join(template + words(22)) for _ in range(150)]  # a similarity of 0.69 each
+    texts.append(f"{texts[70]} {' '.join(words(2))}")
+    plan, n = simhash.similar_plan(), len(texts)
+    nodes = simhash.fingerprints(docs(spark, list(enumerate(texts))), plan).withColumn("node", F.col("doc_id"))
+    rows = docs(spark, list(enumerate(texts))).select("doc_id", "text").withColumns(simhash._row_keys("doc_id", "text"))
+    for block in (4096, 40):
+        near = simhash._laid(nodes, plan, block, Staged(spark)).mapInArrow(simhash._search(plan), "node long, root long")
+        parts = -(-n // block)
+        assert n <= near.count() <= len(plan.keys) * n * parts
+        links = [tuple(r) for r in simhash._set_links(rows, nodes, plan, block, Staged(spark)).select("node", "root").collect()]
+        assert {(max(x), min(x)) for x in links} == {(n - 1, 70)} and len(links) == 1
+
+
+def test_staged_tables_leave_no_shuffle_files(spark):
+    """Files of a shuffle go with the table that it was for, and the setting is as before."""
+    before, env = spark.conf.get(CLEANUP), spark.sparkContext._jvm.org.apache.spark.SparkEnv.get()
+    files = lambda: {f.name for d in env.blockManager().diskBlockManager().localDirsString() for f in Path(d).rglob("shuffle_*.data")}
+    held, until = files(), time.time() + 20
+    made, _ = Staged(spark).table(spark.range(1000).repartition(4, "id"))
+    while files() - held and time.time() < until:
+        time.sleep(0.1)
+    assert not files() - held
+    assert made.count() == 1000 and spark.conf.get(CLEANUP) == before
+
+
 def test_simhash_empty(spark):
     assert simhash.near_duplicates(docs(spark, [])).count() == 0
     assert simhash.deduplicated(docs(spark, [])).count() == 0
